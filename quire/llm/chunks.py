@@ -19,12 +19,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import cut
-from quire.llm.words import Texts, texts_of
+from quire.llm.words import Texts, ascii_lower, spans, texts_of, word_hashes
 
 PACKED = "chunk long, n_bytes long, body binary"
 ASKED = "bucket long, chunk long, part int, keys binary, more binary"
@@ -147,17 +148,29 @@ def ask_again(packed: DataFrame, answers: DataFrame, keys_of: Callable, buckets:
     return packed.select("chunk", "body").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, ASKED)
 
 
-def settle(asked: DataFrame, decide: Callable, more_type: str | None) -> DataFrame:
-    """decide(keys, chunk of each, more of each) -> one uint8/int32 answer for each, for every bucket."""
+def settle(asked: DataFrame, decide: Callable, more_type: str | None, summary: Callable | None = None) -> DataFrame:
+    """decide(keys, chunk of each, more of each) -> one answer for each, for every bucket.
+
+    summary(part, keys, more) -> two whole numbers of a bucket, sent as a row of chunk -1 in
+    the columns part and bucket.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         keys = [unplanes(k) for k in table.column("keys").to_pylist()]
         sizes = np.array([len(k) for k in keys], np.int64)
         chunk = np.repeat(table.column("chunk").to_numpy(), sizes)
         more = np.concatenate([np.frombuffer(m, more_type) for m in table.column("more").to_pylist()]) if more_type else None
-        got = decide(np.concatenate(keys), chunk, more)
+        joined = np.concatenate(keys)
+        got = decide(joined, chunk, more)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        return pa.table([table.column("chunk"), table.column("part"), table.column("bucket"), pa.array([got[at[i] : at[i + 1]].tobytes() for i in range(len(sizes))], pa.binary())], names=["chunk", "part", "bucket", "answer"])
+        squeeze = zstandard.ZstdCompressor(level=1)
+        answers = [squeeze.compress(got[at[i] : at[i + 1]].tobytes()) for i in range(len(sizes))]
+        names = ["chunk", "part", "bucket", "answer"]
+        out = pa.table([table.column("chunk"), table.column("part"), table.column("bucket"), pa.array(answers, pa.binary())], names=names)
+        if summary:
+            a, b = summary(table.column("part")[0].as_py(), joined, more)
+            out = pa.concat_tables([out, pa.table([pa.array([-1], pa.int64()), pa.array([a], pa.int32()), pa.array([b], pa.int64()), pa.array([b""], pa.binary())], names=names)])
+        return out
 
     return asked.groupBy("bucket", "part").applyInArrow(run, ANSWERED)
 
@@ -166,7 +179,7 @@ class Answers:
     """Answers of one chunk, by part."""
 
     def __init__(self, table: pa.Table, buckets: int):
-        self.rows, self.buckets = {}, buckets
+        self.rows, self.buckets, self.open = {}, buckets, zstandard.ZstdDecompressor()
         for part, bucket, answer in zip(table.column("part").to_pylist(), table.column("bucket").to_pylist(), table.column("answer").to_pylist()):
             self.rows[part, bucket] = answer
 
@@ -175,7 +188,7 @@ class Answers:
         names, at = cuts(keys, self.buckets)
         out = np.empty(len(keys), kind)
         for k, name in enumerate(names.tolist()):
-            out[at[k] : at[k + 1]] = np.frombuffer(self.rows[part, name], kind)
+            out[at[k] : at[k + 1]] = np.frombuffer(self.open.decompress(self.rows[part, name]), kind)
         return out
 
 
@@ -198,5 +211,24 @@ def groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def totals(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each entry the sum of weights over the entries of the same key."""
+    order, first, run = groups(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.add.reduceat(weights[order].astype(np.int64), first)[run] if len(keys) else 0
+    return out
+
+
+def chunk_words(texts: Texts, table: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and each text's offsets in them."""
+    hashes, counts = [], []
+    for _, block in texts.blocks():
+        starts, ends, off = spans(block, table)
+        hashes.append(word_hashes(ascii_lower(block.buf) if lower else block.buf, starts, ends))
+        counts.append(np.diff(off))
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *hashes]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))]).astype(np.int64)
+
+
 def table_texts(table: pa.Table) -> Texts:
     return texts_of(table.column("text"))

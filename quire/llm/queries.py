@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quire.llm import op8_rules
+from quire.llm import op4_substrings, op8_rules
 
 QUERIES = {
+    "op4_substring_dedup": op4_substrings.query,
     "op8_quality_rules": op8_rules.query,
 }
 ORACLES = {
+    "op4_substring_dedup": op4_substrings.ORACLE,
     "op8_quality_rules": op8_rules.ORACLE,
 }

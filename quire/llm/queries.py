@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import op4_substrings, op8_rules
+from quire.llm import op4_substrings, op7_suffixes, op8_rules
 
 QUERIES = {
     "op4_substring_dedup": op4_substrings.query,
+    "op7_suffix_array_dedup": op7_suffixes.query,
     "op8_quality_rules": op8_rules.query,
 }
 ORACLES = {

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quire.llm import op4_substrings, op7_suffixes, op8_rules
+from quire.llm import op1_decontaminate, op2_lm, op4_substrings, op7_suffixes, op8_rules
 
 QUERIES = {
+    "op1_decontamination": op1_decontaminate.query,
+    "op2_lm_scoring": op2_lm.query,
     "op4_substring_dedup": op4_substrings.query,
     "op7_suffix_array_dedup": op7_suffixes.query,
     "op8_quality_rules": op8_rules.query,
 }
 ORACLES = {
+    "op1_decontamination": op1_decontaminate.ORACLE,
     "op4_substring_dedup": op4_substrings.ORACLE,
     "op8_quality_rules": op8_rules.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import op1_decontaminate, op2_lm, op4_substrings, op7_suffixes, op8_rules
+from quire.llm import op1_decontaminate, op2_lm, op4_substrings, op7_suffixes, op8_rules, op10_setsketch
 
 QUERIES = {
     "op1_decontamination": op1_decontaminate.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substrings.query,
     "op7_suffix_array_dedup": op7_suffixes.query,
     "op8_quality_rules": op8_rules.query,
+    "op10_minhash_dedup": op10_setsketch.query,
 }
 ORACLES = {
     "op1_decontamination": op1_decontaminate.ORACLE,

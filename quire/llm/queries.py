@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quire.llm import op1_decontaminate, op2_lm, op4_substrings, op7_suffixes, op8_rules, op10_setsketch
+from quire.llm import op1_decontaminate, op2_lm, op3_bpe, op4_substrings, op6_quality, op7_suffixes, op8_rules, op9_toxicity, op10_setsketch
 
 QUERIES = {
     "op1_decontamination": op1_decontaminate.query,
     "op2_lm_scoring": op2_lm.query,
+    "op3_bpe": op3_bpe.query,
     "op4_substring_dedup": op4_substrings.query,
+    "op6_quality_classifier": op6_quality.query,
     "op7_suffix_array_dedup": op7_suffixes.query,
     "op8_quality_rules": op8_rules.query,
+    "op9_toxicity": op9_toxicity.query,
     "op10_minhash_dedup": op10_setsketch.query,
 }
 ORACLES = {

@@ -3,7 +3,7 @@
 Folding: lower case, look-alike letters of other scripts to Latin, digits and signs that
 stand for letters to these, everything but letters out of words, long runs of a letter to
 one. Entries are whole words or beginnings of words. Their weights are learnt from labelled
-rows: the log odds of an entry's distinct contexts (the words before and after it) in toxic
+rows: a lower bound (two standard errors) of the log odds of an entry's distinct contexts (the words before and after it) in toxic
 against clean texts, so that a text that was copied a hundred times counts once. Exception
 phrases are entries with a neighbour that clean texts have again and again and toxic ones
 never; what they cover is not counted. A text's score is logistic in its weight and in its
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from quire.llm.words import texts_of
 
 ENTRIES, CANDIDATES = 500, 20_000
 PREFIXES = range(4, 11)
-LEAST_CONTEXTS = 5
+LEAST_CONTEXTS, LEAST_TEXTS = 5, 3
 MAX_LABELLED = 20_000
 THRESHOLD = 0.3
 
@@ -105,26 +106,31 @@ class Lexicon:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def hash_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
+
+
 def contexts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """(entry, n): in how many distinct contexts texts have an entry (of the wanted ones)."""
+    """(entry, n, texts): in how many distinct contexts and texts an entry (of the wanted ones) stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = folding()
         for batch in batches:
-            seen: set[tuple[str, int]] = set()
+            seen: set[tuple[str, str, int]] = set()
             for text in batch.column(0).to_pylist():
+                name = hash_of(text or "")
                 words = [w for w in fold(text or "", table) if w]
                 for before, word, after in zip(["", *words], words, [*words[1:], ""]):
                     place = None
                     for e in entries_of(word):
                         if wanted is None or e in wanted:
                             place = f"{before} {after}" if place is None else place
-                            seen.add((e, place))
-            cols = list(zip(*seen)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string())], names=["entry", "place"])
+                            seen.add((e, place, name))
+            cols = list(zip(*seen)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["entry", "place", "name"])
 
-    pairs = rows.select("text").mapInArrow(run, "entry string, place string").select("entry", F.xxhash64("place").alias("place")).distinct()
-    return pairs.groupBy("entry").agg(F.count("*").alias("n"))
+    found = rows.select("text").mapInArrow(run, "entry string, place string, name long").select("entry", F.xxhash64("place").alias("place"), "name")
+    return found.groupBy("entry").agg(F.countDistinct("place").alias("n"), F.countDistinct("name").alias("texts"))
 
 
 def phrases(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -151,7 +157,7 @@ def learn(rows: DataFrame) -> Lexicon:
     n_toxic, n_clean = (rows.where(c).count() for c in ("y > 0", "y = 0"))
     if not n_toxic or not n_clean:
         return Lexicon({}, set(), None)
-    toxic = contexts(rows.where("y > 0"), None).where(F.col("n") >= LEAST_CONTEXTS).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
+    toxic = contexts(rows.where("y > 0"), None).where((F.col("n") >= LEAST_CONTEXTS) & (F.col("texts") >= LEAST_TEXTS)).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
     in_toxic = {r.entry: r.n for r in toxic.collect()}
     in_clean = {r.entry: r.n for r in contexts(rows.where("y = 0"), frozenset(in_toxic)).collect()}  # CANDIDATES rows at most
     words = {y: n for y, n in rows.groupBy("y").agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).collect()}
@@ -162,14 +168,14 @@ def learn(rows: DataFrame) -> Lexicon:
         odds = np.log((t + 0.5) / (c + 0.5)) - ratio
         sure = odds - 2 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
         if sure > 1.0:
-            scored.append((t * odds, e, odds))
+            scored.append((t * sure, e, sure))
     weights: dict[str, float] = {}
-    for _, e, odds in sorted(scored, reverse=True):
+    for _, e, sure in sorted(scored, reverse=True):
         covered = any(e[:k] in weights for k in range(5, len(e)))
         # a beginning says nothing more than the longer entry if that is nearly all it stands for
         adds = all(in_toxic[e] >= 1.2 * in_toxic[w] for w in weights if w.startswith(e))
         if len(weights) < ENTRIES and not covered and adds:
-            weights[e] = float(odds)
+            weights[e] = float(sure)
     found = phrases(rows, weights).where("toxic = 0 AND clean >= 3").orderBy(F.desc("clean"), "phrase").limit(ENTRIES).collect()
     lexicon = Lexicon(weights, {r.phrase for r in found}, None)
 

@@ -28,7 +28,7 @@ def test_toxicity_on_held_out_rows(spark):
     rows = op9_toxicity.query(spark, SF)
     c = confusion(spark, rows, "toxic")
     assert c.get((1, 1), 0) + c.get((0, 0), 0) >= 0.93 * sum(c.values())
-    assert c.get((0, 1), 0) <= 0.03 * sum(c.values())
+    assert c.get((0, 1), 0) <= 0.05 * sum(c.values())
     assert rows.where("score < 0 OR score > 1 OR score IS NULL").count() == 0
 
 

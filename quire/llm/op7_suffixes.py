@@ -170,10 +170,57 @@ def suffix_classes(rows: pa.Table, answers: Answers, window: int):
 
 def remove_seen(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept (binary: the bytes left; cuts may fall inside a character)."""
+    shape = f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
+
+    def result(rows: pa.Table, texts: Texts, removed: np.ndarray) -> pa.Table:
+        opens = removed.copy()
+        opens[1:] &= ~removed[:-1]
+        heads = texts.off[:-1][texts.off[:-1] < texts.off[1:]]
+        opens[heads] = removed[heads]
+        return pa.table([rows.column("id"), pa.array(np.diff(texts.off)), pa.array(per_row(removed, texts.off)), pa.array(per_row(opens, texts.off)), pa.array(left(texts, removed), pa.binary())], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return seen_before(df.select(F.col(key).alias("id"), F.col(text).alias("text")), result, shape, window, chunk_bytes)
+
+
+def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", window: int = WINDOW, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of df with their texts cut, and their number of characters in `size` if df has it.
+
+    A character of which any byte is removed goes as a whole; null texts stay null.
+    """
+
+    def result(rows: pa.Table, texts: Texts, removed: np.ndarray) -> pa.Table:
+        head = (texts.buf & 0xC0) != 0x80
+        if len(head):
+            removed = np.maximum.reduceat(removed, np.flatnonzero(head))[np.cumsum(head) - 1]
+        was = rows.column("text").is_null().to_pylist()
+        kept = pa.array([None if n else b for n, b in zip(was, left(texts, removed))], pa.string())
+        whole = rows.column("row").combine_chunks()
+        whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+        columns = []
+        for i, field in enumerate(whole.type):
+            if field.name == text:
+                columns.append(kept)
+            elif field.name == size:
+                columns.append(pc.if_else(pa.array(was), whole.field(i), pc.utf8_length(kept).cast(field.type)))
+            else:
+                columns.append(whole.field(i))
+        return pa.table(columns, names=[f.name for f in whole.type])
+
+    others = [F.when(F.lit(False), F.col(c)).alias(c) if c == text else F.col(c) for c in df.columns]  # the text travels once
+    return seen_before(df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*others).alias("row")), result, df.schema, window, chunk_bytes)
+
+
+def left(texts: Texts, removed: np.ndarray) -> list[bytes]:
+    out = texts.buf[~removed].tobytes()
+    at = np.concatenate([[0], np.cumsum(~removed)])[texts.off].tolist()
+    return [out[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def seen_before(df: DataFrame, output, shape, window: int, chunk_bytes: int) -> DataFrame:
+    """output(rows, texts, removed bytes) -> pa.Table in `shape`, for every chunk of df (id, text, ...)."""
     if window < TRIGGERS + MER:
         raise ValueError(f"window must be {TRIGGERS + MER} bytes or more")
-    kind = df.schema[key].dataType.simpleString()
-    packed = pack(df.select(F.col(key).alias("id"), F.col(text).alias("text")), chunk_bytes)
+    packed = pack(df, chunk_bytes)
     buckets = bucket_count(packed)
 
     def first(rows: pa.Table):
@@ -195,19 +242,11 @@ def remove_seen(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         change = np.zeros(n + 1, np.int32)
         np.add.at(change, begins[gone], 1)
         np.add.at(change, ends[gone] + window, -1)
-        removed = np.cumsum(change[:n]) > 0
-        opens = removed.copy()
-        opens[1:] &= ~removed[:-1]
-        heads = texts.off[:-1][texts.off[:-1] < texts.off[1:]]
-        opens[heads] = removed[heads]
-        out = texts.buf[~removed].tobytes()
-        at = np.concatenate([[0], np.cumsum(~removed)])[texts.off].tolist()
-        kept = [out[a:b] for a, b in zip(at[:-1], at[1:])]
-        return pa.table([rows.column("id"), pa.array(np.diff(texts.off)), pa.array(per_row(removed, texts.off)), pa.array(per_row(opens, texts.off)), pa.array(kept, pa.binary())], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
+        return output(rows, texts, np.cumsum(change[:n]) > 0)
 
     found = cut(settle(ask(packed, first, buckets), contexts_of, "u4"))
     again = settle(ask_again(packed, found, second, buckets), first_of, "i8")
-    return finish(packed, found.unionAll(again), result, buckets, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return finish(packed, found.unionAll(again), result, buckets, shape)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

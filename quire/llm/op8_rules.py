@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.stats import MEASURES, measure_all
 from quire.llm.words import texts_of
@@ -69,6 +70,23 @@ def apply_policy(rows: DataFrame, version: str) -> DataFrame:
     return rows.withColumn("kept", F.col("failed").bitwiseAND(F.lit(mask(version))) == 0)
 
 
+def keep_passing(df: DataFrame, version: str, text: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, that a policy keeps; there is no shuffle."""
+    at = df.columns.index(text)
+    m = mask(version)
+    failing = F.lit(0)
+    for i, rule in enumerate(RULES.values()):
+        failing = failing.bitwiseOR(F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = measure_all(texts_of(batch.column(at)))
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)), *(pa.array(found[k].astype(np.int64)) for k in MEASURES)], names=["row", *MEASURES])
+
+    shape = T.StructType([T.StructField("row", df.schema), *(T.StructField(k, T.LongType()) for k in MEASURES)])
+    return df.mapInArrow(run, shape).where(failing.bitwiseAND(F.lit(m)) == 0).select("row.*")
+
+
 def ablation(rows: DataFrame, version: str) -> DataFrame:
     """For each rule of a policy: documents failing it, and failing it alone."""
     m = mask(version)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import op1_decontaminate, op2_lm, op3_bpe, op4_substrings, op6_quality, op7_suffixes, op8_rules, op9_toxicity, op10_setsketch
+from quire.llm import op1_decontaminate, op2_lm, op3_bpe, op4_substrings, op5_html, op6_quality, op7_suffixes, op8_rules, op9_toxicity, op10_setsketch
 
 QUERIES = {
     "op1_decontamination": op1_decontaminate.query,
     "op2_lm_scoring": op2_lm.query,
     "op3_bpe": op3_bpe.query,
     "op4_substring_dedup": op4_substrings.query,
+    "op5_html_extraction": op5_html.query,
     "op6_quality_classifier": op6_quality.query,
     "op7_suffix_array_dedup": op7_suffixes.query,
     "op8_quality_rules": op8_rules.query,

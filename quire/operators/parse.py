@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.names import first_author, is_edited, looks_like_name
-from quire.functions.text import normalize, squeeze, strip, strip_tags
+from quire.functions.text import let, normalize, squeeze, strip, strip_tags
 
 #: Fixed value: words of publishers that mark a citation's tail.
 HOUSE = "(?:Press|University|Books|Publishing|Publishers|Verlag|Routledge|Springer|Polity|Palgrave|Bloomsbury|MIT|Verso|Penguin|Harper|Edinburgh|Norton|Oxford|Cambridge|Blackwell|Macmillan|Brill|Wiley|Clarendon)"
@@ -67,7 +67,7 @@ FORMATS = (
     Format("title_dash_author", rf"^(.{{5,}}?)\s+-\s+({NAME})\.?$", 1, 2),
     Format("last_first_title", r"^([A-Z][\w'-]+,\s+[A-Z][\w.\s]*?)\.\s+(.{5,}?)\.?$", 2, 1, check=False),
 )
-GENERIC = ["", "book review", "book reviews", "review", "reviews", "review essay"]
+GENERIC = ["book review", "book reviews", "review", "reviews", "review essay"]
 
 
 def parse_title(title: Column, subtitle: Column | None = None) -> Column:
@@ -75,31 +75,38 @@ def parse_title(title: Column, subtitle: Column | None = None) -> Column:
     raw = normalize(F.coalesce(title, F.lit("")))
     marked = F.regexp_replace(raw, r"(?i)<(/?)(?:b|strong|em)>", "<$1i>")
     marked = strip(F.regexp_replace(F.regexp_replace(marked, r"(?i)^(?:Commissioned\s+)?Book\s*Reviews?\s*:?\s*", ""), r"^Review\s+of\s+", ""))
-    sources = {"subtitle": normalize(F.coalesce(subtitle if subtitle is not None else F.lit(None).cast("string"), F.lit(""))), "raw": raw, "marked": marked, "plain": squeeze(strip_tags(marked))}
+    sub = normalize(F.coalesce(subtitle if subtitle is not None else F.lit(None).cast("string"), F.lit("")))
+    forms = F.struct(raw.alias("raw"), marked.alias("marked"), squeeze(strip_tags(marked)).alias("plain"), squeeze(strip_tags(raw)).alias("bare"), sub.alias("subtitle"))
+    return let(forms, lambda s: let(best_format(s), lambda b: let(first_author(b["author"]), lambda who: parsed(s, b, who))))
+
+
+def best_format(s: Column) -> Column:
+    """The first of FORMATS that fits and holds up: format, title, author, edited."""
 
     def candidate(f: Format) -> Column:
-        text = sources[f.on]
-        part = lambda k: squeeze(strip_tags(F.regexp_extract(text, f.pattern, k)))
-        whole = squeeze(strip_tags(raw))
-        return F.struct(
-            F.lit(f.name).alias("format"), F.rtrim(F.lit(".,: "), part(f.title) if f.title else whole).alias("title"),
-            (F.regexp_replace(part(f.author), r"[,.\s:;]+$", "") if f.author else F.lit("")).alias("author"),
-            text.rlike(f.pattern).alias("fits"), F.lit(bool(f.author)).alias("named"), F.lit(f.check).alias("check"), F.lit(f.least).alias("least"), F.lit(f.name in ("edited_by", "edited_by_house", "author_eds_title")).alias("edited"),
+        part = lambda k: squeeze(strip_tags(F.regexp_extract(s[f.on], f.pattern, k)))
+        return F.when(
+            s[f.on].rlike(f.pattern),
+            F.struct(
+                F.lit(f.name).alias("format"), F.rtrim(part(f.title) if f.title else s["bare"], F.lit(".,: ")).alias("title"),
+                (F.regexp_replace(part(f.author), r"[,.\s:;]+$", "") if f.author else F.lit("")).alias("author"), F.lit(bool(f.author)).alias("named"), F.lit(f.check).alias("check"),
+                F.lit(f.least).alias("least"), F.lit(f.name in ("edited_by", "edited_by_house", "author_eds_title")).alias("edited"),
+            ),
         )
 
     def holds(c: Column) -> Column:
         bare = F.regexp_replace(c["author"], rf"(?i),?\s*{ED}$", "")
-        return c["fits"] & (F.length(c["title"]) >= c["least"]) & (~c["named"] | ((bare != "") & (~c["check"] | looks_like_name(bare))))
-
-    best = F.try_element_at(F.filter(F.array(*(candidate(f) for f in FORMATS)), holds), F.lit(1))
-    who = first_author(best["author"])
-    found = F.struct(
-        best["title"].alias("book_title"), who["first"].alias("first"), who["last"].alias("last"), (best["edited"] | F.coalesce(is_edited(best["author"]), F.lit(False))).alias("is_edited"),
-        who["has_multiple"].alias("has_multiple"), (who["last"] == "").alias("needs_lookup"), best["format"].alias("format"),
-    )
-    bare = F.lower(squeeze(strip_tags(raw)))
-    generic = F.struct(F.lit("").alias("book_title"), F.lit("").alias("first"), F.lit("").alias("last"), F.lit(False).alias("is_edited"), F.lit(False).alias("has_multiple"), F.lit(True).alias("needs_lookup"), F.lit("generic").alias("format"))
-    return F.when(bare.isin([g for g in GENERIC if g]) & (sources["subtitle"] == ""), generic).when(best.isNotNull(), found)
+        return c.isNotNull() & (F.length(c["title"]) >= c["least"]) & (~c["named"] | ((bare != "") & (~c["check"] | looks_like_name(bare))))
+
+    return F.try_element_at(F.filter(F.array(*(candidate(f) for f in FORMATS)), holds), F.lit(1))
+
+
+def parsed(s: Column, best: Column, who: Column) -> Column:
+    shape = lambda title, first, last, edited, several, wanting, name: F.struct(title.alias("book_title"), first.alias("first"), last.alias("last"), edited.alias("is_edited"), several.alias("has_multiple"), wanting.alias("needs_lookup"), name.alias("format"))
+    none, no = F.lit(""), F.lit(False)
+    found = shape(best["title"], who["first"], who["last"], best["edited"] | F.coalesce(is_edited(best["author"]), no), who["has_multiple"], who["last"] == "", best["format"])
+    generic = F.lower(s["bare"]).isin(GENERIC) & (s["subtitle"] == "")
+    return F.when(generic, shape(none, none, none, no, no, F.lit(True), F.lit("generic"))).when(best.isNotNull(), found)
 
 
 def parse_list_item(text: Column) -> Column:

@@ -39,7 +39,7 @@ def greedy_pairs(anchors: DataFrame, group: list[str], who: str = "surname", sta
 def last_item_by(items: DataFrame, starts: DataFrame, group: list[str]) -> DataFrame:
     """For starts without an end: the last later item of the same person."""
     late = items.select(*group, "surname", F.col("start_page").alias("later"), "end_page")
-    found = starts.join(late, [*group, "surname"]).where("later > start_page AND surname <> ''")
+    found = starts.select(*group, "surname", "start_page").join(late, [*group, "surname"]).where("later > start_page AND surname <> ''")
     return found.groupBy(*group, "surname", F.col("start_page").alias("range_start")).agg(F.max_by("end_page", "later").alias("range_end"))
 
 
@@ -71,7 +71,7 @@ def by_markers(items: DataFrame, before: int = 10, after: int = 80) -> DataFrame
 
 def inferred_title(members: DataFrame) -> DataFrame:
     """(symposium_group, book_title): the first sibling that tells it, by page."""
-    italic = F.rtrim(F.lit(".,:"), squeeze(F.regexp_extract("title", r"(?i)<i>(.+?)</i>", 1)))
+    italic = F.rtrim(squeeze(F.regexp_extract("title", r"(?i)<i>(.+?)</i>", 1)), F.lit(".,:"))
     lead = squeeze(F.regexp_extract(strip_tags(F.col("title")), r"(?i)^(.+?):\s*(?:reply|replies|response)", 1))
     told = F.coalesce(F.when(F.length(italic) > 10, italic), F.when(F.length(lead) > 5, lead))
     return members.withColumn("told", told).where("told IS NOT NULL").groupBy("symposium_group").agg(F.min_by("told", F.struct("start_page", "doi")).alias("book_title"))

@@ -6,38 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CATALOG = T.StructType.fromDDL(
-    "id BIGINT, book_title STRING, book_author_first_name STRING, book_author_last_name STRING,"
-    "reviewer_first_name STRING, reviewer_last_name STRING, publication_source STRING,"
-    "publication_date STRING, review_link STRING, review_summary STRING, access_type STRING,"
-    "doi STRING, entry_type STRING, symposium_group STRING, created_at TIMESTAMP,"
-    "subfield_primary STRING, subfield_secondary STRING"
-)
-
-WORK_ITEM = T.StructType.fromDDL(
-    "title ARRAY<STRING>, subtitle ARRAY<STRING>, DOI STRING, `container-title` ARRAY<STRING>,"
-    "author ARRAY<STRUCT<given:STRING, family:STRING>>, issued STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>,"
-    "`published-print` STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>, `published-online` STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>,"
-    "URL STRING, abstract STRING, license ARRAY<STRUCT<URL:STRING>>, volume STRING, issue STRING, page STRING, type STRING,"
-    "indexed TIMESTAMP"
-)
-
-PUBLISHER_RECORD = T.StructType.fromDDL(
-    "genre ARRAY<STRING>, title STRING, doi STRING, url ARRAY<STRUCT<format:STRING, value:STRING>>,"
-    "publicationDate STRING, creators ARRAY<STRUCT<creator:STRING>>, openaccess STRING"
-)
-
-POST = T.StructType.fromDDL("id BIGINT, date STRING, slug STRING, link STRING, content STRUCT<rendered:STRING>")
-
-NEWS_REVIEW = T.StructType.fromDDL("webTitle STRING, webUrl STRING, webPublicationDate STRING, fields STRUCT<byline:STRING, trailText:STRING>")
-
-NEWS_ARTICLE = T.StructType.fromDDL(
-    "headline STRUCT<main:STRING>, web_url STRING, keywords ARRAY<STRUCT<name:STRING, value:STRING>>,"
-    "abstract STRING, snippet STRING, byline STRUCT<original:STRING>, pub_date STRING, firstPublished STRING"
-)
-
-WORK_LOOKUP = T.StructType.fromDDL("title STRING, publication_year INT, authorships ARRAY<STRUCT<author:STRUCT<display_name:STRING>>>")
-BOOK_LOOKUP = T.StructType.fromDDL("title STRING, author_name ARRAY<STRING>, first_publish_year INT")
+TEXT, WHOLE, TIME = T.StringType(), T.IntegerType(), T.TimestampType()
+
+
+def record(**fields: T.DataType) -> T.StructType:
+    """Fields in order; `__` in a name stands for `-`."""
+    return T.StructType([T.StructField(k.replace("__", "-"), v) for k, v in fields.items()])
+
+
+def many(item: T.DataType) -> T.ArrayType:
+    return T.ArrayType(item)
+
+
+CATALOG = record(
+    id=T.LongType(), book_title=TEXT, book_author_first_name=TEXT, book_author_last_name=TEXT, reviewer_first_name=TEXT, reviewer_last_name=TEXT,
+    publication_source=TEXT, publication_date=TEXT, review_link=TEXT, review_summary=TEXT, access_type=TEXT, doi=TEXT, entry_type=TEXT, symposium_group=TEXT,
+    created_at=TIME, subfield_primary=TEXT, subfield_secondary=TEXT,
+)
+DATE_PARTS = record(date__parts=many(many(WHOLE)))
+WORK_ITEM = record(
+    title=many(TEXT), subtitle=many(TEXT), DOI=TEXT, container__title=many(TEXT), author=many(record(given=TEXT, family=TEXT)), issued=DATE_PARTS, published__print=DATE_PARTS,
+    published__online=DATE_PARTS, URL=TEXT, abstract=TEXT, license=many(record(URL=TEXT)), volume=TEXT, issue=TEXT, page=TEXT, type=TEXT, indexed=TIME,
+)
+PUBLISHER_RECORD = record(genre=many(TEXT), title=TEXT, doi=TEXT, url=many(record(format=TEXT, value=TEXT)), publicationDate=TEXT, creators=many(record(creator=TEXT)), openaccess=TEXT)
+POST = record(id=T.LongType(), date=TEXT, slug=TEXT, link=TEXT, content=record(rendered=TEXT))
+NEWS_REVIEW = record(webTitle=TEXT, webUrl=TEXT, webPublicationDate=TEXT, fields=record(byline=TEXT, trailText=TEXT))
+NEWS_ARTICLE = record(headline=record(main=TEXT), web_url=TEXT, keywords=many(record(name=TEXT, value=TEXT)), abstract=TEXT, snippet=TEXT, byline=record(original=TEXT), pub_date=TEXT, firstPublished=TEXT)
+WORK_LOOKUP = record(title=TEXT, publication_year=WHOLE, authorships=many(record(author=record(display_name=TEXT))))
+BOOK_LOOKUP = record(title=TEXT, author_name=many(TEXT), first_publish_year=WHOLE)
 
 
 def is_blank(c: Column | str) -> Column:

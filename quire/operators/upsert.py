@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.schema import CATALOG, conform, filled, is_blank
+from quire.storage import cut
 
 KEYS = ("doi", "review_link")
 
@@ -28,48 +28,28 @@ def settle_batch(batch: DataFrame, seq: str = "seq") -> DataFrame:
     """Rows that insert-or-ignore on both keys keeps, in the order of `seq`.
 
     A row goes if an earlier *kept* row has one of its keys; a row that went reserves nothing.
-    A row that is the first of each of its keys is kept, and a row that shares a key with a kept
-    row goes; both are settled in bulk, round by round. What is left after a few rounds are
-    chains that hang on each other, whose order is then walked in groups of linked rows.
+    Round by round, a row that is the first of each of its keys is kept, and rows that share a
+    key with it go; the first row of every chain is settled in each round, so rounds end. Hot
+    keys are settled in the first one. Rounds are cut off from each other by checkpoints.
     """
     ks = [f"k{i}" for i in range(len(KEYS))]
-    left = batch.select("*", *(filled(k).alias(a) for k, a in zip(KEYS, ks)))
-    kept = left.where(F.expr(" AND ".join(f"{a} IS NULL" for a in ks)))
-    left = left.where(F.expr(" OR ".join(f"{a} IS NOT NULL" for a in ks)))
-    for _ in range(3):
-        firsts = [F.col(a).isNull() | (F.min(seq).over(Window.partitionBy(F.coalesce(a, F.concat(F.lit("\0"), F.col(seq).cast("string"))))) == F.col(seq)) for a in ks]
-        marked = left.select("*", *(f.alias(f"first_{a}") for f, a in zip(firsts, ks)))
-        sure = F.expr(" AND ".join(f"first_{a}" for a in ks))
-        won = marked.where(sure).select(*left.columns)
-        rest = marked.where(~sure).select(*left.columns)
+    rows = batch.select("*", *(filled(k).alias(a) for k, a in zip(KEYS, ks)))
+    out = rows.where(F.coalesce(*ks).isNull())
+    left = cut(rows.where(F.coalesce(*ks).isNotNull()))
+    while not left.isEmpty():
+        marked = left
         for a in ks:
-            rest = rest.join(won.where(F.col(a).isNotNull()).select(F.col(a).alias("taken")).distinct(), F.col(a) == F.col("taken"), "left_anti")
-        kept, left = kept.unionByName(won), rest
-    return kept.unionByName(walk(left, ks, seq)).select(*batch.columns)
-
-
-def walk(rows: DataFrame, ks: list[str], seq: str) -> DataFrame:
-    """The exact rule, in order, for the rest; rows that only share keys among themselves are one group.
-
-    Groups are the rows of one first key's chain; labels are carried along both keys until stable.
-    """
-    labelled = rows.withColumn("label", F.col(seq))
-    for _ in range(4):
+            first = left.where(F.col(a).isNotNull()).groupBy(a).agg(F.min(seq).alias(f"first_{a}"))
+            marked = marked.join(first, a, "left")
+        sure = F.lit(True)
+        for a in ks:
+            sure = sure & (F.col(a).isNull() | (F.col(f"first_{a}") == F.col(seq)))
+        marked = cut(marked.select(*left.columns, sure.alias("sure")))
+        won, rest = marked.where("sure").drop("sure"), marked.where("NOT sure").drop("sure")
         for a in ks:
-            w = Window.partitionBy(F.coalesce(a, F.concat(F.lit("\0"), F.col(seq).cast("string"))))
-            labelled = labelled.withColumn("label", F.min("label").over(w))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
-        keep = []
-        for values in pdf.sort_values(seq)[ks].itertuples(index=False):
-            own = {(k, v) for k, v in zip(ks, values) if v is not None}
-            keep.append(not own & seen)
-            if keep[-1]:
-                seen |= own
-        return pdf.sort_values(seq)[keep].drop(columns="label")
-
-    return labelled.groupBy("label").applyInPandas(run, rows.schema)
+            rest = rest.join(won.where(F.col(a).isNotNull()).select(F.col(a).alias("taken")).distinct(), F.col(a) == F.col("taken"), "left_anti")
+        out, left = out.unionByName(won), cut(rest)
+    return out.select(*batch.columns)
 
 
 def insert_or_ignore(catalog: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:

@@ -28,25 +28,27 @@ JOURNAL_NAMES = {
 
 
 def on(columns: tuple[str, ...], f: Callable) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.withColumns({c: f(F.col(c)) for c in columns})
+    """f on each column. Each phase names a column once, so that conditions which Spark pushes down through many phases stay small."""
+    return lambda df: df.withColumns({c: text.let(F.col(c), f) for c in columns})
 
 
 def on_author(f: Callable) -> Callable[[DataFrame], DataFrame]:
-    """f gives (first, last) of an author; it is applied where there is a surname."""
+    """f gives (first, last) of an author, from both."""
 
     def step(df: DataFrame) -> DataFrame:
-        got = df.withColumn("fixed", F.when(~is_blank(AUTHOR[1]), f(F.col(AUTHOR[0]), F.col(AUTHOR[1]))))
-        return got.withColumns({AUTHOR[0]: F.when(F.col("fixed").isNull(), F.col(AUTHOR[0])).otherwise(F.col("fixed.first")), AUTHOR[1]: F.coalesce("fixed.last", AUTHOR[1])}).drop("fixed")
+        fixed = text.let(F.struct(F.col(AUTHOR[0]).alias("first"), F.col(AUTHOR[1]).alias("last")), lambda s: f(s["first"], s["last"]))
+        return df.withColumn("fixed", fixed).withColumns({AUTHOR[0]: F.col("fixed.first"), AUTHOR[1]: F.col("fixed.last")}).drop("fixed")
 
     return step
 
 
-def null_author(test: Callable) -> Callable[[DataFrame], DataFrame]:
-    def step(df: DataFrame) -> DataFrame:
-        bad = F.coalesce(test(F.col(AUTHOR[0]), F.col(AUTHOR[1])), F.lit(False))
-        return df.withColumn("bad", bad).withColumns({c: F.when(~F.col("bad"), F.col(c)) for c in AUTHOR}).drop("bad")
+def if_named(f: Callable) -> Callable:
+    """f where there is a surname."""
+    return lambda first, last: F.when((last != "") & last.isNotNull(), f(F.coalesce(first, F.lit("")), last)).otherwise(F.struct(first.alias("first"), last.alias("last")))
 
-    return step
+
+def null_author(test: Callable) -> Callable[[DataFrame], DataFrame]:
+    return on_author(lambda first, last: text.let(F.coalesce(test(first, last), F.lit(False)), lambda bad: F.struct(F.when(~bad, first).alias("first"), F.when(~bad, last).alias("last"))))
 
 
 def editor_marks(c):
@@ -78,8 +80,8 @@ PHASES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "capitals": on(("book_title",), lambda c: F.when(text.is_all_caps(c), text.smart_title_case(c)).otherwise(c)),
     "leading_punctuation": on(("book_title",), text.strip_leading_punctuation),
     "tags": on(("book_title",), lambda c: F.when(c.rlike("<.*>"), text.strip_known_tags(c)).otherwise(c)),
-    "editor_annotations": on_author(names.repaired_editor),
-    "name_swaps": on_author(names.repaired_swap),
+    "editor_annotations": on_author(if_named(names.repaired_editor)),
+    "name_swaps": on_author(if_named(names.repaired_swap)),
     "long_titles": on(("book_title",), lambda c: F.when(F.length(c) > 150, text.strip_citation_tail(c)).otherwise(c)),
     "garbled": null_author(names.is_garbled),
     "self_reviews": lambda df: df.where(~F.coalesce((F.col("entry_type") == "review") & ~is_blank("book_author_last_name") & (F.col("book_author_first_name") == F.col("reviewer_first_name")) & (F.col("book_author_last_name") == F.col("reviewer_last_name")), F.lit(False))),

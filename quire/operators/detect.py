@@ -114,6 +114,23 @@ def is_self_review(author: Column, reviewer: Column, source: Column, exempt: str
     return (author != "") & (F.lower(author) == F.lower(reviewer)) & (source != exempt)
 
 
+def is_suspect(first: Column, last: Column) -> Column:
+    """A surname alone, words of a title in a first name, or a phrase as surname."""
+    title_words = r"(?i) (?:of|and|the|in|for|to|a|an|on|with|from|or|is|as) "
+    return F.coalesce(((first == "") & (last != "")) | first.rlike(title_words) | last.rlike("^.* .* .*$"), F.lit(False))
+
+
+def may_be_garbled(last: Column) -> Column:
+    """The cheap test before is_garbled."""
+    return F.coalesce(last.rlike(r"(?i)ISBN|Press|University|Publisher|Verlag|pp|pages|978-|0-|Hardcover|Paperback") | (F.length(last) > 30), F.lit(False))
+
+
+def is_skipped(title: Column) -> Column:
+    """Lists and notes that are no reviews of a book."""
+    low = F.lower(strip(F.coalesce(title, F.lit(""))))
+    return low.isin("other books of interest", "books received") | low.startswith("note on") | low.contains("full issue")
+
+
 def is_no_symposium(title: Column) -> Column:
     """P29"""
     low = F.lower(strip_tags(title))

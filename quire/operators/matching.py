@@ -7,29 +7,47 @@ from pyspark.sql import functions as F
 
 from quire.functions.dates_urls import date_in_snippet, domain, normalize_url
 from quire.functions.names import split_name
-from quire.functions.text import comparison_key, significant_words, strip_tags, title_similarity
+from quire.functions.text import comparison_key, significant_words, strip_tags, title_similarity, word_set
 from quire.operators.windows import best
 from quire.schema import is_blank
 
 GENERIC_TITLES = ["introduction", "ethics", "philosophy", "metaphysics", "logic", "reason", "justice", "freedom", "truth", "knowledge"]
 
 
-def block(title: Column) -> Column:
-    """Blocking keys of a title: its first two words, and each word of it with five letters or more.
+def beginnings(key: Column) -> Column:
+    """The first 2^k and 2^(k-1) characters, 2^k being the largest power within the length.
 
-    Titles that score 0.5 or more share a first word or half of their words, so they share a key;
-    words that are very common make large blocks, which is why short ones are left out.
+    If one key begins another of at most 1.9 times its length, the two have one of these in common.
     """
-    words = F.filter(F.split(comparison_key(title, False), " +"), lambda w: w != "")
-    return F.array_distinct(F.concat(F.slice(words, 1, 1), F.filter(words, lambda w: F.length(w) >= 5)))
+    size = F.floor(F.log2(F.greatest(F.length(key), F.lit(1)))).cast("int")
+    at = lambda k: F.concat(F.lit("^"), F.substring(key, F.lit(1), F.pow(F.lit(2), F.greatest(k, F.lit(0))).cast("int")))
+    return F.when(key != "", F.array_distinct(F.array(at(size), at(size - 1)))).otherwise(F.array().cast("array<string>"))
+
+
+def blocked(titles: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, block) from (id, title): beginnings, and the rarest words of the full and the main title.
+
+    Titles of similarity 0.5 or more begin each other, or have more than four fifths of the longer
+    one's words in common; then they share one of the rarest fifth (and one more) of its words.
+    """
+    full, main = comparison_key(F.col("title"), False), comparison_key(F.col("title"))
+    keys = titles.select("id", full.alias("full"), main.alias("main"))
+    starts = keys.select("id", F.explode(F.array_union(beginnings(F.col("full")), beginnings(F.col("main")))).alias("block"))
+    words = keys.select("id", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("full").alias("key")), F.struct(F.lit(1).alias("part"), F.col("main").alias("key")))).alias("k")).select("id", "k.part", F.explode(word_set(F.col("k.key"))).alias("word"))
+    ranked = words.join(counts, "word").groupBy("id", "part").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("w"))
+    rare = ranked.select("id", F.explode(F.slice("w", F.lit(1), (F.floor(F.size("w") * 0.2) + 1).cast("int"))).alias("w")).select("id", F.col("w.word").alias("block"))
+    return starts.unionByName(rare).distinct()
 
 
 def similar_titles(records: DataFrame, works: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(record, work, score) of titles that match, from (record, title) and (work, title)."""
-    a = records.select("record", F.col("title").alias("a"), F.explode(block(F.col("title"))).alias("key"))
-    b = works.select("work", F.col("title").alias("b"), F.explode(block(F.col("title"))).alias("key"))
-    pairs = a.join(b, "key").select("record", "work", "a", "b").distinct()
-    return pairs.withColumn("score", title_similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold).select("record", "work", "score")
+    if threshold < 0.5:
+        raise ValueError("blocks are made for similarities of 0.5 or more")
+    a, b = records.select(F.col("record").alias("id"), "title"), works.select(F.col("work").alias("id"), "title")
+    counts = a.select("title").unionByName(b.select("title")).select(F.explode(word_set(comparison_key(F.col("title"), False))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    pairs = blocked(a, counts).withColumnRenamed("id", "record").join(blocked(b, counts).withColumnRenamed("id", "work"), "block").select("record", "work").distinct()
+    titled = pairs.join(records.select("record", F.col("title").alias("a")), "record").join(works.select("work", F.col("title").alias("b")), "work")
+    return titled.withColumn("score", title_similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold).select("record", "work", "score")
 
 
 def best_work(records: DataFrame, works: DataFrame) -> DataFrame:
@@ -44,14 +62,15 @@ def best_work(records: DataFrame, works: DataFrame) -> DataFrame:
 
 def best_book(records: DataFrame, books: DataFrame, accept: int = 5) -> DataFrame:
     """As best_work with whole scores: title 10, 7 or 5, year 5, 3, 1 or -2."""
+    works_of = books.select("work", "title")
+    found = similar_titles(records, works_of).join(records.select("record", F.col("title").alias("a"), F.col("year").alias("y1")), "record")
+    pairs = found.join(works_of, "work").withColumnRenamed("title", "b").join(books.select("work", F.col("year").alias("y2"), "rank", "author"), "work")
     a, b = comparison_key(F.col("a")), comparison_key(F.col("b"))
-    ra = records.select("record", F.col("title").alias("a"), F.col("year").alias("y1"), F.explode(block(F.col("title"))).alias("key"))
-    rb = books.select("work", F.col("title").alias("b"), F.col("year").alias("y2"), "rank", "author", F.explode(block(F.col("title"))).alias("key"))
-    title = F.when(a == b, 10).when(a.startswith(b) | b.startswith(a), 7).when(title_similarity(F.col("a"), F.col("b")) >= 0.5, 5).otherwise(0)
+    title = F.when(a == b, 10).when(a.startswith(b) | b.startswith(a), 7).otherwise(5)
     gap = F.col("y1") - F.col("y2")
     year = F.when(gap.isNull(), 0).when(gap.between(0, 2), 5).when(gap.between(3, 5), 3).when(gap.between(6, 10), 1).otherwise(-2)
-    pairs = ra.join(rb, "key").drop("key").distinct().withColumn("score", F.when(title > 0, title + year).otherwise(0)).where(F.col("score") >= accept)
-    return best(pairs, ["record"], [F.desc("score"), F.col("rank"), F.col("work")]).withColumn("name", split_name(F.col("author")))
+    scored = pairs.withColumn("score", title + year).where(F.col("score") >= accept)
+    return best(scored, ["record"], [F.desc("score"), F.col("rank"), F.col("work")]).withColumn("name", split_name(F.col("author")))
 
 
 def matched_share(words: Column, text: Column) -> Column:

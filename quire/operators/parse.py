@@ -67,21 +67,50 @@ FORMATS = (
     Format("title_dash_author", rf"^(.{{5,}}?)\s+-\s+({NAME})\.?$", 1, 2),
     Format("last_first_title", r"^([A-Z][\w'-]+,\s+[A-Z][\w.\s]*?)\.\s+(.{5,}?)\.?$", 2, 1, check=False),
 )
+#: The same for sources with forms of their own: a logic journal, a moral-philosophy journal, an index, titles of a lookup service, an ethics journal.
+LOGIC_FORMATS = (
+    Format("review_author_title", r"^Review:\s*((?:[A-Z][\w'’.-]*\s*){1,5}(?:,?\s+and\s+(?:[A-Z][\w'’.-]*\s*){1,5})?),\s+(.{5,}?)\.?$", 2, 1),
+    Format("title_edited_by", rf"^(.+?),\s+edited\s+by\s+(.+?),\s+[^,]*\b{HOUSE}\b", 1, 2, check=False),
+    Format("author_title_house", rf"^((?:[A-Z][\w'’-]+|[A-Z]\.)(?:(?:,?\s+(?:and\s+)?)(?:[A-Z][\w'’-]+|[A-Z]\.))*)\.\s+(.{{5,}}?)\.\s+(?:[^.]+\.\s+)*?[^.]*\b{HOUSE}\b", 2, 1),
+)
+MORAL_FORMATS = (
+    Format("marked_by", r"""(?i)^Review(?:\s+of|:)\s+[_"](.+?)[_"]\s*(?:by\s+)?(.+?)\s*(?:\((?:Editors?|Eds?\.?)\))?$""", 1, 2, "raw", check=False),
+    Format("marked_only", r"""(?i)^Review(?:\s+of|:)\s+[_"](.+?)[_"]\s*$""", 1, 0, "raw"),
+    Format("plain_by", r"(?i)^Review(?:\s+of|:)\s+(.+?)\s+by\s+(.+?)$", 1, 2, "raw", check=False),
+    Format("plain_only", r"(?i)^Review(?:\s+of|:)\s+(.+?)$", 1, 0, "raw"),
+)
+INDEX_FORMATS = (
+    Format("by_house", rf"(?i)^(.+?)\s+by\s+(.+?)\.\s+(?:(?-i:[A-Z])[a-z]+(?:\s+(?-i:[A-Z])[a-z]+)*:?\s+)?[^.]*\b{HOUSE}\b", 1, 2, check=False),
+    Format("by_year", r"(?i)^(.+?)\s+by\s+(.+?)[,.]?\s+\(?(?:19|20)\d{2}", 1, 2, check=False),
+    Format("dot_by", r"(?i)^(.+?)\.\s+by\s+(.+?)(?:\.\s|,\s|$)", 1, 2, check=False),
+    Format("title_only", r"^(.+)$", 1, 0),
+)
+LOOKUP_FORMATS = (
+    Format("comma_by", r"(?i)^(.+?),\s+by\s+(.+?)\.?\s*$", 1, 2, check=False),
+    Format("prefix_title_author", r"(?i)^Book\s+Reviews?\.\s*(.+?)\s+((?-i:[A-Z])[\w.'-]+\s+(?:(?-i:[A-Z])\.\s+)?(?-i:[A-Z])[\w'-]+)$", 1, 2, "raw"),
+    Format("title_dot_author", r"^(.+?)\.\s+([A-Z][a-zA-Z.\s-]+?)\.?\s*$", 1, 2),
+    Format("title_dash_author", r"^(.+?)\s+-\s+(.+?)$", 1, 2),
+)
+ETHICS_FORMATS = (
+    Format("author_italic", rf"(?i)^([^<>]{{3,}}?)[\s,.;:]*(?:{ED})?[\s,.;:]*<i>(.+?)</i>", 2, 1, "marked", check=False),
+    Format("italic_only", r"(?i)<i>(.+?)</i>", 1, 0, "marked"),
+    Format("author_dot_title", r"^([A-Z][^.]+?)\.\s+([^.]{4,}?)\.", 2, 1, check=False),
+)
 GENERIC = ["book review", "book reviews", "review", "reviews", "review essay"]
 
 
-def parse_title(title: Column, subtitle: Column | None = None) -> Column:
+def parse_title(title: Column, subtitle: Column | None = None, formats: tuple[Format, ...] = FORMATS) -> Column:
     """(book_title, first, last, is_edited, has_multiple, needs_lookup, format); null if nothing fits."""
     raw = normalize(F.coalesce(title, F.lit("")))
     marked = F.regexp_replace(raw, r"(?i)<(/?)(?:b|strong|em)>", "<$1i>")
     marked = strip(F.regexp_replace(F.regexp_replace(marked, r"(?i)^(?:Commissioned\s+)?Book\s*Reviews?\s*:?\s*", ""), r"^Review\s+of\s+", ""))
     sub = normalize(F.coalesce(subtitle if subtitle is not None else F.lit(None).cast("string"), F.lit("")))
     forms = F.struct(raw.alias("raw"), marked.alias("marked"), squeeze(strip_tags(marked)).alias("plain"), squeeze(strip_tags(raw)).alias("bare"), sub.alias("subtitle"))
-    return let(forms, lambda s: let(best_format(s), lambda b: let(first_author(b["author"]), lambda who: parsed(s, b, who))))
+    return let(forms, lambda s: let(best_format(s, formats), lambda b: let(first_author(b["author"]), lambda who: parsed(s, b, who))))
 
 
-def best_format(s: Column) -> Column:
-    """The first of FORMATS that fits and holds up: format, title, author, edited."""
+def best_format(s: Column, formats: tuple[Format, ...]) -> Column:
+    """The first of the formats that fits and holds up: format, title, author, edited."""
 
     def candidate(f: Format) -> Column:
         part = lambda k: squeeze(strip_tags(F.regexp_extract(s[f.on], f.pattern, k)))
@@ -98,7 +127,7 @@ def best_format(s: Column) -> Column:
         bare = F.regexp_replace(c["author"], rf"(?i),?\s*{ED}$", "")
         return c.isNotNull() & (F.length(c["title"]) >= c["least"]) & (~c["named"] | ((bare != "") & (~c["check"] | looks_like_name(bare))))
 
-    return F.try_element_at(F.filter(F.array(*(candidate(f) for f in FORMATS)), holds), F.lit(1))
+    return F.try_element_at(F.filter(F.array(*(candidate(f) for f in formats)), holds), F.lit(1))
 
 
 def parsed(s: Column, best: Column, who: Column) -> Column:

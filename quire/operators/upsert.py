@@ -58,8 +58,8 @@ def insert_or_ignore(catalog: DataFrame, batch: DataFrame, seq: str = "seq") ->
     text = [f.name for f in CATALOG if f.dataType.simpleString() == "string"]
     out = conform(fresh.withColumn("id", F.lit(None).cast("long"))).withColumns({c: F.coalesce(c, F.lit("")) for c in text})
     numbered = number_rows(out.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())), F.struct("publication_source", "doi", "review_link", "book_title"))
-    top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    return catalog.select(*CATALOG.names).unionByName(numbered.join(F.broadcast(top)).withColumn("id", F.col("top") + F.col("n")).select(*CATALOG.names))
+    top = catalog.agg(F.max("id")).first()[0] or 0
+    return catalog.select(*CATALOG.names).unionByName(numbered.withColumn("id", F.col("n") + top).select(*CATALOG.names))
 
 
 def number_rows(df: DataFrame, order: Column, name: str = "n") -> DataFrame:

@@ -34,6 +34,11 @@ def works_of(lookups: DataFrame) -> DataFrame:
     return lookups.select(F.monotonically_increasing_id().alias("work"), "title", F.col("publication_year").alias("year"), F.monotonically_increasing_id().alias("rank"), F.try_element_at("authorships", F.lit(1))["author"]["display_name"].alias("author"))
 
 
+def observed(rows: DataFrame, observation) -> DataFrame:
+    """Counts that a run takes on the way, without a pass of its own (A13). observation: pyspark.sql.Observation."""
+    return rows.observe(observation, F.count("*").alias("rows"), F.count_if(~is_blank("book_title")).alias("with_title"), F.count_if(~is_blank("book_author_last_name")).alias("with_author"))
+
+
 def ingest(catalog: DataFrame, items: DataFrame, works: DataFrame | None = None, journals: DataFrame | None = None, mode: str = "all") -> DataFrame:
     """The catalog's next snapshot."""
     rows = review_rows(items, mode)

@@ -88,6 +88,32 @@ def test_parsing(spark):
     assert spark.range(1).select(parse_title(F.lit("Book Review")).alias("p")).first().p.format == "generic"
 
 
+def test_sibling_parsers(spark):
+    from quire.operators import parse
+
+    cases = [
+        (parse.LOGIC_FORMATS, "Review: Ann Lee, Proof and Truth", "Proof and Truth", "Lee"),
+        (parse.LOGIC_FORMATS, "Ann B. Lee. Models and sets. Studies in logic. North-Holland Publishing, Amsterdam, 1980, xii + 200 pp.", "Models and sets", "Lee"),
+        (parse.LOGIC_FORMATS, "Models and sets, edited by Bo Ek, Oxford University Press, 1980, 200 pp.", "Models and sets", "Ek"),
+        (parse.MORAL_FORMATS, "Review of _Book Title_ by Author Name (Editor)", "Book Title", "Name"),
+        (parse.MORAL_FORMATS, 'Review: "Book Title" by Author Name', "Book Title", "Name"),
+        (parse.INDEX_FORMATS, "Book Title by Ann Lee. Cambridge: Cambridge University Press, 2001. pp.200", "Book Title", "Lee"),
+        (parse.INDEX_FORMATS, "Just a Title", "Just a Title", ""),
+        (parse.LOOKUP_FORMATS, "Book Review. The Nature of Perception John Foster", "The Nature of Perception", "Foster"),
+        (parse.ETHICS_FORMATS, "Lee, Ann, ed. <i>On Duty</i>. Pp. 20", "On Duty", "Lee"),
+    ]
+    for formats, title, book, last in cases:
+        p = spark.createDataFrame([(title,)], "t string").select(parse_title(F.col("t"), formats=formats).alias("p")).first().p
+        assert (p.book_title, p["last"]) == (book, last), (title, p)
+
+
+def test_small_predicates(spark):
+    df = spark.createDataFrame([("", "Lee"), ("nature of the mind", "x"), ("Ann", "van der Lee"), ("Ann", "Lee"), (None, None)], "f string, l string")
+    assert [r[0] for r in df.select(detect.is_suspect(F.col("f"), F.col("l"))).collect()] == [True, True, True, False, False]
+    t = spark.createDataFrame([("Books Received",), ("Note on X",), ("Volume 2 full issue",), ("On Liberty",), (None,)], "t string")
+    assert [r[0] for r in t.select(detect.is_skipped(F.col("t"))).collect()] == [True, True, True, False, False]
+
+
 def test_detection(spark):
     yes = ["<i>The View from Nowhere</i>", "Review of Mind", "On Liberty by John Mill", "Smith, John. Some Book", "Ann Lee: Thinking Machines", "A Book. New York: X, 1990. 200 pp."]
     no = ["Reply to critics of <i>The View from Nowhere</i>", "The nature of <i>de re</i> belief", "Erratum", "Justice and its limits", None]
@@ -129,6 +155,18 @@ def test_matching(spark):
     assert [(r.url, r.key) for r in matching.headline_matches(reviews, books).collect()] == [("u1", "k1")]
 
 
+def test_blocks_lose_no_similar_title(spark):
+    from quire.functions.text import title_similarity
+
+    rng = random.Random(3)
+    words = ["mind", "world", "the", "of", "reason", "truth", "being", "time", "self", "law"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 7))) + (": " + " ".join(rng.choice(words) for _ in range(3)) if rng.random() < 0.4 else "") for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(titles)), "record long, title string")
+    other = df.select(F.col("record").alias("work"), "title")
+    every = df.withColumnRenamed("title", "a").crossJoin(other.withColumnRenamed("title", "b")).where(title_similarity(F.col("a"), F.col("b")) >= 0.5)
+    assert {(r.record, r.work) for r in matching.similar_titles(df, other).collect()} == {(r.record, r.work) for r in every.collect()}
+
+
 def test_windows_and_pairs(spark):
     df = spark.createDataFrame([("p", 1, "2001"), ("p", 2, None), ("p", 3, "2002"), ("p", 4, None)], "g string, n int, head string")
     assert [r.year for r in windows.carry_forward(df, F.col("head"), "year", ["g"], ["n"]).orderBy("n").collect()] == ["2001", "2001", "2002", "2002"]

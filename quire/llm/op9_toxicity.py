@@ -35,7 +35,7 @@ from quire.llm.words import texts_of
 ENTRIES, CANDIDATES = 500, 20_000
 PREFIXES = range(4, 11)
 LEAST_CONTEXTS, LEAST_TEXTS = 5, 3
-MAX_LABELLED = 20_000
+MAX_LABELLED = 8_000
 THRESHOLD = 0.3
 
 #: Letters of other scripts that look like Latin ones, then signs used for letters.
@@ -116,7 +116,7 @@ def contexts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = folding()
         for batch in batches:
-            seen: set[tuple[str, str, int]] = set()
+            seen: set[tuple[str, int, int]] = set()
             for text in batch.column(0).to_pylist():
                 name = hash_of(text or "")
                 words = [w for w in fold(text or "", table) if w]
@@ -124,12 +124,12 @@ def contexts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
                     place = None
                     for e in entries_of(word):
                         if wanted is None or e in wanted:
-                            place = f"{before} {after}" if place is None else place
+                            place = hash_of(f"{before} {after}") if place is None else place
                             seen.add((e, place, name))
             cols = list(zip(*seen)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["entry", "place", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["entry", "place", "name"])
 
-    found = rows.select("text").mapInArrow(run, "entry string, place string, name long").select("entry", F.xxhash64("place").alias("place"), "name")
+    found = rows.select("text").mapInArrow(run, "entry string, place long, name long")
     return found.groupBy("entry").agg(F.countDistinct("place").alias("n"), F.countDistinct("name").alias("texts"))
 
 

@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies."""
+    """Keeps the document with the least id of each group of near copies (shingles of five words, similarity 0.8)."""
     found = op10_setsketch.near_duplicates(docs)
     return keep(docs, found.where("kept"))
 

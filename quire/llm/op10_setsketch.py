@@ -5,18 +5,20 @@ REGISTERS registers: the least of an exponential variate over its shingles, on a
 powers of BASE_B and truncated to 16 bits. Registers of a union are the maxima of registers,
 so sketches merge; two sets agree in a register about as often as their Jaccard similarity.
 
-1. Band: BANDS bands of ROWS registers. Classes that share a band are linked to its least
+1. Band: the registers in bands of as many as miss a link at the threshold with less than
+   MISS. Classes that share a band are linked to its least
    member, and the components of these links are clusters: any two classes that share a
    band are in one cluster, without a pair of them being written out.
 2. Estimate: inside a cluster, the joint likelihood of two sketches, given both set sizes,
-   tells whether the most likely similarity is above FLOOR. Classes with no such partner
+   tells whether the most likely similarity is within SLACK of the threshold. Classes with no such partner
    are left out.
 3. Verify: the full sets of the rest are compared exactly; only a spanning forest of the
    links leaves a task.
 
 Clusters are cut into blocks of about BLOCK classes, and each pair of blocks is one task,
-so no task holds a large cluster. Two sets at the threshold of 0.85 share no band with
-probability (1 - 0.85^ROWS)^BANDS = 8e-7, and the estimate loses one with about 1e-8.
+so no task holds a large cluster. With 5 registers a band, two sets at 0.85 share no band with
+probability (1 - 0.85^5)^24 = 8e-7; with 4, two sets at 0.8 with (1 - 0.8^4)^30 = 1e-7. The
+estimate loses such a pair with about 1e-8.
 
 Nulls: a null text has an empty set, linked with nothing, as has a text without words. Null
 ids count as larger than all others; a component of null ids only has a null component_id
@@ -37,15 +39,20 @@ from quire.llm.components import components
 from quire.llm.shared import cut
 from quire.llm.words import Texts, ascii_lower, gram_hashes, gram_starts, mix, nonspace_class, owner, spans, texts_of, word_hashes
 
-SHINGLE = 3
-BANDS, ROWS = 24, 5
-REGISTERS = BANDS * ROWS
+SHINGLE, PERCENT = 5, 80
+REGISTERS = 120
+MISS = 1e-6
 BASE_B, RATE, TOP = 1.001, 20.0, 65535
-FLOOR = 0.65
+SLACK = 0.2
 BLOCK = 512
 
 
-def shingle_sets(texts: Texts, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def rows_of_band(percent: int) -> int:
+    """The most registers in a band that still miss a link at the threshold with less than MISS."""
+    return max(r for r in range(1, REGISTERS + 1) if REGISTERS % r == 0 and (r == 1 or (1 - (percent / 100) ** r) ** (REGISTERS // r) < MISS))
+
+
+def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of every text, and the texts' offsets in them."""
     out, counts = [np.zeros(0, np.uint64)], []
     for _, block in texts.blocks():
@@ -86,7 +93,7 @@ def registers(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(df: DataFrame) -> DataFrame:
+def sketch(df: DataFrame, width: int) -> DataFrame:
     """id, n (set size), k1, k2 (128 bits of the set), regs, body (compressed text); df has id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +101,7 @@ def sketch(df: DataFrame) -> DataFrame:
         for batch in batches:
             texts = texts_of(batch.column(1))
             for first, part in texts.blocks():
-                h, off = shingle_sets(part)
+                h, off = shingle_sets(part, width)
                 full = off[1:] > off[:-1]
                 keys = np.zeros((2, len(part)), np.uint64)
                 for k in range(2):
@@ -110,14 +117,15 @@ def sketch(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, regs binary, body binary")
 
 
-def bands(classes: DataFrame) -> DataFrame:
-    """(band, cls): one row for each of the BANDS bands of a class."""
+def bands(classes: DataFrame, size: int) -> DataFrame:
+    """(band, cls): one row for each band of `size` registers of a class."""
+    count = REGISTERS // size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS).astype(np.uint64)
-            keys = [gram_hashes(mix(regs[:, b * ROWS : (b + 1) * ROWS] + np.uint64(b << 16)).ravel(), ROWS)[::ROWS] for b in range(BANDS)] if len(regs) else []
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(np.tile(batch.column(0).to_numpy(), BANDS))], names=["band", "cls"])
+            keys = [gram_hashes(mix(regs[:, b * size : (b + 1) * size] + np.uint64(b << 16)).ravel(), size)[::size] for b in range(count)] if len(regs) else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(np.tile(batch.column(0).to_numpy(), count))], names=["band", "cls"])
 
     return classes.select("cls", "regs").mapInArrow(run, "band long, cls long")
 
@@ -218,14 +226,14 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verified(members: DataFrame, percent: int, block: int) -> DataFrame:
+def verified(members: DataFrame, percent: int, width: int, block: int) -> DataFrame:
     """Links (a, b) between classes of 100 * intersection >= percent * union, enough to connect each component."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("cls").combine_chunks()
         expand = zstandard.ZstdDecompressor()
         bodies = [expand.decompress(b) for b in table.column("body").to_pylist()]
-        h, off = shingle_sets(texts_of(pa.array(bodies, pa.large_binary())))
+        h, off = shingle_sets(texts_of(pa.array(bodies, pa.large_binary())), width)
         sets = [h[p:q] for p, q in zip(off[:-1], off[1:])]
         n, cls = np.diff(off), table.column("cls").to_numpy()
         a, b = sides(table)
@@ -239,17 +247,17 @@ def verified(members: DataFrame, percent: int, block: int) -> DataFrame:
     return in_blocks(members.select("cluster", "cls", "body"), block).groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, block: int = BLOCK) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """key, n_shingles, component_id (least key of the component), kept."""
-    rows = cut(sketch(df.select(F.col(key).alias("id"), F.col(text).alias("text")))).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(sketch(df.select(F.col(key).alias("id"), F.col(text).alias("text")), width)).withColumn("row", F.monotonically_increasing_id())
     classes = cut(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("cls"), F.min("id").alias("low"), F.first("regs").alias("regs")))
-    banded = bands(classes)
+    banded = bands(classes, rows_of_band(percent))
     hubs = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub")
     links = banded.join(hubs, "band").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     clustered = with_roots(components(links), "cluster")
-    likely_ones = plausible(clustered.join(classes, "cls"), FLOOR, block)
+    likely_ones = plausible(clustered.join(classes, "cls"), percent / 100 - SLACK, block)
     held = cut(likely_ones.join(rows.select(F.col("row").alias("cls"), "body"), "cls"))
-    roots = components(verified(held, percent, block))
+    roots = components(verified(held, percent, width, block))
     named = classes.select("k1", "k2", "n", F.col("cls").alias("a"), "low").join(roots, "a", "left").select("k1", "k2", "n", "low", F.coalesce("root", "a").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(least, "root").select("k1", "k2", "n", "component_id", F.lit(True).alias("found"))
@@ -264,4 +272,4 @@ def with_roots(found: DataFrame, name: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85, width=3)

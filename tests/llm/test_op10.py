@@ -7,13 +7,13 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def shingles(t):
+def shingles(t, width):
     w = WORD.findall((t or "").encode().translate(LOWER))
-    return frozenset(zip(w, w[1:], w[2:])) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-def brute(docs, percent=85):
-    sets = [shingles(t) for _, t in docs]
+def brute(docs, percent=80, width=5):
+    sets = [shingles(t, width) for _, t in docs]
     root = list(range(len(docs)))
 
     def find(x):
@@ -49,10 +49,10 @@ def test_against_brute_force(spark):
     docs += [(500, None), (501, ""), (502, " "), (503, "one"), (504, "ONE"), (505, "one two"), (506, "one one"), (507, docs[3][1]), (1, docs[9][1]), (None, docs[9][1]), (None, "alone here now")]
     rng.shuffle(docs)
     df = spark.createDataFrame([(a, b, 1, False) for a, b in docs], "doc_id long, text string, n long, kept boolean").repartition(3)
-    want = brute(docs)
-    for block in (512, 7):
-        got = sorted((tuple(r) for r in op10_setsketch.near_duplicates(df, block=block).collect()), key=repr)
-        assert got == want
+    for percent, width, block in ((85, 3, 512), (85, 3, 7), (80, 5, 512)):
+        got = sorted((tuple(r) for r in op10_setsketch.near_duplicates(df, percent=percent, width=width, block=block).collect()), key=repr)
+        assert got == brute(docs, percent, width)
+    assert (op10_setsketch.rows_of_band(85), op10_setsketch.rows_of_band(80)) == (5, 4)
     assert op10_setsketch.near_duplicates(df.limit(0)).collect() == []
 
 

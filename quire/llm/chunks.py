@@ -110,6 +110,7 @@ def ask(source: DataFrame, keys_of: Callable, buckets: int) -> DataFrame:
     """keys_of(pa.Table) yields (part, sorted distinct uint64 keys, entry array or None)."""
 
     def rows(chunk: int, body: bytes) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=1)
         cols: dict[str, list] = {k: [] for k in ("bucket", "chunk", "part", "keys", "more")}
         for part, keys, more in keys_of(thaw(body)):
             names, at = cuts(keys, buckets)
@@ -117,8 +118,8 @@ def ask(source: DataFrame, keys_of: Callable, buckets: int) -> DataFrame:
                 cols["bucket"].append(name)
                 cols["chunk"].append(chunk)
                 cols["part"].append(part)
-                cols["keys"].append(planes(keys[at[k] : at[k + 1]]))
-                cols["more"].append(None if more is None else more[at[k] : at[k + 1]].tobytes())
+                cols["keys"].append(squeeze.compress(planes(keys[at[k] : at[k + 1]])))
+                cols["more"].append(None if more is None else squeeze.compress(more[at[k] : at[k + 1]].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(cols["bucket"], pa.int64()), pa.array(cols["chunk"], pa.int64()), pa.array(cols["part"], pa.int32()), pa.array(cols["keys"], pa.binary()), pa.array(cols["more"], pa.binary())], names=list(cols))
 
     def run(batches):
@@ -133,6 +134,7 @@ def ask_again(packed: DataFrame, answers: DataFrame, keys_of: Callable, buckets:
     """As ask(), where keys_of(table, answers of the chunk) also has what was answered so far."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        squeeze = zstandard.ZstdCompressor(level=1)
         cols: dict[str, list] = {k: [] for k in ("bucket", "chunk", "part", "keys", "more")}
         for body in left.column("body").to_pylist():
             for part, keys, more in keys_of(thaw(body), Answers(right, buckets)):
@@ -141,8 +143,8 @@ def ask_again(packed: DataFrame, answers: DataFrame, keys_of: Callable, buckets:
                     cols["bucket"].append(name)
                     cols["chunk"].append(key[0].as_py())
                     cols["part"].append(part)
-                    cols["keys"].append(planes(keys[at[k] : at[k + 1]]))
-                    cols["more"].append(None if more is None else more[at[k] : at[k + 1]].tobytes())
+                    cols["keys"].append(squeeze.compress(planes(keys[at[k] : at[k + 1]])))
+                    cols["more"].append(None if more is None else squeeze.compress(more[at[k] : at[k + 1]].tobytes()))
         return pa.table([pa.array(cols["bucket"], pa.int64()), pa.array(cols["chunk"], pa.int64()), pa.array(cols["part"], pa.int32()), pa.array(cols["keys"], pa.binary()), pa.array(cols["more"], pa.binary())], names=list(cols))
 
     return packed.select("chunk", "body").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, ASKED)
@@ -156,10 +158,11 @@ def settle(asked: DataFrame, decide: Callable, more_type: str | None, summary: C
     """
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [unplanes(k) for k in table.column("keys").to_pylist()]
+        expand = zstandard.ZstdDecompressor().decompress
+        keys = [unplanes(expand(k)) for k in table.column("keys").to_pylist()]
         sizes = np.array([len(k) for k in keys], np.int64)
         chunk = np.repeat(table.column("chunk").to_numpy(), sizes)
-        more = np.concatenate([np.frombuffer(m, more_type) for m in table.column("more").to_pylist()]) if more_type else None
+        more = np.concatenate([np.frombuffer(expand(m), more_type) for m in table.column("more").to_pylist()]) if more_type else None
         joined = np.concatenate(keys)
         got = decide(joined, chunk, more)
         at = np.concatenate([[0], np.cumsum(sizes)])

@@ -62,7 +62,7 @@ def own_counts(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndar
     return distinct, np.bincount(back, weights=train, minlength=len(distinct)).astype(np.uint32), back
 
 
-def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", mu: float = MU, chunk_bytes: int = 16 << 20) -> DataFrame:
+def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", mu: float = MU, chunk_bytes: int = 10 << 20) -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score; `train` marks the rows to learn from."""
     kind = df.schema[key].dataType.simpleString()
     packed = pack(df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train")), chunk_bytes)
@@ -70,7 +70,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
 
     def ask_counts(rows: pa.Table):
         word, before, off = tokens(rows)
-        learn = np.repeat(rows.column("train").to_numpy(), np.diff(off)).astype(np.float64)
+        learn = np.repeat(rows.column("train").to_numpy().astype(np.float32), np.diff(off))
         for part, keys in enumerate((word, pairs(before, word))):
             distinct, count, _ = own_counts(keys, learn)
             yield part, distinct, count

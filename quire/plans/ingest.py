@@ -10,6 +10,7 @@ from quire.functions.names import split_name, surname_key
 from quire.operators import classify, matching, symposia, upsert
 from quire.schema import filled, is_blank
 from quire.sources.landed import review_rows
+from quire.storage import cut
 
 
 def issue_items(items: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def observed(rows: DataFrame, observation) -> DataFrame:
 
 def ingest(catalog: DataFrame, items: DataFrame, works: DataFrame | None = None, journals: DataFrame | None = None, mode: str = "all") -> DataFrame:
     """The catalog's next snapshot."""
-    rows = review_rows(items, mode)
+    rows = cut(review_rows(items, mode))  # parsed once, read by several joins
     members = symposia.by_markers(issue_items(items))
     clusters = symposia.records(members, symposia.inferred_title(members)).dropDuplicates(["doi"])
     upgrade = clusters.select("doi", F.col("symposium_group").alias("g"), F.lit(True).alias("hit"))

@@ -245,24 +245,37 @@ def first_positions(spark, sf_dir):
     return windows.first_seen(table(spark, sf_dir, "events"), "event_type", "event_id")
 
 
-SIMILARITY = r"""WITH p AS (SELECT p_partkey, p_type, trim(regexp_replace(lower(p_name), '[^a-z0-9 ]', '', 'g')) AS k FROM part),
-    q AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.k AS x, b.k AS y, list_distinct(list_filter(string_split(a.k, ' '), lambda w: w <> '')) AS p, list_distinct(list_filter(string_split(b.k, ' '), lambda w: w <> '')) AS q FROM p a JOIN p b ON a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
-    o AS (SELECT *, len(list_intersect(p, q)) / greatest(len(p), len(q), 1) AS o, least(length(x), length(y)) / greatest(length(x), length(y)) AS r, starts_with(x, y) OR starts_with(y, x) AS f FROM q)
-    SELECT a, b, round(CASE WHEN x = y THEN 1.0 WHEN f THEN 0.95 * r WHEN o > 0.8 THEN 0.95 * o ELSE 0.6 * o END, 6) AS score FROM o"""
+SIMILARITY = r"""WITH p AS (SELECT n, trim(regexp_replace(lower(n), '[^a-z0-9 ]', '', 'g')) AS k FROM (SELECT p_name AS n FROM part UNION SELECT p_name || 's' FROM part)),
+    q AS (SELECT a.n AS a, b.n AS b, a.k AS x, b.k AS y, list_distinct(list_filter(string_split(a.k, ' '), lambda w: w <> '')) AS p, list_distinct(list_filter(string_split(b.k, ' '), lambda w: w <> '')) AS q FROM p a JOIN p b ON a.n <> b.n),
+    o AS (SELECT *, len(list_intersect(p, q)) / greatest(len(p), len(q), 1) AS o, least(length(x), length(y)) / greatest(length(x), length(y)) AS r, starts_with(x, y) OR starts_with(y, x) AS f FROM q),
+    s AS (SELECT a, b, round(CASE WHEN x = y THEN 1.0 WHEN f THEN 0.95 * r WHEN o > 0.8 THEN 0.95 * o ELSE 0.6 * o END, 6) AS score FROM o)"""
 
 
-@register("title_similarity", SIMILARITY)
+def distinct_names(spark, sf_dir):
+    """Pairs of different names, singular or plural, of similarity 0.5 or more, through the blocking keys."""
+    part = table(spark, sf_dir, "part")
+    n = part.select("p_name").union(part.select(F.concat("p_name", F.lit("s")))).distinct()
+    pairs = matching.similar_titles(n.select(F.col("p_name").alias("record"), F.col("p_name").alias("title")), n.select(F.col("p_name").alias("work"), F.col("p_name").alias("title")))
+    return pairs.where("record <> work").select(F.col("record").alias("a"), F.col("work").alias("b"), F.round("score", 6).alias("score"))
+
+
+@register("title_similarity", SIMILARITY + " SELECT a, b, score FROM s WHERE score >= 0.5 AND a < b")
 def title_similarity(spark, sf_dir):
-    """F25, X4"""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
-    pairs = p.select("p_type", F.col("p_partkey").alias("a"), F.col("p_name").alias("x")).join(p.select("p_type", F.col("p_partkey").alias("b"), F.col("p_name").alias("y")), "p_type").where("a < b")
-    return pairs.select("a", "b", F.round(text.title_similarity(F.col("x"), F.col("y")), 6).alias("score"))
+    """F25, X4, J6"""
+    return distinct_names(spark, sf_dir).where("a < b")
 
 
-@register("best_match", SIMILARITY.replace("SELECT a, b, round", ", s AS (SELECT a, b, round").replace("AS score FROM o", "AS score FROM o) SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM s) WHERE rn = 1"))
+@register("best_match", SIMILARITY + " SELECT a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn FROM s WHERE score >= 0.5) WHERE rn = 1")
 def best_match(spark, sf_dir):
     """J6, W2"""
-    return windows.best(title_similarity(spark, sf_dir), ["a"], [F.desc("score"), F.col("b")])
+    return windows.best(distinct_names(spark, sf_dir), ["a"], [F.desc("score"), F.col("b")])
+
+
+@register("name_scores", r"""SELECT p_partkey, round(CASE WHEN x = y THEN 1.0 WHEN starts_with(x, y) OR starts_with(y, x) THEN 0.95 * least(length(x), length(y)) / greatest(length(x), length(y)) WHEN o > 0.8 THEN 0.95 * o ELSE 0.6 * o END, 6) AS score
+    FROM (SELECT p_partkey, x, 'small ring' AS y, len(list_intersect(list_distinct(string_split(x, ' ')), ['small', 'ring'])) / greatest(len(list_distinct(string_split(x, ' '))), 2) AS o FROM (SELECT p_partkey, lower(p_name) AS x FROM part))""")
+def name_scores(spark, sf_dir):
+    """F25 as a projection over all rows"""
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(text.title_similarity(F.col("p_name"), F.lit("small ring")), 6).alias("score"))
 
 
 @register("url_normalize", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://(?:www\.)?', 'https://'), '/+$', '') AS norm_url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)), '^www\.', '') AS domain FROM pages")

@@ -189,3 +189,13 @@ def top_unclassified(catalog: DataFrame, n: int = 20) -> DataFrame:
 def newest_unclassified(catalog: DataFrame, n: int = 200) -> DataFrame:
     """O5"""
     return catalog.where(is_blank("subfield_primary")).orderBy(F.desc("id")).limit(n)
+
+
+def first_n(view: DataFrame, n: int, *order: Column) -> DataFrame:
+    """The first n rows of an order, ties by id; a run's limit."""
+    return view.orderBy(*order, "id").limit(n)
+
+
+def choices(names: dict[str, str]) -> list[tuple[str, str]]:
+    """(value, display name) by display name, for a filter's menu."""
+    return sorted(names.items(), key=lambda kv: (kv[1], kv[0]))

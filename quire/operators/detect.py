@@ -104,6 +104,11 @@ def is_placeholder(title: Column, last: Column) -> Column:
     return F.lower(F.coalesce(title, F.lit(""))).isin("book review", "book reviews", "reviews", "review", "book notes") & is_blank(last)
 
 
+def is_generic(title: Column) -> Column:
+    """a title that only says that this is a book review."""
+    return F.coalesce(F.lower(title).isin("book review", "book reviews"), F.lit(False))
+
+
 def has_metadata(title: Column) -> Column:
     """Bibliographic matter inside a title."""
     return F.coalesce(title.rlike(r"(?i)isbn|\bpp\.|\d+ pages|university press|\$\d|£\d|hardcover|paperback"), F.lit(False))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.names import first_author, is_edited, looks_like_name
+from quire.functions.names import first_author, has_function_word, is_edited, looks_like_name
 from quire.functions.text import let, normalize, squeeze, strip, strip_tags
 
 #: Fixed value: words of publishers that mark a citation's tail.
@@ -125,7 +125,7 @@ def best_format(s: Column, formats: tuple[Format, ...]) -> Column:
 
     def holds(c: Column) -> Column:
         bare = F.regexp_replace(c["author"], rf"(?i),?\s*{ED}$", "")
-        return c.isNotNull() & (F.length(c["title"]) >= c["least"]) & (~c["named"] | ((bare != "") & (~c["check"] | looks_like_name(bare))))
+        return c.isNotNull() & (F.length(c["title"]) >= c["least"]) & (~c["named"] | ((bare != "") & (~c["check"] | looks_like_name(bare)) & ((c["format"] != "author_colon_title") | ~has_function_word(bare))))
 
     return F.try_element_at(F.filter(F.array(*(candidate(f) for f in formats)), holds), F.lit(1))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from quire.functions.dates_urls import issue_key
 from quire.functions.text import squeeze, strip_tags
 from quire.operators.detect import is_no_symposium, is_precis, is_reply
+from quire.operators.upsert import place_in_group
 from quire.operators.windows import until_first
+from quire.schema import is_blank
 
 ISSUE = ["journal", "volume", "issue"]
 
@@ -69,6 +73,25 @@ def by_markers(items: DataFrame, before: int = 10, after: int = 80) -> DataFrame
     return members.withColumn("size", size).where("size >= 2").withColumn("symposium_group", issue_key(*(F.col(c) for c in ISSUE))).drop("size")
 
 
+def merged_markers(*hits: DataFrame) -> DataFrame:
+    """Lists of markers as one (J19): the first list's hit of each DOI, in the order of DOIs. Hits without DOI go."""
+    ranked = [h.withColumn("list", F.lit(k)) for k, h in enumerate(hits)]
+    every = reduce(lambda a, b: a.unionByName(b), ranked).where(~is_blank("doi"))
+    row = F.struct(*hits[0].columns)
+    return every.groupBy(F.col("doi").alias("key")).agg(F.min_by(row, F.struct("list", F.coalesce("start_page", F.lit(-1)), "title")).alias("hit")).select("hit.*").orderBy("doi")
+
+
+def issue_lists(items: DataFrame, size: int = 1000) -> DataFrame:
+    """(journal, volume, issue, part, items): the items of each issue by start page.
+
+    Items without volume or issue go. A list has `size` items at most; a larger issue has several parts.
+    """
+    placed = place_in_group(items.where(~is_blank("volume") & ~is_blank("issue")), ISSUE, ["start_page", "doi"])
+    part = ((F.col("place") - 1) / size).cast("long").alias("part")
+    entry = F.struct("place", *(c for c in items.columns if c not in ISSUE))
+    return placed.groupBy(*ISSUE, part).agg(F.array_sort(F.collect_list(entry)).alias("items"))
+
+
 def inferred_title(members: DataFrame) -> DataFrame:
     """(symposium_group, book_title): the first sibling that tells it, by page."""
     italic = F.rtrim(squeeze(F.regexp_extract("title", r"(?i)<i>(.+?)</i>", 1)), F.lit(".,:"))

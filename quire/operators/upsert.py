@@ -63,12 +63,38 @@ def insert_or_ignore(catalog: DataFrame, batch: DataFrame, seq: str = "seq") ->
 
 
 def number_rows(df: DataFrame, order: Column, name: str = "n") -> DataFrame:
-    """1, 2, 3... in an order, without sorting all rows in one task: ranges first, then offsets."""
-    ranged = df.withColumn("sort_key", order).repartitionByRange("sort_key").sortWithinPartitions("sort_key").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy("at")))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))  # one row per partition
+    """1, 2, 3... in an order, without sorting all rows in one task: ranges first, then offsets.
+
+    The sorted ranges are checkpointed, since both the offsets and the rows are read from them:
+    ranges that were dealt twice could differ. An id's low 33 bits are its place in the range.
+    """
+    ranged = cut(df.withColumn("sort_key", order).repartitionByRange("sort_key").sortWithinPartitions("sort_key").withColumn("at", F.monotonically_increasing_id()))
+    placed = ranged.withColumns({"part": F.shiftright("at", 33), "within": F.col("at").bitwiseAND((1 << 33) - 1) + 1})
+    sizes = placed.groupBy("part").agg(F.count("*").alias("size"))  # one row per partition
     before = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("within")).drop("sort_key", "part", "at", "within", "before")
+    return placed.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("within")).drop("sort_key", "part", "at", "within", "before")
+
+
+def place_in_group(df: DataFrame, group: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """1, 2, 3... within each group (W7, O8). A group may be spread over many tasks: its places are global ones less its first."""
+    numbered = cut(number_rows(df, F.struct(*group, *order), "overall"))
+    first = numbered.groupBy(*(F.col(g).alias(f"in_{g}") for g in group)).agg(F.min("overall").alias("start"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"in_{g}"))
+    return numbered.join(first, same).withColumn(name, F.col("overall") - F.col("start") + 1).select(*df.columns, name)
+
+
+def not_in(df: DataFrame, key: str, listed: DataFrame, column: str) -> DataFrame:
+    """SQL's NOT IN (J20): a null in a list that isn't empty, or a null key against one, leaves nothing.
+
+    An anti join on the key, and one row of counts, so that the list is never sent whole to all tasks.
+    """
+    facts = listed.agg(F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("nulls"))
+    empty = facts.select(F.col("n") == 0).scalar()
+    sound = facts.select(F.col("nulls") == 0).scalar()
+    rest = df.join(listed.select(F.col(column).alias("listed")).distinct(), F.col(key) == F.col("listed"), "left_anti")
+    return rest.where(empty | (sound & F.col(key).isNotNull()))
 
 
 def update_by_key(catalog: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:

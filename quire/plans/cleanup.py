@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import names, text
-from quire.operators.detect import is_no_review, is_placeholder
+from quire.operators.detect import is_generic, is_no_review, is_placeholder
 from quire.operators.matching import mapped
 from quire.operators.upsert import changes, survivors
 from quire.schema import filled, is_blank
@@ -63,9 +63,16 @@ def too_long(c):
     return F.when((F.length(c) > 50) | ((F.length(c) > 20) & c.rlike("[0-9]")), F.lit(None)).otherwise(c)
 
 
+def shorter_title(c):
+    """A title of over 150 characters without its citation, if that is shorter and anything is left."""
+    bare = text.strip_citation_tail(c)
+    return F.when((F.length(c) > 150) & (F.length(bare) < F.length(c)) & (bare != ""), bare).otherwise(c)
+
+
 PHASES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "no_reviews": lambda df: df.where(~is_no_review(F.col("book_title"), F.col("publication_source"))),
     "placeholders": lambda df: df.where(~is_placeholder(F.col("book_title"), F.col("book_author_last_name"))),
+    "generic_titles": lambda df: df.where(~is_generic(F.col("book_title"))),
     "entities": lambda df: df.withColumns({c: text.html_unescape(c) for c in ("book_title", "review_summary", "publication_source")}).withColumns({c: text.unescape_name(F.col(c)) for c in PERSONS}),
     "journal_names": lambda df: mapped(df, "publication_source", JOURNAL_NAMES),
     "review_prefix": on(("book_title",), text.strip_review_prefix),
@@ -82,7 +89,7 @@ PHASES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "tags": on(("book_title",), lambda c: F.when(c.rlike("<.*>"), text.strip_known_tags(c)).otherwise(c)),
     "editor_annotations": on_author(if_named(names.repaired_editor)),
     "name_swaps": on_author(if_named(names.repaired_swap)),
-    "long_titles": on(("book_title",), lambda c: F.when(F.length(c) > 150, text.strip_citation_tail(c)).otherwise(c)),
+    "long_titles": on(("book_title",), shorter_title),
     "garbled": null_author(names.is_garbled),
     "self_reviews": lambda df: df.where(~F.coalesce((F.col("entry_type") == "review") & ~is_blank("book_author_last_name") & (F.col("book_author_first_name") == F.col("reviewer_first_name")) & (F.col("book_author_last_name") == F.col("reviewer_last_name")), F.lit(False))),
 }

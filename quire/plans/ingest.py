@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.dates_urls import page_end, page_start, year_of
 from quire.functions.names import split_name, surname_key
 from quire.operators import classify, matching, symposia, upsert
-from quire.schema import filled, is_blank
+from quire.schema import filled, is_blank, titled
 from quire.sources.landed import review_rows
 from quire.storage import cut
 
@@ -51,7 +51,7 @@ def ingest(catalog: DataFrame, items: DataFrame, works: DataFrame | None = None,
     batch = rows.unionByName(extra, allowMissingColumns=True)
     if works is not None:
         batch = enrich(batch, works)
-    out = upsert.insert_or_ignore(catalog, batch.where(~is_blank("book_title")))
+    out = upsert.insert_or_ignore(catalog, titled(batch))
     return classify.classify(out, journals) if journals is not None else out
 
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from quire.functions import dates_urls, names, text
 from quire.operators import browse, detect, matching, symposia, upsert, windows
 from quire.operators.parse import parse_title
-from quire.schema import conform, is_blank
+from quire.schema import conform, from_headings, is_blank, titled
 from quire.sources import landed
+from quire.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,7 +172,10 @@ def dedupe_survivor(spark, sf_dir):
     return windows.best(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("h")), ["h", "lang"], [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", "lang")
 
 
-@register("two_key_insert")
+@register("two_key_insert", """WITH o AS (SELECT o_orderkey AS seq, 'c' || (o_custkey % 97) AS doi, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'd' || (trunc(o_totalprice)::BIGINT % 89) END AS review_link FROM orders),
+    s AS (SELECT list_reduce(list({'seq': [seq], 'd': [doi], 'l': CASE WHEN review_link = '' THEN []::VARCHAR[] ELSE [review_link] END} ORDER BY seq),
+      lambda a, x: CASE WHEN list_has_any(a.d, x.d) OR list_has_any(a.l, x.l) THEN a ELSE {'seq': list_concat(a.seq, x.seq), 'd': list_concat(a.d, x.d), 'l': list_concat(a.l, x.l)} END) AS kept FROM o)
+    SELECT o.* FROM o JOIN (SELECT unnest(kept.seq) AS seq FROM s) USING (seq)""")
 def two_key_insert(spark, sf_dir):
     """SK2: insert-or-ignore on two keys, first wins (tests hold it against a sequential insert)"""
     o = table(spark, sf_dir, "orders")
@@ -432,6 +436,78 @@ def citation_tail(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.strip_citation_tail(t).alias("title"))
 
 
+@register("row_position", "SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS place, role FROM conversations")
+def row_position(spark, sf_dir):
+    """Places in groups of any size, no group in one task"""
+    return upsert.place_in_group(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["role"], ["conv_id", "turn"])
+
+
+@register("issue_lists", "SELECT 'c' || (o_custkey % 50) AS journal, o_orderpriority AS volume, o_orderstatus AS issue, count(*) AS n, min(o_orderkey) AS first_key, string_agg(o_orderkey, ',' ORDER BY o_orderdate, o_orderkey) AS keys FROM orders GROUP BY 1, 2, 3")
+def issue_lists(spark, sf_dir):
+    """Items of an issue in their order, joined again from the parts of its list"""
+    o = table(spark, sf_dir, "orders")
+    items = o.select(F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string")).alias("journal"), F.col("o_orderpriority").alias("volume"), F.col("o_orderstatus").alias("issue"), F.col("o_orderdate").alias("start_page"), F.col("o_orderkey").alias("doi"))
+    parts = symposia.issue_lists(items).select(*symposia.ISSUE, F.struct("part", F.col("items.doi").alias("keys")).alias("p"))
+    whole = parts.groupBy(*symposia.ISSUE).agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["keys"])).alias("k"))
+    return whole.select(*symposia.ISSUE, F.size("k").cast("long").alias("n"), F.array_min("k").alias("first_key"), F.array_join(F.transform("k", lambda x: x.cast("string")), ",").alias("keys"))
+
+
+@register("not_in_list", "SELECT o_orderkey AS orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def not_in_list(spark, sf_dir):
+    """J20"""
+    listed = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey")
+    return upsert.not_in(table(spark, sf_dir, "orders"), "o_custkey", listed, "c_custkey").select(F.col("o_orderkey").alias("orderkey"))
+
+
+@register("not_in_with_null", "SELECT o_orderkey AS orderkey FROM orders WHERE o_custkey NOT IN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey END FROM customer)")
+def not_in_with_null(spark, sf_dir):
+    """J20 with nulls in the list: nothing is left"""
+    listed = table(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("k"))
+    return upsert.not_in(table(spark, sf_dir, "orders"), "o_custkey", listed, "k").select(F.col("o_orderkey").alias("orderkey"))
+
+
+@register("merged_markers", "SELECT doi, arg_min(title, (list, start_page)) AS title FROM (SELECT 0 AS list, 'u' || user_id AS doi, event_type AS title, event_id AS start_page FROM events WHERE event_type = 'signup' UNION ALL SELECT 1, 'u' || user_id, event_type, event_id FROM events WHERE event_type = 'purchase') GROUP BY doi")
+def merged_markers(spark, sf_dir):
+    """J19"""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("doi"), F.col("event_type").alias("title"), F.col("event_id").alias("start_page"))
+    return symposia.merged_markers(e.where("title = 'signup'"), e.where("title = 'purchase'")).select("doi", "title")
+
+
+@register("first_n", "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 100")
+def first_n(spark, sf_dir):
+    """O6, O7"""
+    return browse.first_n(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "value"), 100, F.desc("value")).select(F.col("id").alias("event_id"), "value")
+
+
+@register("headings", "SELECT p_name AS book_title, p_brand AS publication_source, '' AS doi FROM part WHERE p_partkey % 4 <> 0")
+def headings(spark, sf_dir):
+    """P2, P36"""
+    part = table(spark, sf_dir, "part")
+    return titled(from_headings(part.select(F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).alias("Book Title"), F.col("p_brand").alias("Publication Source")))).select("book_title", "publication_source", "doi")
+
+
+@register("function_words", r"SELECT doc_id, list_has_any(string_split_regex(lower(trim(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2))), '\s+'), ['the', 'a', 'an', 'of', 'on', 'in', 'for', 'and', 'to', 'from', 'with', 'at', 'by', 'or', 'nor', 'but', 'is', 'are', 'was', 'not', 'no', 'its', 'their', 'our', 'all']) AS has FROM documents")
+def function_words(spark, sf_dir):
+    """X6 on the first two words"""
+    t = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
+    return table(spark, sf_dir, "documents").select("doc_id", names.has_function_word(t).alias("has"))
+
+
+@register("generic_titles", "SELECT p_partkey, p_name FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'Book Reviews' ELSE p_name END AS p_name FROM part) WHERE lower(p_name) NOT IN ('book review', 'book reviews')")
+def generic_titles(spark, sf_dir):
+    """F27"""
+    named = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 == 0, "Book Reviews").otherwise(F.col("p_name")).alias("p_name"))
+    return named.where(~detect.is_generic(F.col("p_name")))
+
+
+@register("stream_fresh_events", "SELECT event_id, user_id, event_type FROM events")
+def stream_fresh_events(spark, sf_dir):
+    """Streaming (survey section 2.13): events polled in micro-batches, each once, written and read again"""
+    once = table(spark, sf_dir, "events")
+    landed_events = spark.readStream.schema(once.schema).parquet(f"{sf_dir}/events*.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return incremental.drained(incremental.fresh_events(landed_events, "event_id", "ts")).select("event_id", "user_id", "event_type")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the catalog, filtered, sorted and cut."""
     return browse_page(spark, sf_dir)

@@ -51,3 +51,22 @@ def filled(c: Column | str) -> Column:
 def conform(df: DataFrame, schema: T.StructType = CATALOG) -> DataFrame:
     """Additive schema evolution: the schema's columns in order, absent ones as nulls; others are dropped."""
     return df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+
+
+#: Headings of exported records and the catalog's columns.
+HEADINGS = {
+    "Book Title": "book_title", "Book Author First Name": "book_author_first_name", "Book Author Last Name": "book_author_last_name", "Reviewer First Name": "reviewer_first_name", "Reviewer Last Name": "reviewer_last_name",
+    "Publication Source": "publication_source", "Publication Date": "publication_date", "Review Link": "review_link", "Review Summary": "review_summary", "Access Type": "access_type", "DOI": "doi",
+}
+
+
+def from_headings(df: DataFrame) -> DataFrame:
+    """Exported records under the catalog's column names (P2); absent texts become ''."""
+    named = df.withColumnsRenamed({k: v for k, v in HEADINGS.items() if k in df.columns})
+    out = conform(named)
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in (*HEADINGS.values(), "entry_type", "symposium_group")})
+
+
+def titled(df: DataFrame) -> DataFrame:
+    """Rows that may be written: those with a title."""
+    return df.where(~is_blank("book_title"))

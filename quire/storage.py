@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, or a temporary folder where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the session's spark.checkpoint.dir (a temporary folder where that is unset)."""
+    """df, computed once into the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

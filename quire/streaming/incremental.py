@@ -7,6 +7,7 @@ batch finds its snapshot and stops, or writes it again from the one before.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from quire.schema import CATALOG, WORK_ITEM
 from quire.sources.landed import read_catalog
+from quire.storage import shared_folder
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -49,6 +51,13 @@ def follow(spark: SparkSession, landed: str, root: str, checkpoint: str, step: C
     return done["n"]
 
 
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives until its source is read to the end, from a table in the shared folder (SK13: batches and their progress are committed together)."""
+    at = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 def fresh_events(stream: DataFrame, key: str, time: str, overlap: str = "2 days") -> DataFrame:
     """Each key once within the overlap; later repeats of late items are dropped by the sink's keys."""
     return stream.withWatermark(time, overlap).dropDuplicatesWithinWatermark([key])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.operators import browse, classify, detect, matching, symposia, upsert, windows
 from quire.operators.parse import list_rows, parse_title
 from quire.plans import cleanup, ingest
-from quire.schema import CATALOG, POST, WORK_ITEM, conform
+from quire.schema import CATALOG, POST, WORK_ITEM, conform, from_headings, titled
 from quire.streaming import incremental
 
 
@@ -231,3 +231,51 @@ def test_events_are_taken_once(spark, tmp_path):
 
 def test_schema_reads_items(spark):
     assert WORK_ITEM["container-title"].dataType.simpleString() == "array<string>"
+
+
+def test_places_in_groups(spark):
+    rows = [(g, i) for g in ("a", None, "b") for i in range(40 if g == "a" else 3)]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(7)
+    assert sorted((r.g or "", r.i, r.place) for r in upsert.place_in_group(df, ["g"], ["i"]).collect()) == sorted((g or "", i, i + 1) for g, i in rows)
+    assert upsert.place_in_group(df.where("false"), ["g"], ["i"]).count() == 0
+
+
+def test_not_in_as_sql(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    listed = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    for values in ((), (1,), (1, None), (None,)):
+        df.createOrReplaceTempView("outer_rows")
+        listed(*values).createOrReplaceTempView("listed_rows")
+        want = spark.sql("SELECT k FROM outer_rows WHERE k NOT IN (SELECT v FROM listed_rows)")
+        key = lambda d: sorted(str(r.k) for r in d.collect())
+        assert key(upsert.not_in(df, "k", listed(*values), "v")) == key(want)
+
+
+def test_merged_markers_and_issue_lists(spark):
+    kinds = "journal string, volume string, issue string, doi string, title string, start_page int"
+    a = spark.createDataFrame([("J", "1", "2", "d2", "precis", 5), ("J", "1", "2", "", "no key", 6)], kinds)
+    b = spark.createDataFrame([("J", "1", "2", "d2", "symposium", 1), ("J", "1", "2", "d1", "symposium", None), ("J", "", "2", "d3", "reply", 1)], kinds)
+    assert [(r.doi, r.title) for r in symposia.merged_markers(a, b).collect()] == [("d1", "symposium"), ("d2", "precis"), ("d3", "reply")]
+    got = symposia.issue_lists(a.union(b), size=2).orderBy("part").collect()
+    assert [[x.doi for x in r["items"]] for r in got] == [["d1", "d2"], ["d2", ""]]
+
+
+def test_headings_titles_and_menus(spark):
+    df = spark.createDataFrame([("T", None), ("", "u"), (None, "v")], "`Book Title` string, `Review Link` string")
+    rows = titled(from_headings(df)).collect()
+    assert [(r.book_title, r.review_link, r.entry_type) for r in rows] == [("T", "", "")]
+    assert browse.choices({"b": "Aesthetics", "a": "Zeno"}) == [("b", "Aesthetics"), ("a", "Zeno")]
+
+
+def test_long_and_generic_titles(spark):
+    long = "A Study of " + "Reason and " * 14 + "Will"
+    rows = [{"id": 1, "book_title": long}, {"id": 2, "book_title": long + ". Oxford University Press, 1999. Pp. xii + 240. $12.95"}, {"id": 3, "book_title": "Book Reviews", "book_author_last_name": "X"}]
+    once = {r.id: r.book_title for r in cleanup.run(catalog(spark, rows), "long_titles", "long_titles").collect()}
+    assert once[1] == long and once[2] == long
+    assert sorted(r.id for r in cleanup.run(catalog(spark, rows), "generic_titles", "generic_titles").collect()) == [1, 2]
+
+
+def test_no_author_of_function_words(spark):
+    df = spark.createDataFrame([("Guide for Readers: Plato and the Forms",), ("Jane Doe: Plato and the Forms",)], "t string")
+    assert [(r.p.format, r.p["last"]) for r in df.select(parse_title(F.col("t")).alias("p")).collect() if r.p][-1] == ("author_colon_title", "Doe")
+    assert all(r.p is None or r.p.format != "author_colon_title" for r in df.limit(1).select(parse_title(F.col("t")).alias("p")).collect())

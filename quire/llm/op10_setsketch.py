@@ -273,3 +273,34 @@ def with_roots(found: DataFrame, name: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85, width=3)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), x AS (
+  SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS i, len(ws) AS n FROM w
+), v AS (
+  SELECT doc_id, i, n, concat_ws(' ', x, lead(x) OVER p, lead(x, 2) OVER p) AS x FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+), y AS (
+  SELECT doc_id, x FROM v WHERE i = 0 OR i <= n - 3 GROUP BY ALL
+), s AS (
+  SELECT doc_id, coalesce(g, []) AS g FROM w LEFT JOIN (SELECT doc_id, list(x ORDER BY x) AS g FROM y GROUP BY doc_id) USING (doc_id)
+), c AS (
+  SELECT md5(array_to_string(g, chr(10))) AS k, min(doc_id) AS cls, any_value(g) AS g, len(any_value(g)) AS n FROM s WHERE len(g) > 0 GROUP BY 1
+), u AS (
+  SELECT cls, n, unnest(g) AS x FROM c
+), p AS (
+  SELECT a.cls AS a, b.cls AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM u a JOIN u b ON a.x = b.x AND a.cls < b.cls AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p WHERE 100 * common >= 85 * (na + nb - common)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT cls AS a, cls AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), m AS (
+  SELECT a AS cls, min(b) AS component_id FROM r GROUP BY 1
+)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON len(s.g) > 0 AND c.k = md5(array_to_string(s.g, chr(10))) LEFT JOIN m USING (cls)
+"""

@@ -252,3 +252,28 @@ def seen_before(df: DataFrame, output, shape, window: int, chunk_bytes: int) ->
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_seen(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), c AS (
+  SELECT doc_id, n, 1000 * j AS o, t[1000 * j + 1:1000 * j + 1099] AS part FROM (SELECT *, unnest(range(0, (n - 100) // 1000 + 1)) AS j FROM d WHERE n >= 100)
+), w AS (
+  SELECT doc_id, o, part, unnest(range(1, least(1000, n - 99 - o) + 1)) AS i FROM c
+), f AS (
+  SELECT doc_id, o + i AS i, row_number() OVER (PARTITION BY md5(part[i:i + 99]) ORDER BY doc_id, o + i) > 1 AS again FROM w
+), m AS (
+  SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100) + 100 AS new FROM f WHERE again
+), g AS (
+  SELECT doc_id, i, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m
+), r AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, k
+), q AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 1) AS kept_from FROM r
+  UNION ALL SELECT d.doc_id, n + 1, n + 1, coalesce(max(b), 1) FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, n
+), h AS (
+  SELECT q.doc_id, sum(b - a) AS gone, count(*) - 1 AS spans, string_agg(CASE WHEN a > kept_from THEN hex(t[kept_from:a - 1]) ELSE '' END, '' ORDER BY a, b) AS kept FROM q JOIN d USING (doc_id) GROUP BY q.doc_id
+)
+SELECT doc_id, n AS n_bytes, gone::BIGINT AS n_removed, spans AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN h USING (doc_id)
+"""

@@ -19,5 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": op1_decontaminate.ORACLE,
     "op4_substring_dedup": op4_substrings.ORACLE,
+    "op7_suffix_array_dedup": op7_suffixes.ORACLE,
     "op8_quality_rules": op8_rules.ORACLE,
+    "op10_minhash_dedup": op10_setsketch.ORACLE,
 }

@@ -94,6 +94,15 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
+def by_weight(values: np.ndarray) -> bytes:
+    """Bytes of equal weight together, for values of any width: the high bytes of small counts then take no room."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def from_weight(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Rises with the key, so sorted keys fall into runs."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -167,7 +176,7 @@ def settle(asked: DataFrame, decide: Callable, more_type: str | None, summary: C
         got = decide(joined, chunk, more)
         at = np.concatenate([[0], np.cumsum(sizes)])
         squeeze = zstandard.ZstdCompressor(level=1)
-        answers = [squeeze.compress(got[at[i] : at[i + 1]].tobytes()) for i in range(len(sizes))]
+        answers = [squeeze.compress(by_weight(got[at[i] : at[i + 1]])) for i in range(len(sizes))]
         names = ["chunk", "part", "bucket", "answer"]
         out = pa.table([table.column("chunk"), table.column("part"), table.column("bucket"), pa.array(answers, pa.binary())], names=names)
         if summary:
@@ -191,7 +200,7 @@ class Answers:
         names, at = cuts(keys, self.buckets)
         out = np.empty(len(keys), kind)
         for k, name in enumerate(names.tolist()):
-            out[at[k] : at[k + 1]] = np.frombuffer(self.open.decompress(self.rows[part, name]), kind)
+            out[at[k] : at[k + 1]] = from_weight(self.open.decompress(self.rows[part, name]), kind)
         return out
 
 

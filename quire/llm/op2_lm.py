@@ -76,7 +76,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
             yield part, distinct, count
 
     def total(keys, chunk, more):
-        return np.minimum(totals(keys, more), 2**32 - 1).astype(np.uint32)
+        return totals(keys, more)  # 64 bits: a corpus has more than 2^32 of its commonest words
 
     def size(part, keys, more):
         if part:
@@ -91,10 +91,10 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
         word, before, off = tokens(rows)
         n = len(off) - 1
         keys, back = np.unique(word, return_inverse=True)
-        got = answers.get(0, keys, np.uint32).astype(np.float64)
+        got = answers.get(0, keys, np.int64).astype(np.float64)
         c = got[back]
         pair_keys, pair_back = np.unique(pairs(before, word), return_inverse=True)
-        seen = answers.get(1, pair_keys, np.uint32).astype(np.float64)[pair_back]
+        seen = answers.get(1, pair_keys, np.int64).astype(np.float64)[pair_back]
         # each word that is a history was followed by something, so its count is its state's
         history = np.empty(len(word))
         history[1:] = c[:-1]

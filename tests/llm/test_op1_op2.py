@@ -86,3 +86,14 @@ def test_language_model_against_brute_force(spark):
     assert op2_lm.score(df.limit(0), crc).collect() == []
     none = op2_lm.score(df, F.lit(False)).collect()
     assert all(r.n_known == 0 and r.base_score == 0 for r in none)
+
+
+def test_counts_of_any_size_survive_packing():
+    import numpy as np
+
+    from quire.llm.chunks import by_weight, from_weight, totals
+
+    many = totals(np.array([7, 7, 9], np.uint64), np.array([2**32 - 1, 2**32 - 1, 5], np.uint32))
+    assert many.tolist() == [2**33 - 2, 2**33 - 2, 5]
+    for values in (many, many[:0], np.array([True, False]), np.arange(5, dtype=np.uint8)):
+        assert from_weight(by_weight(values), values.dtype).tolist() == values.tolist()

@@ -292,15 +292,13 @@ def url_normalize(spark, sf_dir):
 def text_clean(spark, sf_dir):
     """F3, F13-F15"""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").where(~t.contains("<")).select("doc_id", text.comparison_key(t).alias("key"), F.size(text.significant_words(t)).alias("n_words"), text.truncated(t).alias("short"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.comparison_key(t).alias("key"), F.size(text.significant_words(t)).alias("n_words"), text.truncated(t).alias("short"))
 
 
 @register("normalize_space", r"SELECT doc_id, md5(trim(regexp_replace(translate(text, chr(8216) || chr(8217) || chr(8211), '''''-'), '[\s]+', ' ', 'g'))) AS h FROM documents WHERE NOT regexp_matches(text, '[\x{00A0}\x{2000}-\x{200F}\x{2010}-\x{2012}\x{2014}\x{201C}\x{201D}\x{0085}\x{000B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')")
 def normalize_space(spark, sf_dir):
     """F1"""
-    t = F.col("text")
-    odd = r"[  -‏‐-‒—“”\u0085\u000b    　]"
-    return table(spark, sf_dir, "documents").where(~t.rlike(odd)).select("doc_id", F.md5(text.normalize(t).cast("binary")).alias("h"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize(F.col("text")).cast("binary")).alias("h"))
 
 
 @register("name_split", r"WITH n AS (SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey + 1000000000, 'Dr ' || replace(s_name, '#', ' ') FROM supplier), w AS (SELECT key, regexp_extract_all(name, '\S+') AS w FROM n) SELECT key, array_to_string(w[1:len(w) - 1], ' ') AS first, coalesce(w[-1], '') AS last FROM w")

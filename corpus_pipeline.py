@@ -14,11 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import op1_decontaminate, op3_bpe, op7_suffixes, op8_rules, op10_setsketch
+from quire.storage import shared_folder
 
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids; null counts as a value."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs and row_key, a key of each row of its own. Kept as Parquet, so that every read finds the same keys."""
+    at = f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("row_key", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(at)
+    return docs.sparkSession.read.parquet(at)
+
+
+def keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of keyed() whose key is in kept, without the key."""
+    return rows.join(kept, "row_key", "left_semi").drop("row_key")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +35,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies (shingles of five words, similarity 0.8)."""
-    found = op10_setsketch.near_duplicates(docs)
-    return keep(docs, found.where("kept"))
+    """Keeps the document with the least id of each group of near copies (shingles of five words, similarity 0.8).
+
+    Null ids come last; of equal ids the first row stays.
+    """
+    rows = keyed(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    found = op10_setsketch.near_duplicates(rows.select("text", order.alias("place")), "place")
+    return keep(rows, found.where("kept").select("place.row_key"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +55,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = op1_decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keep(docs, found.where("NOT contaminated"))
+    rows = keyed(docs)
+    found = op1_decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_key")
+    return keep(rows, found.where("NOT contaminated").select("row_key"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,9 +130,9 @@ def headed_entries(pages: DataFrame, html: str = "html", key: str = "page_id") -
     return carry_forward(head, year, "year", [key], ["pos"]).where(~F.col("is_head")).select(key, "pos", "year", F.col("text").alias("entry"))
 
 
-def page_metadata(pages: DataFrame, html: str = "html", key: str = "page_id", limit: int = 80_000) -> DataFrame:
-    """(key, author, published, linked): meta tags and linked data from a page's first characters (SC26)."""
-    head = F.substring(html, 1, limit)
+def page_metadata(pages: DataFrame, html: str = "html", key: str = "page_id", limit: int | None = None) -> DataFrame:
+    """(key, author, published, linked): meta tags and linked data of a page, or of its first `limit` characters (SC26; the reference reads 80,000)."""
+    head = F.col(html) if limit is None else F.substring(html, 1, limit)
     meta = lambda name: F.coalesce(*(filled(F.regexp_extract(head, p, 1)) for p in (rf"""(?is)<meta[^>]+(?:name|property)=["']{name}["'][^>]*content=["']([^"']+)""", rf"""(?is)<meta[^>]+content=["']([^"']+)["'][^>]*(?:name|property)=["']{name}["']""")))
     linked = linked_data_author(F.regexp_extract(head, r"""(?is)<script[^>]+application/ld\+json["'][^>]*>(.*?)</script>""", 1))
     return pages.select(key, meta("(?:author|article:author|parsely-author)").alias("author"), meta("(?:datePublished|article:published_time)").alias("published"), linked.alias("linked"))

@@ -21,3 +21,11 @@ def test_all_documents_are_cleaned(spark, tmp_path):
     key = lambda t: re.sub("[^a-z0-9 ]", "", re.sub("<[^>]+>", "", t).split(":")[0].lower()).strip(" ")
     want = [(i, *((None,) * 3 if t is None else (key(t), len(re.findall("[a-zA-Z]{3,}", t)), t))) for i, t in enumerate(TEXTS)]
     assert sorted(tuple(r) for r in QUERIES["text_clean"](spark, at).collect()) == want
+
+
+def test_metadata_late_in_a_page(spark, tmp_path):
+    late = '<meta name="author" content="Ann Lee"><meta property="datePublished" content="2020-05-01"><script type="application/ld+json">{"author": {"name": "Al Bo"}}</script>'
+    page = "<style>" + "x" * 90_000 + "</style>" + late
+    spark.createDataFrame([(1, page), (2, late), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: tuple(r)[1:] for r in QUERIES["page_metadata"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] and got[1][:2] == ("Ann Lee", "2020-05-01") and got[1][2] and got[3][0] is None

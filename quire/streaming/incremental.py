@@ -58,9 +58,9 @@ def drained(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def fresh_events(stream: DataFrame, key: str, time: str, overlap: str = "2 days") -> DataFrame:
-    """Each key once within the overlap; later repeats of late items are dropped by the sink's keys."""
-    return stream.withWatermark(time, overlap).dropDuplicatesWithinWatermark([key])
+def fresh_events(stream: DataFrame, key: str, time: str | None = None) -> DataFrame:
+    """Each key once, however late it comes: there is no watermark, whatever `time`. The keys seen are kept with the checkpoint, so polled and restarted runs know them."""
+    return stream.dropDuplicates([key])
 
 
 def tumbling_counts(stream: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

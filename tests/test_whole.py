@@ -4,6 +4,7 @@ import hashlib
 import re
 
 from quire.queries import QUERIES
+from quire.streaming import incremental
 
 TEXTS = ["plain text", "a b — “c”", "x‐y‑z ‘q’ –", "thin and　wide line\x0b", "a <i>tagged</i> Title: rest", "1 < 2", "<b>", "", None]
 
@@ -29,3 +30,14 @@ def test_metadata_late_in_a_page(spark, tmp_path):
     spark.createDataFrame([(1, page), (2, late), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: tuple(r)[1:] for r in QUERIES["page_metadata"](spark, str(tmp_path)).collect()}
     assert got[1] == got[2] and got[1][:2] == ("Ann Lee", "2020-05-01") and got[1][2] and got[3][0] is None
+
+
+def test_late_events_are_kept(spark, tmp_path):
+    def run(rows):
+        spark.createDataFrame(rows, "event_id long, ts string").selectExpr("event_id", "CAST(ts AS timestamp) AS ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{tmp_path}/in")
+        incremental.fresh_events(stream, "event_id", "ts").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert run([(1, "2024-03-01 00:00:00"), (2, "2024-03-01 01:00:00")]) == [1, 2]
+    assert run([(3, "2024-01-01 00:00:00"), (1, "2024-03-01 00:00:00")]) == [1, 2, 3]

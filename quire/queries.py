@@ -361,8 +361,8 @@ def title_parse(spark, sf_dir):
 
 @register("review_detect")
 def review_detect(spark, sf_dir):
-    """P14, P16-P18 over the first line of documents"""
-    t = F.split_part("text", F.lit("\n"), F.lit(1))
+    """P14, P16-P18 over whole documents"""
+    t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", detect.is_review(t).alias("review"), detect.is_logic_review(t).alias("logic"), detect.is_indexed_review(t).alias("indexed"), detect.reads_as_review(t).alias("reads"))
 
 
@@ -506,6 +506,24 @@ def stream_fresh_events(spark, sf_dir):
     return incremental.drained(incremental.fresh_events(landed_events, "event_id", "ts")).select("event_id", "user_id", "event_type")
 
 
+@register("garbled_texts", r"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)ISBN|978[-\d]|97[89]\d|0-\d{3,}|\bPress\b|\bUniversity\b|\bPublisher|\bVerlag\b|\bEditions?\b|\bPresses\b|\bpp\.|\bpages\b|\bPp\b|[$£€]\d|dollars?|\bRs\.|\bHardcover\b|\bPaperback\b|\bHbk\b|\bPbk\b') OR regexp_matches(coalesce(text, ''), '\b(?:19|20)\d{2}\)|\b(?:19|20)\d{2}\)?[,.]?\s*$') OR length(coalesce(text, '')) > 25 OR regexp_matches(coalesce(text, ''), '\d') AS garbled FROM documents")
+def garbled_texts(spark, sf_dir):
+    """P24, P25 on whole texts"""
+    return table(spark, sf_dir, "documents").select("doc_id", names.is_garbled(F.lit(""), F.col("text")).alias("garbled"))
+
+
+@register("all_caps_texts", r"SELECT doc_id, t = upper(t) AND length(t) > 10 AND regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}') AS caps FROM (SELECT doc_id, text AS t FROM documents)")
+def all_caps_texts(spark, sf_dir):
+    """P35 on whole texts"""
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_all_caps(F.col("text")).alias("caps"))
+
+
+@register("function_words_texts", r"SELECT doc_id, list_has_any(string_split_regex(lower(trim(text)), '\s+'), ['the', 'a', 'an', 'of', 'on', 'in', 'for', 'and', 'to', 'from', 'with', 'at', 'by', 'or', 'nor', 'but', 'is', 'are', 'was', 'not', 'no', 'its', 'their', 'our', 'all']) AS has FROM documents")
+def function_words_texts(spark, sf_dir):
+    """X6 on whole texts"""
+    return table(spark, sf_dir, "documents").select("doc_id", names.has_function_word(F.col("text")).alias("has"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of the catalog, filtered, sorted and cut."""
     return browse_page(spark, sf_dir)

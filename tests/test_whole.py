@@ -41,3 +41,12 @@ def test_late_events_are_kept(spark, tmp_path):
 
     assert run([(1, "2024-03-01 00:00:00"), (2, "2024-03-01 01:00:00")]) == [1, 2]
     assert run([(3, "2024-01-01 00:00:00"), (1, "2024-03-01 00:00:00")]) == [1, 2, 3]
+
+
+def test_predicates_read_whole_texts(spark, tmp_path):
+    at = documents(spark, tmp_path, ["a quiet line\nReview of The Good Life, by Jane Doe", "Once upon times\nthere was a tree", "ALL CAPITALS HERE\nX\nand small", "ONE LINE\nTWO LINES"])
+    got = lambda name, column: [r[column] for r in sorted(QUERIES[name](spark, at).collect())]
+    assert got("review_detect", "review")[0]
+    assert got("all_caps_texts", "caps") == [False, False, False, True]
+    assert got("function_words_texts", "has") == [True, True, True, False]
+    assert got("garbled_texts", "garbled") == [True, True, True, False]

@@ -6,6 +6,11 @@ over the left neighbour. `sufficient_lookahead` is the longest way any such chai
 merge list can take. A word is read through a buffer; tokens that end `lookahead` symbols or
 more before the buffer's end are final, are emitted, and reading goes on after them. (Where
 no merge crosses a boundary, both sides merge as they would alone.) Memory is the buffer.
+
+A text is read in pieces of PIECE characters, cut after white space, or inside a word that
+fills a piece, before a character that composes with nothing to its left. `Reader` carries
+what a cut leaves open from piece to piece: the word being merged, and an apostrophe that
+may begin a contraction. Decoding is a machine of its own, fed piece by piece as well.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import codecs
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
@@ -22,6 +27,9 @@ import regex
 #: The characters with the Unicode property White_Space.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 
+#: Characters that are read at a time.
+PIECE = 1 << 16
+
 
 def byte_characters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -49,7 +57,7 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], size: dict[int, int
 class Transducer:
     """Encoding and decoding by the JSON definition of a byte-level BPE tokenizer with word ends."""
 
-    def __init__(self, definition: bytes, spare: int = 256, remember: int = 500_000):
+    def __init__(self, definition: bytes, spare: int = 256, remember: int = 500_000, piece: int = PIECE):
         spec = json.loads(definition)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
@@ -67,7 +75,9 @@ class Transducer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+")
+        self.runs = {"letters": regex.compile(r"\p{L}*"), "others": regex.compile(rf"[^{WHITE_SPACE}\p{{L}}\p{{N}}]*")}
         self.known: dict[str, bytes] = {}
+        self.piece = piece
         self.remember = remember
         self.joined = spec.get("decoder") is None
         back = {c: b for b, c in enumerate(chars)}
@@ -112,22 +122,8 @@ class Transducer:
         return [x for x in alive if x >= 0]
 
     def word(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        at, n = 0, len(data)
-        while n - at > self.room:
-            stable = self.room - self.lookahead
-            used = 0
-            for token in self.merge([self.inner[b] for b in data[at : at + self.room]]):
-                used += self.width(token)
-                if used > stable:
-                    used -= self.width(token)
-                    break
-                out.append(token)
-            at += used
-        rest = [self.inner[b] for b in data[at:]]
-        if rest:
-            rest[-1] = self.final[data[-1]]
-        return out + self.merge(rest)
+        word = WordStream(self)
+        return word.feed(data) + word.end()
 
     def width(self, token: int) -> int:
         if not hasattr(self, "widths"):
@@ -143,9 +139,8 @@ class Transducer:
                 text = text.replace("Σ", "σ")
         return text.lower()
 
-    def plain(self, text: str) -> list[bytes]:
-        """Packed ids of each word of a text without special tokens."""
-        words = self.words.findall(self.normalized(text))
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word."""
         known = self.known
         try:
             return [known[w] for w in words]
@@ -157,39 +152,166 @@ class Transducer:
         for w in words:
             got = known.get(w)
             if got is None:
-                got = np.array(self.word(w.encode()), "<u4").tobytes()
+                got = packed(self.word(w.encode()))
                 if len(w) <= 64:
                     known[w] = got
             out.append(got)
         return out
 
+    def cut_before(self, text: str, at: int) -> int:
+        """Where the piece of a text that begins at `at` ends."""
+        end = at + self.piece
+        if end >= len(text):
+            return len(text)
+        space = max(text.rfind(c, at, end) for c in " \n\t")
+        if space >= 0:
+            return space + 1
+        for p in range(end, at, -1):
+            if composes_left(text[p]):
+                continue
+            for s in self.special:  # their strings have no white space, and stay whole
+                found = text.find(s, max(at, p - len(s) + 1), p + len(s) - 1)
+                if at < found < p:
+                    p = found
+                elif found == at and p < at + len(s):
+                    return at + len(s)
+            return p
+        return next((p for p in range(end + 1, len(text)) if not composes_left(text[p])), len(text))
+
+    def pieces(self, text: str) -> Iterator[list[bytes]]:
+        """Packed ids of a text, piece by piece, as soon as they are stable."""
+        reader, at, n = Reader(self), 0, len(text)
+        while at < n:
+            upto = self.cut_before(text, at)
+            piece = text[at:upto] if at or upto < n else text
+            out: list[bytes] = []
+            if self.cut is not None and any(s in piece for s in self.special):
+                start = 0
+                for m in self.cut.finditer(piece):
+                    out += reader.feed(piece[start : m.start()])
+                    out += reader.end()
+                    out.append(packed([self.special[m[0]]]))
+                    start = m.end()
+                piece = piece[start:]
+            out += reader.feed(piece)
+            at = upto
+            yield out
+        yield reader.end()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return b"".join(self.plain(text))
-        out, at = [], 0
-        for m in self.cut.finditer(text):
-            out += self.plain(text[at : m.start()])
-            out.append(np.uint32(self.special[m[0]]).tobytes())
-            at = m.end()
-        return b"".join([*out, *self.plain(text[at:])])
+        return b"".join([b"".join(ids) for ids in self.pieces(text)])
+
+    def decoder(self) -> ByteDecoder:
+        return ByteDecoder(self.bytes_of, b" " if self.joined else b"")
 
     def decode(self, ids: Iterable[int]) -> str:
-        if self.joined:
-            return b" ".join([self.bytes_of[i] for i in ids]).decode()
-        machine = ByteDecoder(self.bytes_of)
+        machine = self.decoder()
         return machine.feed(ids) + machine.end()
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+def composes_left(c: str) -> bool:
+    """Whether normalisation may join the character with what stands before it: marks, and Hangul vowels and finals."""
+    return not c.isascii() and ("\u1160" <= c <= "\u11ff" or unicodedata.category(c)[0] == "M")
+
+
+class WordStream:
+    """Bytes of one word in, tokens out once nothing to their right can change them."""
+
+    def __init__(self, machine: Transducer):
+        self.machine, self.buffer = machine, b""
+
+    def feed(self, data: bytes) -> list[int]:
+        m, self.buffer = self.machine, self.buffer + data
+        out: list[int] = []
+        while len(self.buffer) > m.room:
+            stable, used = m.room - m.lookahead, 0
+            for token in m.merge([m.inner[b] for b in self.buffer[: m.room]]):
+                if used + m.width(token) > stable:
+                    break
+                used += m.width(token)
+                out.append(token)
+            self.buffer = self.buffer[used:]
+        return out
+
+    def end(self) -> list[int]:
+        m, data, self.buffer = self.machine, self.buffer, b""
+        if not data:
+            return []
+        return m.merge([*(m.inner[b] for b in data[:-1]), m.final[data[-1]]])
+
+
+class Reader:
+    """Pieces of a text in, packed ids out; holds the word that a piece leaves open."""
+
+    def __init__(self, machine: Transducer):
+        self.machine, self.open, self.word, self.held = machine, "", WordStream(machine), ""
+
+    def feed(self, piece: str) -> list[bytes]:
+        m = self.machine
+        text = self.held + m.normalized(piece)
+        self.held = ""
+        out: list[bytes] = []
+        if self.open:  # the class of the word that goes on here
+            run = m.runs[self.open].match(text)[0]
+            out.append(packed(self.word.feed(run.encode())))
+            if len(run) == len(text):
+                return out
+            out += self.end()
+            text = text[len(run) :]
+        if not text or text[-1] in " \n\t":
+            return out + m.ids_of(m.words.findall(text))
+        found = list(m.words.finditer(text))
+        last = [w[0] for w in found if w.end() == len(text)]
+        if not last:
+            return out + m.ids_of([w[0] for w in found])
+        before = found[-2] if len(found) > 1 and found[-2].end() == found[-1].start() else None
+        if last[0] == "'" or (before and before[0] == "'" and last[0] in ("r", "v", "l")):
+            self.held = "'" if last[0] == "'" else "'" + last[0]
+            found = found[: -len(self.held)]
+        elif kind := next((k for k, run in m.runs.items() if run.fullmatch(last[0])), ""):  # neither a digit nor a contraction
+            found.pop()
+            self.open = kind
+            out += m.ids_of([w[0] for w in found])
+            return [*out, packed(self.word.feed(last[0].encode()))]
+        return out + m.ids_of([w[0] for w in found])
+
+    def end(self) -> list[bytes]:
+        """What the end of the text, or a special token, makes stable."""
+        out = []
+        if self.open:
+            out.append(packed(self.word.end()))
+            self.open = ""
+        if self.held:
+            out += self.machine.ids_of(self.machine.words.findall(self.held))
+            self.held = ""
+        return out
+
+
 class ByteDecoder:
-    """Tokens in, text out as soon as its bytes are complete; at most 3 bytes are held back."""
+    """Tokens in, text out as soon as its bytes are complete; at most 3 bytes are held back.
+
+    The state is the part of a character that is still open and whether a token came before,
+    for definitions whose tokens are written with `between` them.
+    """
 
-    def __init__(self, bytes_of: list[bytes]):
-        self.bytes_of = bytes_of
+    def __init__(self, bytes_of: list[bytes], between: bytes = b""):
+        self.bytes_of, self.between, self.begun = bytes_of, between, False
         self.state = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.state.decode(b"".join([self.bytes_of[i] for i in ids]))
+        tokens = [self.bytes_of[i] for i in ids]
+        if not tokens:
+            return ""
+        data = self.between.join(tokens)
+        if self.begun:
+            data = self.between + data
+        self.begun = True
+        return self.state.decode(data)
 
     def end(self) -> str:
         return self.state.decode(b"", final=True)

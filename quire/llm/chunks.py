@@ -128,7 +128,7 @@ def ask(source: DataFrame, keys_of: Callable, buckets: int) -> DataFrame:
                 cols["chunk"].append(chunk)
                 cols["part"].append(part)
                 cols["keys"].append(squeeze.compress(planes(keys[at[k] : at[k + 1]])))
-                cols["more"].append(None if more is None else squeeze.compress(more[at[k] : at[k + 1]].tobytes()))
+                cols["more"].append(None if more is None else squeeze.compress(by_weight(more[at[k] : at[k + 1]])))
         return pa.RecordBatch.from_arrays([pa.array(cols["bucket"], pa.int64()), pa.array(cols["chunk"], pa.int64()), pa.array(cols["part"], pa.int32()), pa.array(cols["keys"], pa.binary()), pa.array(cols["more"], pa.binary())], names=list(cols))
 
     def run(batches):
@@ -153,7 +153,7 @@ def ask_again(packed: DataFrame, answers: DataFrame, keys_of: Callable, buckets:
                     cols["chunk"].append(key[0].as_py())
                     cols["part"].append(part)
                     cols["keys"].append(squeeze.compress(planes(keys[at[k] : at[k + 1]])))
-                    cols["more"].append(None if more is None else squeeze.compress(more[at[k] : at[k + 1]].tobytes()))
+                    cols["more"].append(None if more is None else squeeze.compress(by_weight(more[at[k] : at[k + 1]])))
         return pa.table([pa.array(cols["bucket"], pa.int64()), pa.array(cols["chunk"], pa.int64()), pa.array(cols["part"], pa.int32()), pa.array(cols["keys"], pa.binary()), pa.array(cols["more"], pa.binary())], names=list(cols))
 
     return packed.select("chunk", "body").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, ASKED)
@@ -171,7 +171,7 @@ def settle(asked: DataFrame, decide: Callable, more_type: str | None, summary: C
         keys = [unplanes(expand(k)) for k in table.column("keys").to_pylist()]
         sizes = np.array([len(k) for k in keys], np.int64)
         chunk = np.repeat(table.column("chunk").to_numpy(), sizes)
-        more = np.concatenate([np.frombuffer(expand(m), more_type) for m in table.column("more").to_pylist()]) if more_type else None
+        more = np.concatenate([from_weight(expand(m), more_type) for m in table.column("more").to_pylist()]) if more_type else None
         joined = np.concatenate(keys)
         got = decide(joined, chunk, more)
         at = np.concatenate([[0], np.cumsum(sizes)])

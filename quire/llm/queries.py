@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": op8_rules.query,
     "op9_toxicity": op9_toxicity.query,
     "op10_minhash_dedup": op10_setsketch.query,
+    "lm_trigram_scores": op2_lm.rounded,
 }
 ORACLES = {
     "op1_decontamination": op1_decontaminate.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op7_suffix_array_dedup": op7_suffixes.ORACLE,
     "op8_quality_rules": op8_rules.ORACLE,
     "op10_minhash_dedup": op10_setsketch.ORACLE,
+    "lm_trigram_scores": op2_lm.ROUNDED,
 }

@@ -88,6 +88,56 @@ def test_language_model_against_brute_force(spark):
     assert all(r.n_known == 0 and r.base_score == 0 for r in none)
 
 
+def test_higher_orders_and_lanes_against_brute_force(spark):
+    """Orders 2 to 4, texts cut into lanes of a few words, by a recursive definition of the probabilities."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 60)))) for i in range(40)] + [(90, "a b " * 700), (91, None), (93, "zz a zz b"), (None, "a b c"), (3, "a a"), (3, "a a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    tok = lambda t: ["<s>", *(t or "").split(), "</s>"]
+    for order in (2, 3, 4):
+        seen = {}
+        for d, t in docs:
+            if d is not None and d % 2 == 0:
+                w = tok(t)
+                for i in range(1, len(w)):
+                    for k in range(1, order + 1):
+                        if i - k + 1 >= 0:
+                            g = tuple(w[i - k + 1 : i + 1])
+                            seen[g] = seen.get(g, 0) + 1
+        seen["<s>",] = seen["</s>",]
+        n, v = sum(c for g, c in seen.items() if len(g) == 1 and g != ("<s>",)), sum(len(g) == 1 for g in seen) - 1
+
+        def p(history, w):
+            if not history:
+                return (seen.get((w,), 0) + 1) / (n + v + 1)
+            return (seen.get((*history, w), 0) + op2_lm.MU * p(history[1:], w)) / (seen.get(history, 0) + op2_lm.MU)
+
+        want = sorted(((d, round(sum(math.log10(p(tuple(w[max(0, i - order + 1) : i]), w[i])) for i in range(1, len(w))), 6)) for d, t in docs for w in [tok(t)]), key=repr)
+        for size, lane in ((10 << 20, 256), (400, 5)):
+            got = op2_lm.score(df, F.col("doc_id") % 2 == 0, chunk_bytes=size, order=order, lane=lane).collect()
+            assert sorted(((r.doc_id, round(r.score, 6)) for r in got), key=repr) == want, (order, lane)
+
+
+def test_probabilities_at_every_state_add_up_to_one():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = pa.table({"text": ["a b a c a b", "b a", "c c c"]})
+    word, off = op2_lm.tokens(rows)
+    found = {part: np.unique(g[g != 0], return_counts=True) for part, g in enumerate(op2_lm.grams(word, off, 3))}
+    counts = lambda part, keys: found[part][1][np.searchsorted(found[part][0], keys)]
+    machine = op2_lm.Automaton(word, off, 3, counts, len(word), len(found[0][0]), 5.0)
+    symbols = np.arange(machine.width)
+    for state in range(len(machine.fail)):
+        _, weight = machine.step(np.full(machine.width, state), symbols)
+        unknown = 1 / (len(word) + machine.width + 1)
+        at = state
+        while at != op2_lm.ROOT:  # a word outside takes failure arcs to the root
+            unknown *= 10 ** machine.fail[at]
+            at = machine.fail_to[at]
+        assert abs((10**weight).sum() + unknown - 1) < 1e-9
+
+
 def test_counts_of_any_size_survive_packing():
     import numpy as np
 

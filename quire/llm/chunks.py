@@ -115,26 +115,38 @@ def cuts(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return b[at], np.append(at, len(b))
 
 
+def entry_bytes(more, a: int, b: int) -> bytes | None:
+    """What goes with the keys a to b: an array's entries, or what a function of a and b gives."""
+    return None if more is None else more(a, b) if callable(more) else by_weight(more[a:b])
+
+
+def rows_asked(found, chunks: list[int], buckets: int) -> list[pa.Array]:
+    """The columns of ASKED for what keys_of() gives of each chunk: one row for each run of keys of one bucket."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    names, owners, parts, keys_of, with_keys = [], [], [], [], []
+    for chunk, answers in zip(chunks, found):
+        for part, keys, more in answers:
+            runs, at = cuts(keys, buckets)
+            for k, name in enumerate(runs.tolist()):
+                data = entry_bytes(more, at[k], at[k + 1])
+                names.append(name)
+                owners.append(chunk)
+                parts.append(part)
+                keys_of.append(squeeze.compress(planes(keys[at[k] : at[k + 1]])))
+                with_keys.append(None if data is None else squeeze.compress(data))
+    return [pa.array(names, pa.int64()), pa.array(owners, pa.int64()), pa.array(parts, pa.int32()), pa.array(keys_of, pa.binary()), pa.array(with_keys, pa.binary())]
+
+
+ASKED_NAMES = ["bucket", "chunk", "part", "keys", "more"]
+
+
 def ask(source: DataFrame, keys_of: Callable, buckets: int) -> DataFrame:
-    """keys_of(pa.Table) yields (part, sorted distinct uint64 keys, entry array or None)."""
+    """keys_of(pa.Table) yields (part, sorted uint64 keys, entry array, function of a run's bounds, or None)."""
 
-    def rows(chunk: int, body: bytes) -> pa.RecordBatch:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        cols: dict[str, list] = {k: [] for k in ("bucket", "chunk", "part", "keys", "more")}
-        for part, keys, more in keys_of(thaw(body)):
-            names, at = cuts(keys, buckets)
-            for k, name in enumerate(names.tolist()):
-                cols["bucket"].append(name)
-                cols["chunk"].append(chunk)
-                cols["part"].append(part)
-                cols["keys"].append(squeeze.compress(planes(keys[at[k] : at[k + 1]])))
-                cols["more"].append(None if more is None else squeeze.compress(by_weight(more[at[k] : at[k + 1]])))
-        return pa.RecordBatch.from_arrays([pa.array(cols["bucket"], pa.int64()), pa.array(cols["chunk"], pa.int64()), pa.array(cols["part"], pa.int32()), pa.array(cols["keys"], pa.binary()), pa.array(cols["more"], pa.binary())], names=list(cols))
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
-                yield rows(chunk, body.as_py())
+                yield pa.RecordBatch.from_arrays(rows_asked([keys_of(thaw(body.as_py()))], [chunk], buckets), names=ASKED_NAMES)
 
     return source.select("chunk", "body").mapInArrow(run, ASKED)
 
@@ -143,44 +155,39 @@ def ask_again(packed: DataFrame, answers: DataFrame, keys_of: Callable, buckets:
     """As ask(), where keys_of(table, answers of the chunk) also has what was answered so far."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        cols: dict[str, list] = {k: [] for k in ("bucket", "chunk", "part", "keys", "more")}
-        for body in left.column("body").to_pylist():
-            for part, keys, more in keys_of(thaw(body), Answers(right, buckets)):
-                names, at = cuts(keys, buckets)
-                for k, name in enumerate(names.tolist()):
-                    cols["bucket"].append(name)
-                    cols["chunk"].append(key[0].as_py())
-                    cols["part"].append(part)
-                    cols["keys"].append(squeeze.compress(planes(keys[at[k] : at[k + 1]])))
-                    cols["more"].append(None if more is None else squeeze.compress(by_weight(more[at[k] : at[k + 1]])))
-        return pa.table([pa.array(cols["bucket"], pa.int64()), pa.array(cols["chunk"], pa.int64()), pa.array(cols["part"], pa.int32()), pa.array(cols["keys"], pa.binary()), pa.array(cols["more"], pa.binary())], names=list(cols))
+        bodies = left.column("body").to_pylist()
+        return pa.table(rows_asked((keys_of(thaw(b), Answers(right, buckets)) for b in bodies), [key[0].as_py()] * len(bodies), buckets), names=ASKED_NAMES)
 
     return packed.select("chunk", "body").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, ASKED)
 
 
-def settle(asked: DataFrame, decide: Callable, more_type: str | None, summary: Callable | None = None) -> DataFrame:
-    """decide(keys, chunk of each, more of each) -> one answer for each, for every bucket.
+def settle(asked: DataFrame, decide: dict[int, tuple[Callable, object]], summary: Callable | None = None) -> DataFrame:
+    """For every bucket of a part: decide[part] is a function and the type of what goes with its keys.
 
+    function(keys, chunk of each, what goes with each) gives one answer for each. For the type bytes
+    it is given the number of keys and the bytes of each run instead.
     summary(part, keys, more) -> two whole numbers of a bucket, sent as a row of chunk -1 in
     the columns part and bucket.
     """
 
     def run(table: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor().decompress
+        part = table.column("part")[0].as_py()
+        function, kind = decide[part]
         keys = [unplanes(expand(k)) for k in table.column("keys").to_pylist()]
         sizes = np.array([len(k) for k in keys], np.int64)
         chunk = np.repeat(table.column("chunk").to_numpy(), sizes)
-        more = np.concatenate([from_weight(expand(m), more_type) for m in table.column("more").to_pylist()]) if more_type else None
+        with_keys = [expand(m) for m in table.column("more").to_pylist()]
+        more = (sizes, with_keys) if kind is bytes else np.concatenate([from_weight(m, kind) for m in with_keys])
         joined = np.concatenate(keys)
-        got = decide(joined, chunk, more)
+        got = function(joined, chunk, more)
         at = np.concatenate([[0], np.cumsum(sizes)])
         squeeze = zstandard.ZstdCompressor(level=1)
         answers = [squeeze.compress(by_weight(got[at[i] : at[i + 1]])) for i in range(len(sizes))]
         names = ["chunk", "part", "bucket", "answer"]
         out = pa.table([table.column("chunk"), table.column("part"), table.column("bucket"), pa.array(answers, pa.binary())], names=names)
         if summary:
-            a, b = summary(table.column("part")[0].as_py(), joined, more)
+            a, b = summary(part, joined, more)
             out = pa.concat_tables([out, pa.table([pa.array([-1], pa.int64()), pa.array([a], pa.int32()), pa.array([b], pa.int64()), pa.array([b""], pa.binary())], names=names)])
         return out
 

@@ -206,7 +206,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
         known = np.unique(keys[more > 0])
         return len(known), int(more.sum())
 
-    counts = cut(settle(ask(packed, ask_counts, buckets), total, "u4", size))
+    counts = cut(settle(ask(packed, ask_counts, buckets), dict.fromkeys(range(order), (total, "u4")), size))
     types, count = counts.where("chunk = -1").agg(F.coalesce(F.sum("part"), F.lit(0)), F.coalesce(F.sum("bucket"), F.lit(0))).first()
 
     def result(rows: pa.Table, answers: Answers) -> pa.Table:

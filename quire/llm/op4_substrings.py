@@ -101,8 +101,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             kept += kept_words(block, ~gone[off[i] : off[i + n]])
         return pa.table([rows.column("id"), pa.array(np.diff(off)), pa.array(per_row(gone, off)), pa.array(kept, pa.string())], names=[key, "n_words", "n_removed", "kept"])
 
-    found = cut(settle(ask(packed, first, buckets), shared_somewhere, "u1"))
-    again = settle(ask_again(packed, found, second, buckets), shared_somewhere, "u1")
+    found = cut(settle(ask(packed, first, buckets), {0: (shared_somewhere, "u1")}))
+    again = settle(ask_again(packed, found, second, buckets), {1: (shared_somewhere, "u1")})
     return finish(packed, found.unionAll(again), result, buckets, f"`{key}` {kind}, n_words long, n_removed long, kept string")
 
 

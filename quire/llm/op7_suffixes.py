@@ -1,22 +1,26 @@
 """Removal of byte strings that already occurred, by prefix-free parsing.
 
-Each text is parsed into phrases at triggers of a rolling hash: the trigger of a window is
-the least hash of 8 bytes among its first TRIGGERS positions, so every window of WINDOW
-bytes holds a trigger in a place that its content alone decides, and phrases stay short.
-The parse gives each phrase its context: the bytes from its first window's start to its
-last window's end. Equal contexts are equal entries of the dictionary, and all suffixes
-that start in them agree for WINDOW bytes; they are compared once per entry, not per place.
-Corpus order combines the two: entries are ordered by the bytes after their trigger (the
-parse), and only where entries differ there do the single suffixes of the phrase (the
-dictionary) come into play, each by its WINDOW bytes.
-
-Ranks of whole suffixes are not needed to know whether WINDOW bytes occurred earlier, only
-their classes; so instead of one global suffix array, which no task could hold, classes are
-made by shuffling 64-bit hashes of these strings, and a class's first member (least id, then
-least start) is kept. See chunks.py for how hot classes stay small.
-
-Ids are integers; rows with a null id come last. Null texts count as empty, equal rows are
-later copies of the first (of one id: in the order of partitions). Empty tables give empty
+1. Parse. A rolling hash of MER bytes sets triggers: the trigger of a window of WINDOW bytes is
+   the least hash among its first TRIGGERS positions, so every window holds one, in a place that
+   its content alone decides. The window starts that see the same trigger make a phrase; its
+   dictionary entry is the text from the first of them to the trigger, and the parse goes on
+   after it. Two equal windows have equal entries before, and equal text after, their triggers.
+2. What a chunk knows: its distinct entries, by the hash of the bytes that follow the trigger,
+   with the hash of all bytes that their windows cover. An entry that the corpus has once is
+   done; one that is the same wherever it stands has its first place named, and is done too.
+3. Suffix order of the rest. Entries with the same bytes after the trigger, but not the same
+   surroundings, are sent to one bucket with their bytes. There the parse is sorted by what
+   follows the trigger, with the common prefixes of neighbours, and the dictionary by what
+   stands before it, read backwards, with the common suffixes. A window is d bytes of an entry's
+   end and WINDOW - d bytes of what follows: two windows are equal where both orders say so.
+   The first of each class stays.
+
+One array of all suffixes is never made: no task could hold it, and only the classes of equal
+WINDOW bytes are asked for. Entries that stand in more than MANY surroundings would make a hot
+bucket; their windows are told apart by hashes instead (96 bits), one for each chunk that has it.
+
+Ids are of any ordered type; rows with a null id come last. Null texts count as empty, equal rows
+are later copies of the first (of one id: in the order of partitions). Empty tables give empty
 results.
 """
 
@@ -28,16 +32,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.chunks import Answers, ask, ask_again, bucket_count, finish, groups, pack, settle, table_texts
+from quire.llm.chunks import Answers, ask, ask_again, bucket_count, by_weight, finish, from_weight, groups, pack, settle, table_texts
 from quire.llm.shared import cut
 from quire.llm.stats import per_row
 from quire.llm.words import BASE, Texts, mix, powers
+from quire.operators.upsert import number_rows
 
 WINDOW = 100
 TRIGGERS = 64
 MER = 8
 LAST = np.int64(2**63 - 1)  # stands for a null id
-NONE, ONE_CONTEXT, CONTEXTS = 0, 1, 2
+MANY = 4096
+#: What an entry's answer may be: seen once; its first place is here, or elsewhere; to be sorted; to be hashed.
+NONE, FIRST, LATER, SORTED, HASHED = range(5)
+#: With each distinct string after a trigger: the hash of its surroundings, how many of them the chunk has, whether it stands there twice, the least id.
+SEEN = np.dtype([("whole", "<u8"), ("kinds", "<u2"), ("twice", "u1"), ("id", "<i8")])
+#: With each entry that is to be sorted: the id and place of its first trigger, and the least and most bytes of a window before it.
+ENTRY = np.dtype([("id", "<i8"), ("at", "<u4"), ("least", "u1"), ("most", "u1")])
+#: With each window that is told apart by hashes: more of the hash, and the id.
+PLACE = np.dtype([("tag", "<u4"), ("id", "<i8")])
 
 
 def byte_sums(buf: np.ndarray) -> np.ndarray:
@@ -55,12 +68,12 @@ def string_hash(total: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndar
 
 
 def parse_block(block: Texts, window: int) -> tuple[np.ndarray, ...]:
-    """First and last window start of each phrase, with the hashes after its trigger and of its context."""
+    """First and last window start of each phrase, its trigger, and the hashes of what follows that and of all its bytes."""
     buf, off = block.buf, block.off
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     data = buf.tobytes()
     mers = np.empty(n - MER + 1, np.uint64)
     for k in range(MER):
@@ -80,7 +93,7 @@ def parse_block(block: Texts, window: int) -> tuple[np.ndarray, ...]:
     np.add.at(valid, off[1:][fits] - window + 1, -1)
     i = np.flatnonzero(np.cumsum(valid[:starts]) > 0)
     if not len(i):
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     new = np.ones(len(i), bool)
     new[1:] = (at[i][1:] != at[i][:-1]) | (i[1:] != i[:-1] + 1)
     low = i[new]
@@ -88,87 +101,183 @@ def parse_block(block: Texts, window: int) -> tuple[np.ndarray, ...]:
     total = byte_sums(buf)
     trigger = at[low]
     right = window - TRIGGERS + 1
-    return low, high, string_hash(total, trigger, trigger + right), string_hash(total, low, high + window)
+    return low, high, trigger, string_hash(total, trigger, trigger + right), string_hash(total, low, high + window)
+
+
+class Phrases:
+    """The phrases of a chunk whose rows are in the order of ids."""
+
+    def __init__(self, rows: pa.Table, window: int):
+        self.rows, self.window, self.texts = rows, window, table_texts(rows)
+        parts = []
+        for i, block in self.texts.blocks():
+            *places, after, whole = parse_block(block, window)
+            parts.append([p + self.texts.off[i] for p in places] + [after, whole])
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        self.low, self.high, self.trigger, self.after, self.whole = (np.concatenate([np.zeros(0, k), *(p[j] for p in parts)]) for j, k in enumerate(kinds))
+        self.ids = ids_of(rows)
+        # the distinct strings after a trigger, each with its first phrase; and each phrase's place among them
+        order, first, run = groups(self.after)
+        self.keys, self.lead = self.after[order][first], order[first]
+        self.back = np.empty(len(order), np.int64)
+        self.back[order] = run
+
+    def id_at(self, places: np.ndarray) -> np.ndarray:
+        row = np.searchsorted(self.texts.off, places, side="right") - 1
+        return self.ids[row] if len(row) else np.zeros(0, np.int64)
+
+    def seen(self) -> np.ndarray:
+        out = np.zeros(len(self.keys), SEEN)
+        out["whole"] = self.whole[self.lead]
+        pairs = np.lexsort((self.whole, self.back))
+        b, w = self.back[pairs], self.whole[pairs]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (b[1:] != b[:-1]) | (w[1:] != w[:-1])
+        out["kinds"] = np.minimum(np.bincount(b[new], minlength=len(self.keys)), 65535)
+        out["twice"] = np.bincount(self.back, minlength=len(self.keys)) > 1
+        out["id"] = self.id_at(self.low[self.lead])
+        return out
+
+    def entries(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The phrases to be sorted, the first phrase of each distinct entry of them, and the entry of each."""
+        some = np.flatnonzero(state == SORTED)
+        order = some[np.lexsort((some, self.whole[some], self.after[some]))]
+        a, w = self.after[order], self.whole[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+        return order, order[new], np.cumsum(new) - 1
+
+    def told(self, lead: np.ndarray):
+        """What is sent of the entries a to b."""
+        facts = np.zeros(len(lead), ENTRY)
+        facts["id"], facts["at"] = self.id_at(self.low[lead]), self.trigger[lead]
+        facts["least"], facts["most"] = self.trigger[lead] - self.high[lead], self.trigger[lead] - self.low[lead]
+        size = self.high[lead] - self.low[lead] + self.window
+        end = np.cumsum(size)
+
+        def some(a: int, b: int) -> bytes:
+            n = size[a:b]
+            at = np.repeat(self.low[lead[a:b]] - (end[a:b] - n), n) + np.arange(end[a] - size[a], end[b - 1])
+            return by_weight(facts[a:b]) + self.texts.buf[at].tobytes()
+
+        return some
+
+    def hashed(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows that are told apart by hashes: starts, distinct hashes, the first window of each, and each one's place among them."""
+        apart = np.flatnonzero(state == HASHED)
+        size = self.high[apart] - self.low[apart] + 1
+        starts = np.repeat(self.low[apart] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        starts.sort()
+        found = [np.zeros(0, np.uint64)]
+        for i, block in self.texts.blocks():
+            a, b = np.searchsorted(starts, [self.texts.off[i], self.texts.off[i] + len(block.buf)])
+            if b > a:
+                at = starts[a:b] - self.texts.off[i]
+                found.append(string_hash(byte_sums(block.buf), at, at + self.window))
+        keys, first, back = np.unique(np.concatenate(found), return_index=True, return_inverse=True)
+        return starts, keys, first, back
+
+    def second_tag(self, starts: np.ndarray) -> np.ndarray:
+        """32 bits of another hash of the window from each start: of its middle and ends."""
+        buf, out = self.texts.buf, np.zeros(len(starts), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(0, self.window, 8):
+                at = min(k, self.window - 8)
+                piece = np.zeros(len(starts), np.uint64)
+                for j in range(8):
+                    piece = (piece << np.uint64(8)) | buf[starts + at + j]
+                out = mix(out + piece)
+        return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def ids_of(rows: pa.Table) -> np.ndarray:
+    return pc.fill_null(rows.column("place").cast(pa.int64()), int(LAST)).to_numpy()
 
 
-def parse(texts: Texts, window: int) -> tuple[np.ndarray, ...]:
-    parts = []
-    for i, block in texts.blocks():
-        low, high, after, context = parse_block(block, window)
-        parts.append((low + texts.off[i], high + texts.off[i], after, context))
-    kinds = (np.int64, np.int64, np.uint64, np.uint64)
-    return tuple(np.concatenate([np.zeros(0, k), *(p[j] for p in parts)]) for j, k in enumerate(kinds))
+def in_order(rows: pa.Table) -> pa.Table:
+    return rows.take(pa.array(np.argsort(ids_of(rows), kind="stable"))).combine_chunks()
 
 
-def in_order(rows: pa.Table) -> pa.Table:
-    ids = pc.fill_null(rows.column("id").cast(pa.int64()), int(LAST)).to_numpy()
-    return rows.take(pa.array(np.argsort(ids, kind="stable"))).combine_chunks()
-
-
-def after_keys(after: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct `after`; for each, 32 bits: a tag of its only context, or 1 for several; with 2 if seen twice."""
-    order, first, run = groups(after)
-    c = context[order]
-    low, high = (np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)) if len(c) else (c, c)
-    count = np.diff(np.append(first, len(c)))
-    more = np.where(low == high, (low >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFC), np.uint32(1)) | (np.uint32(2) * (count > 1)).astype(np.uint32)
-    back = np.empty(len(after), np.int64)
-    back[order] = run
-    return after[order][first], more, back
-
-
-def contexts_of(keys: np.ndarray, chunk: np.ndarray, more: np.ndarray) -> np.ndarray:
-    order, first, run = groups(keys)
-    m = more[order]
-    tag = m & np.uint32(0xFFFFFFFD)
-    same = (np.minimum.reduceat(tag, first) == np.maximum.reduceat(tag, first)) & (np.minimum.reduceat(tag & np.uint32(1), first) == 0) & (np.maximum.reduceat(tag & np.uint32(1), first) == 0)
-    count = np.diff(np.append(first, len(m)))
-    twice = (count > 1) | (np.maximum.reduceat(m & np.uint32(2), first) > 0)
-    out = np.empty(len(keys), np.uint8)
-    out[order] = np.where(~twice, NONE, np.where(same, ONE_CONTEXT, CONTEXTS)).astype(np.uint8)[run]
+def first_of_runs(new: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """True for the first entry of each run of a sorted order."""
+    out = np.zeros(len(order), bool)
+    out[order[new]] = True
     return out
 
 
-def first_of(keys: np.ndarray, chunk: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """1 for the entry of a key with the least id, then the least chunk."""
-    order = np.lexsort((chunk, more, keys))
-    k = keys[order]
+def dictionary_states(keys: np.ndarray, chunk: np.ndarray, more: np.ndarray, many: int = MANY) -> np.ndarray:
+    order = np.lexsort((chunk, more["id"], keys))
+    k, m = keys[order], more[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
-    out = np.zeros(len(keys), np.uint8)
-    out[order[new]] = 1
+    first, run = np.flatnonzero(new), np.cumsum(new) - 1
+    least, most = np.minimum.reduceat(m["whole"], first), np.maximum.reduceat(m["whole"], first)
+    kinds = np.add.reduceat(m["kinds"].astype(np.int64), first)
+    one = (least == most) & (np.maximum.reduceat(m["kinds"], first) == 1)
+    twice = (np.diff(np.append(first, len(m))) > 1) | (np.maximum.reduceat(m["twice"], first) > 0)
+    state = np.where(~twice, NONE, np.where(one, LATER, np.where(kinds <= many, SORTED, HASHED)))[run]
+    out = np.empty(len(keys), np.uint8)
+    out[order] = np.where(new & (state == LATER), FIRST, state)
     return out
 
 
-def suffix_classes(rows: pa.Table, answers: Answers, window: int):
-    """Per suspect string, in corpus order: its first and last window start and its class."""
-    texts = table_texts(rows)
-    low, high, after, context = parse(texts, window)
-    keys, _, back = after_keys(after, context)
-    state = answers.get(0, keys, np.uint8)[back]
-    whole = state == ONE_CONTEXT
-    apart = np.flatnonzero(state == CONTEXTS)
-    size = high[apart] - low[apart] + 1
-    single = np.repeat(low[apart] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(apart) else low[apart], size) + np.arange(size.sum())
-    hashes = []
-    for i, block in texts.blocks():
-        a, b = np.searchsorted(single, [texts.off[i], texts.off[i] + len(block.buf)])
-        if b > a:
-            total = byte_sums(block.buf)
-            at = single[a:b] - texts.off[i]
-            hashes.append(string_hash(total, at, at + window))
-    begins = np.concatenate([low[whole], single])
-    ends = np.concatenate([high[whole], single])
-    classes = np.concatenate([context[whole], *hashes])
-    order = np.argsort(begins, kind="stable")
-    begins, ends, classes = begins[order], ends[order], classes[order]
-    distinct, first, back = np.unique(classes, return_index=True, return_inverse=True)
-    row = np.searchsorted(texts.off, begins[first], side="right") - 1
-    ids = pc.fill_null(rows.column("id").cast(pa.int64()), int(LAST)).to_numpy()
-    return begins, ends, distinct, first, back, ids[row] if len(row) else np.zeros(0, np.int64)
-
-
-def remove_seen(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20) -> DataFrame:
+def columns(data: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, step: int, keys: np.ndarray) -> np.ndarray:
+    """One row of bytes for each start: its key, then `length` bytes from there on (or backwards), then zeros."""
+    out = np.zeros((len(start), 8 + width), np.uint8)
+    out[:, :8] = keys.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for k in range(width):
+        inside = np.flatnonzero(length > k)
+        out[inside, 8 + k] = data[start[inside] + step * k]
+    return out
+
+
+def sorted_strings(rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows as strings (of equal ones the shorter first), and what each has in common with the one before (-1: not even the key)."""
+    order = np.argsort(length, kind="stable")
+    order = order[np.argsort(rows.view(f"S{rows.shape[1]}").ravel()[order], kind="stable")]
+    same = rows[order[1:]] == rows[order[:-1]]
+    shared = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1)) - 8
+    shared = np.minimum(shared, np.minimum(length[order[1:]], length[order[:-1]]))
+    return order, np.concatenate([[-1], np.where(same[:, :8].all(axis=1), shared, -1)])[: len(order)]
+
+
+def later_windows(keys: np.ndarray, chunk: np.ndarray, runs: tuple[np.ndarray, list[bytes]], window: int) -> np.ndarray:
+    """For each entry, bit d is set if its window with d bytes before the trigger already stands in an earlier place."""
+    sizes, blobs = runs
+    facts = np.concatenate([from_weight(b[: n * ENTRY.itemsize], ENTRY) for n, b in zip(sizes.tolist(), blobs)])
+    data = np.frombuffer(b"".join([b[n * ENTRY.itemsize :] for n, b in zip(sizes.tolist(), blobs)]), np.uint8)
+    least, most = facts["least"].astype(np.int64), facts["most"].astype(np.int64)
+    size = window + most - least
+    trigger = np.cumsum(size) - size + most
+    by_place = np.lexsort((facts["at"], chunk, facts["id"]))
+    least, most, trigger, k = least[by_place], most[by_place], trigger[by_place], keys[by_place]
+    parse = sorted_strings(columns(data, trigger, window - least, window, 1, k), window - least)
+    words = sorted_strings(columns(data, trigger - 1, most, TRIGGERS - 1, -1, k), most)
+    seen = np.zeros(len(k), np.uint64)
+    after, before = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
+    for d in range(int(least.min()), int(most.max()) + 1):
+        has = np.flatnonzero((least <= d) & (most >= d))
+        after[parse[0]] = np.cumsum(parse[1] < window - d)
+        before[words[0]] = np.cumsum(words[1] < d)
+        _, first = np.unique(after[has] * (len(k) + 1) + before[has], return_index=True)
+        again = np.ones(len(has), bool)
+        again[first] = False
+        seen[has[again]] |= np.uint64(1) << np.uint64(d)
+    out = np.empty(len(k), np.uint64)
+    out[by_place] = seen
+    return out
+
+
+def first_of(keys: np.ndarray, chunk: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """1 for the entry of a window with the least id, then the least chunk."""
+    order = np.lexsort((chunk, more["id"], more["tag"], keys))
+    k, t = keys[order], more["tag"][order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    return first_of_runs(new, order).astype(np.uint8)
+
+
+def remove_seen(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20, many: int = MANY) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept (binary: the bytes left; cuts may fall inside a character)."""
     shape = f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -179,7 +288,7 @@ def remove_seen(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         opens[heads] = removed[heads]
         return pa.table([rows.column("id"), pa.array(np.diff(texts.off)), pa.array(per_row(removed, texts.off)), pa.array(per_row(opens, texts.off)), pa.array(left(texts, removed), pa.binary())], names=[key, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return seen_before(df.select(F.col(key).alias("id"), F.col(text).alias("text")), result, shape, window, chunk_bytes)
+    return seen_before(placed(df.select(F.col(key).alias("id"), F.col(text).alias("text"))), result, shape, window, chunk_bytes, many)
 
 
 def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = "n_chars", window: int = WINDOW, chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -207,7 +316,14 @@ def cut_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", size: st
         return pa.table(columns, names=[f.name for f in whole.type])
 
     others = [F.when(F.lit(False), F.col(c)).alias(c) if c == text else F.col(c) for c in df.columns]  # the text travels once
-    return seen_before(df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*others).alias("row")), result, df.schema, window, chunk_bytes)
+    return seen_before(placed(df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.struct(*others).alias("row"))).drop("id"), result, df.schema, window, chunk_bytes)
+
+
+def placed(df: DataFrame) -> DataFrame:
+    """df with `place`, whole numbers in the order of `id`: the ids themselves, or else the rows' numbers in that order."""
+    if df.schema["id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return df.withColumn("place", F.col("id").cast("long"))
+    return number_rows(df, F.col("id"), "place").withColumn("place", F.when(F.col("id").isNotNull(), F.col("place")))
 
 
 def left(texts: Texts, removed: np.ndarray) -> list[bytes]:
@@ -216,7 +332,7 @@ def left(texts: Texts, removed: np.ndarray) -> list[bytes]:
     return [out[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def seen_before(df: DataFrame, output, shape, window: int, chunk_bytes: int) -> DataFrame:
+def seen_before(df: DataFrame, output, shape, window: int, chunk_bytes: int, many: int = MANY) -> DataFrame:
     """output(rows, texts, removed bytes) -> pa.Table in `shape`, for every chunk of df (id, text, ...)."""
     if window < TRIGGERS + MER:
         raise ValueError(f"window must be {TRIGGERS + MER} bytes or more")
@@ -224,28 +340,51 @@ def seen_before(df: DataFrame, output, shape, window: int, chunk_bytes: int) ->
     buckets = bucket_count(packed)
 
     def first(rows: pa.Table):
-        _, _, after, context = parse(table_texts(in_order(rows)), window)
-        keys, more, _ = after_keys(after, context)
-        yield 0, keys, more
+        phrases = Phrases(in_order(rows), window)
+        yield 0, phrases.keys, phrases.seen()
 
     def second(rows: pa.Table, answers: Answers):
-        _, _, distinct, _, _, ids = suffix_classes(in_order(rows), answers, window)
-        yield 1, distinct, ids.astype(np.int64)
+        phrases = Phrases(in_order(rows), window)
+        state = answers.get(0, phrases.keys, np.uint8)[phrases.back]
+        _, lead, _ = phrases.entries(state)
+        yield 1, phrases.after[lead], phrases.told(lead)
+        starts, keys, at, _ = phrases.hashed(state)
+        more = np.zeros(len(keys), PLACE)
+        more["tag"], more["id"] = phrases.second_tag(starts[at]), phrases.id_at(starts[at])
+        yield 2, keys, more
 
     def result(rows: pa.Table, answers: Answers) -> pa.Table:
-        rows = in_order(rows)
-        begins, ends, distinct, head, back, _ = suffix_classes(rows, answers, window)
-        gone = np.ones(len(begins), bool)
-        gone[head[answers.get(1, distinct, np.uint8) > 0]] = False
-        texts = table_texts(rows)
-        n = len(texts.buf)
+        phrases = Phrases(in_order(rows), window)
+        n = len(phrases.texts.buf)
         change = np.zeros(n + 1, np.int32)
-        np.add.at(change, begins[gone], 1)
-        np.add.at(change, ends[gone] + window, -1)
-        return output(rows, texts, np.cumsum(change[:n]) > 0)
 
-    found = cut(settle(ask(packed, first, buckets), contexts_of, "u4"))
-    again = settle(ask_again(packed, found, second, buckets), first_of, "i8")
+        def remove(begin: np.ndarray, end: np.ndarray) -> None:
+            np.add.at(change, begin, 1)
+            np.add.at(change, end + window, -1)
+
+        state = answers.get(0, phrases.keys, np.uint8)[phrases.back]
+        gone = (state == FIRST) | (state == LATER)
+        gone[phrases.lead] &= state[phrases.lead] != FIRST
+        remove(phrases.low[gone], phrases.high[gone])
+        # phrases that were sorted: the first of each entry has its answer, the others come after it
+        order, lead, _ = phrases.entries(state)
+        later = np.setdiff1d(order, lead)
+        remove(phrases.low[later], phrases.high[later])
+        bits = answers.get(1, phrases.after[lead], np.uint64)
+        size = phrases.high[lead] - phrases.low[lead] + 1
+        start = np.repeat(phrases.low[lead] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        before = np.repeat(phrases.trigger[lead], size) - start
+        again = (np.repeat(bits, size) >> before.astype(np.uint64)) & np.uint64(1) > 0
+        remove(start[again], start[again])
+        # windows that were hashed
+        starts, keys, at, _ = phrases.hashed(state)
+        first_here = np.zeros(len(starts), bool)
+        first_here[at[answers.get(2, keys, np.uint8) > 0]] = True
+        remove(starts[~first_here], starts[~first_here])
+        return output(phrases.rows, phrases.texts, np.cumsum(change[:n]) > 0)
+
+    found = cut(settle(ask(packed, first, buckets), {0: (lambda k, c, m: dictionary_states(k, c, m, many), SEEN)}))
+    again = settle(ask_again(packed, found, second, buckets), {1: (lambda k, c, m: later_windows(k, c, m, window), bytes), 2: (first_of, PLACE)})
     return finish(packed, found.unionAll(again), result, buckets, shape)
 
 

@@ -81,6 +81,34 @@ def test_byte_windows_against_brute_force(spark, parts, chunk):
     assert rows(got) == sorted(brute7(docs), key=repr)
 
 
+@pytest.mark.parametrize("many", [4096, 6, 0])
+def test_sorted_and_hashed_entries_agree(spark, many):
+    """Passages under different surroundings, in few and in many places, with shifted and periodic parts."""
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage, other = letters(260), letters(130)
+    docs = []
+    for i in range(60):
+        k = rng.randrange(0, 60)
+        docs.append((i, letters(rng.randrange(0, 200)) + rng.choice([passage, passage[k:], passage[: 200 - k], other, other[k:], "ab" * 70, ""]) + letters(rng.randrange(0, 200))))
+    docs += [(70, "\0" * 150 + passage), (71, "\0" * 130), (72, passage[:99]), (73, passage[:100])]
+    df = spark.createDataFrame([(*d, "x") for d in docs], SCHEMA).repartition(4)
+    from pyspark.sql import functions as F
+
+    for chunk in (4 << 20, 3000):
+        got = op7_suffixes.remove_seen(df, chunk_bytes=chunk, many=many).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+        assert rows(got) == sorted(brute7(docs), key=repr)
+
+
+def test_ids_of_any_ordered_type(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh") for _ in range(153))
+    df = spark.createDataFrame([(None, text), ("b", text), ("a", text), ("b", text + text)], "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.n_removed) for r in op7_suffixes.remove_seen(df).collect())
+    assert got[0] == ("", 153) and got[1] == ("a", 0) and sorted(got[2:]) == [("b", 153), ("b", 306)]
+    assert sorted((r.doc_id or "", r.text) for r in op7_suffixes.cut_repeats(df.withColumn("place", df.doc_id)).collect())[1] == ("a", text)
+
+
 def test_null_ids_come_last(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefgh") for _ in range(153))

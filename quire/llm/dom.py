@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from html.parser import HTMLParser
 
-#: Element names by role, and words of class, id and role attributes.
-UNSEEN = frozenset("script style template noscript svg math iframe object canvas audio video head title select option datalist".split())
+#: Element names by role, and words of class, id and role attributes. All other elements are inline.
+UNSEEN = frozenset("script style template noscript svg iframe object canvas audio video head title select option datalist annotation annotation-xml".split())
+MAY_NEST = frozenset(("svg", "object", "head"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+BLOCK = frozenset("html body li dt dd tr td th thead tbody tfoot caption colgroup legend optgroup option button textarea".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section search summary table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol dl table div article section body main aside nav".split())
@@ -52,19 +55,43 @@ class Node:
 
 
 class Page(HTMLParser):
-    """nodes: blocks in page order, each after its parent. runs: (node, text) in page order."""
+    """nodes: blocks in page order, each after its parent. runs: (node, text) in page order.
+
+    An element that is not shown hides what it holds up to its end tag. One without an end tag of
+    its own hides no more than what stands before the next block or the end of what it is in.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("body", None, [])]
         self.open: list[tuple[str, Node]] = [("body", self.nodes[0])]
         self.unseen: list[str] = []
+        self.loose = False  # the element that hides has no end tag
+        self.count = Counter(("body",))  # of open elements
         self.in_link = 0
         self.runs: list[tuple[Node, str]] = []
         self.held: list[str] = []
+        self.html, self.lines = html, None
         self.feed(html)
         self.close()
         self.flush()
+        for node in reversed(self.nodes[1:]):  # sums over all that a block holds
+            above = node.parent
+            above.chars += node.chars
+            above.stops += node.stops
+            above.links += node.links
+
+    def has_end(self, tag: str) -> bool:
+        """Whether the element that begins here has an end tag, and not only a later one of its kind."""
+        if self.lines is None:
+            self.lines = [0, *(m.end() for m in re.finditer("\n", self.html))]
+            self.tags: dict[str, list[tuple[int, bool]]] = {}
+        if tag not in self.tags:
+            self.tags[tag] = [(m.start(), m[1] == "/") for m in re.finditer(rf"<(/?){tag}(?=[\s/>])", self.html, re.I)]
+        line, column = self.getpos()
+        at = bisect_right(self.tags[tag], (self.lines[line - 1] + column, True))
+        later = self.tags[tag]
+        return any(end for _, end in later[at:]) if tag in MAY_NEST else at < len(later) and later[at][1]
 
     def flush(self) -> None:
         if self.held:
@@ -74,13 +101,16 @@ class Page(HTMLParser):
             self.held = []
 
     def pop_to(self, at: int) -> None:
-        if any(tag not in INLINE or node is not self.open[at - 1][1] for tag, node in self.open[at:]):
+        if any(not is_inline(tag) or node is not self.open[at - 1][1] for tag, node in self.open[at:]):
             self.flush()
         for tag, _ in self.open[at:]:
             self.in_link -= tag == "a"
+            self.count[tag] -= 1
         del self.open[at:]
 
     def shut(self, names: frozenset[str] | set[str], stop: frozenset[str]) -> None:
+        if not any(self.count[n] for n in names):
+            return
         for at in range(len(self.open) - 1, 0, -1):
             tag = self.open[at][0]
             if tag in names:
@@ -93,14 +123,16 @@ class Page(HTMLParser):
         if self.unseen:
             if tag == self.unseen[-1] and tag not in VOID:
                 self.unseen.append(tag)
-            elif self.unseen[-1] in ("head", "title") and (tag in CLOSES_P or tag == "body"):
+            elif (self.loose or self.unseen[-1] in ("head", "title")) and (tag in CLOSES_P or tag == "body"):
                 self.unseen.clear()
+                self.loose = False
             else:
                 return
             if self.unseen:
                 return
         if tag in UNSEEN:
             self.unseen.append(tag)
+            self.loose = tag not in self.CDATA_CONTENT_ELEMENTS and not self.has_end(tag)
             return
         if tag in VOID:
             if tag == "hr":
@@ -118,7 +150,7 @@ class Page(HTMLParser):
         if tag in SIBLINGS:
             self.shut(SIBLINGS[tag], HOLDS)
         here = self.open[-1][1]
-        inline = tag in INLINE
+        inline = is_inline(tag)
         node = here
         if not inline or attrs and any(n in ("class", "id", "role", "hidden", "style", "aria-hidden", "data-label") for n, _ in attrs):
             made = Node(tag, here, attrs)
@@ -129,6 +161,7 @@ class Page(HTMLParser):
             else:
                 here.kids -= 1
         self.in_link += tag == "a"
+        self.count[tag] += 1
         self.open.append((tag, node))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -140,9 +173,14 @@ class Page(HTMLParser):
         if self.unseen:
             if tag == self.unseen[-1]:
                 self.unseen.pop()
-            return
+            if not self.loose or not self.count[tag]:
+                return
+            self.unseen.clear()  # the end of what the element without an end is in
+            self.loose = False
         if tag == "br":
             self.held.append(" ")
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
                 self.pop_to(at)
@@ -155,13 +193,14 @@ class Page(HTMLParser):
         size = len(data) - data.count(" ")
         node = self.open[-1][1]
         node.direct += size
-        stops = data.count(".") + data.count(",")
-        while node is not None:
-            node.chars += size
-            node.stops += stops
-            if self.in_link:
-                node.links += size
-            node = node.parent
+        node.chars += size
+        node.stops += data.count(".") + data.count(",")
+        if self.in_link:
+            node.links += size
+
+
+def is_inline(tag: str) -> bool:
+    return tag not in BLOCK and tag not in CLOSES_P
 
 
 #: Names of the features, in the order of feature().
@@ -176,5 +215,5 @@ def features(node: Node) -> list[float]:
         *(float(node.tag == t) for t in TAGS),
         *(float(k in node.kinds) for k in KINDS),
         *(float(k in node.under) for k in KINDS), *(float(k in node.under) for k in sorted(AREAS)),
-        float(node.tag in INLINE), float(node.hidden), links, float(links > 0.5), size, node.direct / chars, min(node.stops / chars * 20, 2.0), float(node.chars < 25), 1.0,
+        float(is_inline(node.tag)), float(node.hidden), links, float(links > 0.5), size, node.direct / chars, min(node.stops / chars * 20, 2.0), float(node.chars < 25), 1.0,
     ]

@@ -7,8 +7,9 @@ messages go once from the leaves up and once from the root down, which on a tree
 marginals; blocks whose marginal is at least one half are the text. Both potentials are
 trained from labelled pages (labelled_pages.py), on the driver, in some seconds.
 
-Scripts, styles and comments are no text at all, and forms and hidden elements are never
-main text. Null or empty html gives an empty text. Rows need nothing from each other; ids may
+Scripts, styles and comments are no text at all. Nodes of OBSERVED kinds, and hidden ones, have
+a known label, not main text, as evidence of their own; the messages carry it on. A page
+without blocks, plain text that is, is all main text. Null or empty html gives an empty text. Rows need nothing from each other; ids may
 be null or repeated; other columns are ignored. Empty tables give empty results.
 """
 
@@ -25,7 +26,8 @@ from quire.llm.dom import Page, features
 from quire.llm.labelled_pages import labelled_pages
 from quire.llm.learn import logistic
 
-NEVER = frozenset(("form", "button", "textarea", "dialog", "nav", "footer"))
+#: Elements that the notion of main text itself leaves out.
+OBSERVED = frozenset(("form", "button", "textarea", "dialog", "nav", "footer"))
 
 
 class Model:
@@ -41,7 +43,7 @@ class Model:
         (e00, e01), (e10, e11) = self.edge.tolist()
         at = {id(x): i for i, x in enumerate(nodes)}
         parent = [-1 if x.parent is None else at[id(x.parent)] for x in nodes]
-        own = [(1.0 - a, a) if not (x.tag in NEVER or x.hidden) else (1.0, 1e-9) for a, x in zip(p.tolist(), nodes)]
+        own = [(1.0 - a, a) if not (x.tag in OBSERVED or x.hidden) else (1.0, 1e-9) for a, x in zip(p.tolist(), nodes)]
         up: list[tuple[float, float]] = [(1.0, 1.0)] * n  # what a node's subtree says to its parent
         below = list(own)
         for i in range(n - 1, 0, -1):  # children stand after their parents
@@ -69,6 +71,8 @@ class Model:
         if not html:
             return ""
         page = Page(html)
+        if len(page.nodes) == 1:
+            return "\n".join(text for _, text in page.runs)
         kept = {id(x) for x, p in zip(page.nodes, self.marginals(page)) if p >= 0.5}
         return "\n".join(text for node, text in page.runs if id(node) in kept)
 
@@ -107,5 +111,3 @@ def extract(df: DataFrame, model: Model, key: str = "page_id", html: str = "html
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), train(), "page_id,url")
     return rows.withColumn("n_chars", F.length("text").cast("long"))
-
-

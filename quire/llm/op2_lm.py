@@ -143,7 +143,9 @@ class Automaton:
         left, state = np.arange(len(state)), state
         while len(left):
             key = state * self.width + symbol
-            at = np.searchsorted(self.arcs, key)
+            at = symbol.copy()  # the root's arcs stand first
+            other = np.flatnonzero(state != ROOT)
+            at[other] = np.searchsorted(self.arcs, key[other])
             hit = self.arcs[np.minimum(at, len(self.arcs) - 1)] == key
             on = left[hit]
             total[on] += self.weight[at[hit]]

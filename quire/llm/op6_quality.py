@@ -6,7 +6,8 @@ rows, a matrix whose size is that of the features, and the sums of the partition
 with a ridge. Scores of the training rows, counted in BINS bins, give the isotonic
 calibration, so a score is the share of good documents among those that look as good.
 
-At most `max_labelled` labelled rows are learnt from (a bounded sample by a hash of the id).
+At most MAX_LABELLED labelled rows are learnt from (a bounded sample by a hash of the id), in as
+many tasks as learn.PARTS says, so that as many matrices are summed, however large the table.
 Null and empty texts are scored like any text, from their statistics. Without labels of both
 kinds every score is the share of good labels, or 0.5. Ids may be null or repeated; other
 columns are ignored. Empty tables give empty results.
@@ -18,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.learn import fold_of, isotonic, training_rows
+from quire.llm.learn import PARTS, fold_of, isotonic, training_rows
 from quire.llm.shared import cut
 from quire.llm.stats import measure_all
 from quire.llm.words import Texts, texts_of
@@ -85,6 +85,8 @@ def fit(rows: DataFrame) -> Model:
             x = describe(texts_of(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
+    if rows.rdd.getNumPartitions() > PARTS:
+        rows = rows.repartition(PARTS)
     described = cut(rows.mapInArrow(facts, "x array<double>, y double"))
     inputs = describe(Texts(np.zeros(0, np.uint8), np.zeros(2, np.int64))).shape[1]
     first = described.agg(F.count("*").alias("n"), F.sum("y").alias("good"), *(f(F.col("x")[k]).alias(f"{name}{k}") for k in range(inputs) for name, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
@@ -99,19 +101,16 @@ def fit(rows: DataFrame) -> Model:
         return np.asarray(batch.column(0).flatten()).reshape(-1, inputs)
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1)
+        left, right, rows = np.zeros((FEATURES + 1, FEATURES + 1)), np.zeros(FEATURES + 1), 0
         for batch in batches:
             z = model.cosines(unpack(batch))
             left += z.T @ z
             right += z.T @ batch.column(1).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["part", "a", "b"])
+            rows += batch.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()], pa.binary()), pa.array([right.tobytes()], pa.binary())], names=["a", "b"])
 
-    def add(table: pa.Table) -> pa.Table:
-        a, b = (sum(np.frombuffer(x) for x in table.column(c).to_pylist()) for c in ("a", "b"))
-        return pa.table([table.column("part")[:1], pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["part", "a", "b"])
-
-    shape = "part int, a binary, b binary"
-    sums = described.mapInArrow(equations, shape).groupBy("part").applyInArrow(add, shape).collect()  # 16 rows at most
+    sums = described.mapInArrow(equations, "a binary, b binary").collect()  # one matrix of a fixed size for each of PARTS tasks
     left = sum(np.frombuffer(bytes(r.a)) for r in sums).reshape(FEATURES + 1, FEATURES + 1)
     right = sum(np.frombuffer(bytes(r.b)) for r in sums)
     model.weights = np.linalg.solve(left + RIDGE * np.eye(FEATURES + 1), right)

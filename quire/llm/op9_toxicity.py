@@ -1,67 +1,153 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding: lower case, look-alike letters of other scripts to Latin, digits and signs that
-stand for letters to these, everything but letters out of words, long runs of a letter to
-one. Entries are whole words or beginnings of words. Their weights are learnt from labelled
-rows: a lower bound (two standard errors) of the log odds of an entry's distinct contexts (the words before and after it) in toxic
-against clean texts, so that a text that was copied a hundred times counts once. Exception
-phrases are entries with a neighbour that clean texts have again and again and toxic ones
-never; what they cover is not counted. A text's score is logistic in its weight and in its
+Folding: compatibility forms to plain letters without accents, lower case, look-alike letters of
+other scripts to Latin, digits and signs that stand for letters to these, everything but letters
+out of words, long runs of a letter to one. Where a digit may stand for two letters, the reading
+that the lexicon knows counts. Entries are whole words or beginnings of words. They are found in
+labelled rows, in two steps, and however many the evidence leaves are used:
+
+1. Texts: entries in at least LEAST_TEXTS different toxic texts whose log odds, of toxic against
+   clean texts, are above zero by two standard errors.
+2. Contexts: of these, the log odds of distinct contexts (the words before and after an entry), so
+   that a text that was copied a hundred times with small changes counts once. An entry's weight
+   is the lower bound (two standard errors) of these odds; it must be above LEAST_ODDS.
+
+Exception phrases are entries with a neighbour that clean texts have again and again and toxic
+ones never; what they cover is not counted. A text's score is logistic in its weight and in its
 weight by length.
 
-At most `max_labelled` labelled rows are learnt from (a bounded sample by a hash of the id),
-and the lexicon has at most ENTRIES entries; this is what is sent to the executors. Null and
-empty texts have no matches and get the lowest score. Without labels nothing matches. Ids
-may be null or repeated; other columns are ignored. Empty tables give empty results.
+At most MAX_LABELLED labelled rows are learnt from (a bounded sample by a hash of the id); what is
+sent to the executors comes from these alone. Equal texts count once, as toxic if any label says
+so. Null and empty texts have no matches and get the lowest score. Without labels nothing matches.
+Ids may be null or repeated; other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, product
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.learn import fold_of, logistic, training_rows
+from quire.llm.learn import PARTS, fold_of, logistic, training_rows
 from quire.llm.shared import cut
 from quire.llm.words import texts_of
 
-ENTRIES, CANDIDATES = 500, 20_000
-PREFIXES = range(4, 11)
-LEAST_CONTEXTS, LEAST_TEXTS = 5, 3
-MAX_LABELLED = 8_000
+LEAST_CONTEXTS, LEAST_TEXTS, LEAST_ODDS = 5, 3, 1.0
+LEAST_CLEAN = 3
+MAX_LABELLED = 20_000
 THRESHOLD = 0.3
 
-#: Letters of other scripts that look like Latin ones, then signs used for letters.
-LOOK_ALIKE = dict(zip("аеорсхуіјѕԁһкмтнвгαοερνικτυχη", "aeopcxyijsdhkmthbraoepviktuxn"))
-LEET = dict(zip("0134578@$", "oieastbas"))
+#: Letters that look like Latin ones (Cyrillic, Greek, Latin extensions); digits and signs and the
+#: letters that they stand for; signs that stand for a letter only inside a word.
+LOOK_ALIKE = dict(zip("авегкмнорстухіјѕԁһԛԝ" "αβγεηικνορτυχω" "ıłøđħɑɡɩʏƒ", "abehkmhopctyxijsdhqw" "abyenikvoptuxw" "iloahagiyf"))
+STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq", "@": "a", "$": "s", "€": "e", "£": "l", "¢": "c"}
+INSIDE = {"!": "il", "|": "li", "+": "t", "(": "c"}
 NOT_LETTERS = re.compile(r"[^\w]|[\d_]")
 RUNS = re.compile(r"(\w)\1{2,}")
-SPACE = re.compile(r"[\x20\x09-\x0D]+")
+BETWEEN = re.compile(r"(?<=\w)[!|+(](?=\w)")
+ENDS = ".,;:?!\"'()[]-*"
+REMEMBER = 500_000
+AMBIGUOUS = 4
+
+
+def beginnings(size: int) -> list[int]:
+    """Lengths at which a word's beginnings are entries: each up to 10, then by a fifth more, below `size`."""
+    out, k = [], 4
+    while k < size:
+        out.append(k)
+        k += 1 if k < 10 else k // 5
+    return out
+
+
+class Folder:
+    """Folded words of texts; words that were seen before are looked up."""
+
+    def __init__(self):
+        self.known: dict[str, str] = {}
+
+    def plain(self, word: str) -> str:
+        word = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)) if not word.isascii() else word.lower()
+        return "".join([LOOK_ALIKE.get(c, c) for c in word])
+
+    def readings(self, word: str) -> list[str]:
+        """The word with every digit or sign read as a letter. Up to AMBIGUOUS that may be two letters are read in
+        all ways, more of them all as their first or all as their second one."""
+        word = self.plain(word)
+        inside = {m.start() for m in BETWEEN.finditer(word)}
+        ways = [STANDS_FOR.get(c) or (INSIDE[c] if i in inside else c) for i, c in enumerate(word)]
+        several = [i for i, w in enumerate(ways) if len(w) > 1]
+        if len(several) <= AMBIGUOUS:
+            choices = product(*(range(len(w)) for w in ways))
+        else:
+            choices = ([min(k, len(w) - 1) for w in ways] for k in (0, 1))
+        read = ("".join([w[k] for w, k in zip(ways, choice)]) for choice in choices)
+        return list(dict.fromkeys(NOT_LETTERS.sub("", RUNS.sub(r"\1", r)) for r in read))
+
+    def fold(self, word: str) -> str:
+        bare = word.strip(ENDS)
+        if bare.isalpha() and bare.isascii():
+            return RUNS.sub(r"\1", bare.lower())
+        return self.choose(self.readings(word))
+
+    def choose(self, readings: list[str]) -> str:
+        return readings[0]
+
+    def words(self, text: str) -> list[str]:
+        """Words without letters are left out."""
+        known = self.known
+        if len(known) > REMEMBER:
+            known.clear()
+        out = []
+        for w in text.split():
+            got = known.get(w)
+            if got is None:
+                got = self.fold(w)
+                if len(w) <= 64:
+                    known[w] = got
+            if got:
+                out.append(got)
+        return out
 
 
-def folding() -> dict[int, str]:
-    table = {ord(a): b for a, b in {**LOOK_ALIKE, **LEET}.items()}
-    table |= {0xFF41 + k: chr(97 + k) for k in range(26)}  # full-width letters
-    return table
+def entries_of(word: str) -> list[str]:
+    """` word ` whole, and ` begin` for its beginnings."""
+    return [f" {word} ", *(f" {word[:k]}" for k in beginnings(len(word)))]
 
 
-def fold(text: str, table: dict[int, str]) -> list[str]:
-    """The folded words; words without letters become empty."""
-    words = text.lower().translate(table)
-    words = RUNS.sub(r"\1", words)
-    return [NOT_LETTERS.sub("", w) if not w.isalpha() else w for w in SPACE.split(words) if w]
+class Remembered(dict):
+    """What a function gives for words, each asked once."""
 
+    def __init__(self, function: Callable):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, word: str):
+        if len(self) > REMEMBER:
+            self.clear()
+        got = self[word] = self.function(word)
+        return got
 
-def entries_of(word: str) -> list[str]:
-    """` word ` whole, and ` begin` for its beginnings."""
-    return [f" {word} ", *(f" {word[:k]}" for k in PREFIXES if k < len(word))]
+
+class KnownReadings(Folder):
+    """A folder that takes, of two readings, the one that a lexicon has an entry for."""
+
+    def __init__(self, entries: Iterable[str]):
+        super().__init__()
+        self.entries = entries
+
+    def choose(self, readings: list[str]) -> str:
+        if len(readings) == 1:
+            return readings[0]
+        return next((r for r in readings if any(e in self.entries for e in entries_of(r))), readings[0])
 
 
 class Lexicon:
@@ -77,9 +163,12 @@ class Lexicon:
         made.make_automaton()
         return made
 
-    def facts(self, text: str, made: ahocorasick.Automaton, table: dict[int, str]) -> tuple[float, int, int]:
+    def folder(self) -> Folder:
+        return KnownReadings(self.weights)
+
+    def facts(self, text: str, made: ahocorasick.Automaton, folder: Folder) -> tuple[float, int, int]:
         """Weight, matches and words of a text. Of entries that begin at one word the heaviest counts."""
-        words = [w for w in fold(text, table) if w]
+        words = folder.words(text)
         if not words or not self.weights:
             return 0.0, 0, len(words)
         found: dict[int, float] = {}
@@ -110,79 +199,103 @@ def hash_of(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
 
 
-def contexts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """(entry, n, texts): in how many distinct contexts and texts an entry (of the wanted ones) stands."""
+def texts_with(rows: DataFrame) -> DataFrame:
+    """(entry, toxic, clean): how many toxic and clean texts have an entry; rows are distinct texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, entries = Folder(), Remembered(entries_of)
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                k = y <= 0
+                for e in set(chain.from_iterable(map(entries.__getitem__, set(folder.words(text or ""))))):
+                    got = counts.get(e)
+                    if got is None:
+                        got = counts[e] = [0, 0]
+                    got[k] += 1
+            if len(counts) > REMEMBER:
+                yield packed(counts)
+                counts = {}
+        yield packed(counts)
+
+    def packed(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["entry", "toxic", "clean"])
+
+    return rows.select("text", "y").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def contexts(rows: DataFrame, wanted: frozenset[str]) -> DataFrame:
+    """(entry, toxic, clean): in how many distinct contexts the wanted entries stand in toxic and in clean texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = folding()
+        folder, entries = Folder(), Remembered(lambda w: [e for e in entries_of(w) if e in wanted])
         for batch in batches:
-            seen: set[tuple[str, int, int]] = set()
-            for text in batch.column(0).to_pylist():
-                name = hash_of(text or "")
-                words = [w for w in fold(text or "", table) if w]
-                for before, word, after in zip(["", *words], words, [*words[1:], ""]):
-                    place = None
-                    for e in entries_of(word):
-                        if wanted is None or e in wanted:
-                            place = hash_of(f"{before} {after}") if place is None else place
-                            seen.add((e, place, name))
+            seen: set[tuple[str, float, int]] = set()
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = folder.words(text or "")
+                for before, some, after in zip(["", *words], map(entries.__getitem__, words), [*words[1:], ""]):
+                    if some:
+                        place = hash_of(f"{before} {after}")
+                        seen.update((e, y, place) for e in some)
             cols = list(zip(*seen)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["entry", "place", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], names=["entry", "y", "place"])
 
-    found = rows.select("text").mapInArrow(run, "entry string, place long, name long")
-    return found.groupBy("entry").agg(F.countDistinct("place").alias("n"), F.countDistinct("name").alias("texts"))
+    found = rows.select("text", "y").mapInArrow(run, "entry string, y double, place long").distinct()
+    return found.groupBy("entry").agg(F.count_if(F.col("y") > 0).alias("toxic"), F.count_if(F.col("y") <= 0).alias("clean"))
 
 
 def phrases(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(phrase, toxic, n): entries with the word before or after, by label and number of texts."""
+    """(phrase, toxic, clean): entries with the word before or after, by label and number of texts."""
     whole = frozenset(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = folding()
+        folder, known = KnownReadings(whole), Remembered(lambda w: any(e in whole for e in entries_of(w)))
         for batch in batches:
             seen: Counter[tuple[str, float]] = Counter()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = [w for w in fold(text or "", table) if w]
-                own = {f" {a} {b} " for a, b in zip(words, words[1:]) if any(e in whole for w in (a, b) for e in entries_of(w))}
-                seen.update((p, y) for p in own)
+                words = folder.words(text or "")
+                hit = list(map(known.__getitem__, words))
+                seen.update((p, y) for p in {f" {words[i]} {words[i + 1]} " for i in range(len(words) - 1) if hit[i] or hit[i + 1]})
             cols = list(zip(*((p, y, n) for (p, y), n in seen.items()))) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], names=["phrase", "toxic", "n"])
 
-    return rows.select("text", "y").mapInArrow(run, "phrase string, toxic double, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).alias("clean"))
+    found = rows.select("text", "y").mapInArrow(run, "phrase string, toxic double, n long").groupBy("phrase")
+    return found.agg(F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(F.col("n"))).alias("clean"))
+
+
+def sure_odds(toxic: Column, clean: Column, ratio: float) -> Column:
+    """Log odds less two standard errors."""
+    return F.log((toxic + 0.5) / (clean + 0.5)) - F.lit(float(ratio)) - 2 * F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
 
 
 def learn(rows: DataFrame) -> Lexicon:
     """rows: (text, y) of a bounded sample."""
-    rows = cut(rows)
-    n_toxic, n_clean = (rows.where(c).count() for c in ("y > 0", "y = 0"))
-    if not n_toxic or not n_clean:
+    rows = cut(rows.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("y").alias("y")).repartition(PARTS))
+    totals = {r.toxic: (r.n, r.words) for r in rows.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", r"\s+"))).alias("words")).collect()}
+    if len(totals) < 2:
         return Lexicon({}, set(), None)
-    toxic = contexts(rows.where("y > 0"), None).where((F.col("n") >= LEAST_CONTEXTS) & (F.col("texts") >= LEAST_TEXTS)).orderBy(F.desc("n"), "entry").limit(CANDIDATES)
-    in_toxic = {r.entry: r.n for r in toxic.collect()}
-    in_clean = {r.entry: r.n for r in contexts(rows.where("y = 0"), frozenset(in_toxic)).collect()}  # CANDIDATES rows at most
-    words = {y: n for y, n in rows.groupBy("y").agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).collect()}
-    ratio = np.log(words.get(1.0, 1) / words.get(0.0, 1))
-    scored = []
-    for e, t in in_toxic.items():
-        c = in_clean.get(e, 0)
-        odds = np.log((t + 0.5) / (c + 0.5)) - ratio
-        sure = odds - 2 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-        if sure > 1.0:
-            scored.append((t * sure, e, sure))
+    of_texts, of_words = (np.log(totals[True][k] / totals[False][k]) for k in (0, 1))
+    toxic, clean = F.col("toxic"), F.col("clean")
+    some = frozenset(r.entry for r in texts_with(rows).where((toxic >= LEAST_TEXTS) & (sure_odds(toxic, clean, of_texts) > 0)).select("entry").collect())
+    found = contexts(rows, some).withColumn("sure", sure_odds(toxic, clean, of_words)).where((toxic >= LEAST_CONTEXTS) & (F.col("sure") > LEAST_ODDS)).collect()
+    in_toxic = {r.entry: r.toxic for r in found}
     weights: dict[str, float] = {}
-    for _, e, sure in sorted(scored, reverse=True):
+    longer: dict[str, int] = {}  # for each beginning, the most contexts of an entry that it begins
+    for r in sorted(found, key=lambda r: (r.toxic * r.sure, r.entry), reverse=True):  # of equal ones the longer entry
+        e = r.entry
         covered = any(e[:k] in weights for k in range(5, len(e)))
         # a beginning says nothing more than the longer entry if that is nearly all it stands for
-        adds = all(in_toxic[e] >= 1.2 * in_toxic[w] for w in weights if w.startswith(e))
-        if len(weights) < ENTRIES and not covered and adds:
-            weights[e] = float(sure)
-    found = phrases(rows, weights).where("toxic = 0 AND clean >= 3").orderBy(F.desc("clean"), "phrase").limit(ENTRIES).collect()
-    lexicon = Lexicon(weights, {r.phrase for r in found}, None)
+        if not covered and in_toxic[e] >= 1.2 * longer.get(e, 0):
+            weights[e] = float(r.sure)
+            for k in range(5, len(e)):
+                longer[e[:k]] = max(longer.get(e[:k], 0), in_toxic[e])
+    exceptions = phrases(rows, weights).where((toxic == 0) & (clean >= LEAST_CLEAN)).select("phrase").collect()
+    lexicon = Lexicon(weights, {r.phrase for r in exceptions}, None)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, table = lexicon.automaton(), folding()
+        made, folder = lexicon.automaton(), lexicon.folder()
         for batch in batches:
-            got = [lexicon.facts(t or "", made, table) for t in batch.column(0).to_pylist()]
+            got = [lexicon.facts(t or "", made, folder) for t in batch.column(0).to_pylist()]
             w, m, n = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.float64()), pa.array(m, pa.int64()), pa.array(n, pa.int64()), batch.column(1)], names=["w", "m", "n", "y"])
 
@@ -195,10 +308,10 @@ def score(df: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "tex
     """key, weight, matches, words, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, table = lexicon.automaton(), folding()
+        made, folder = lexicon.automaton(), lexicon.folder()
         for batch in batches:
             for first, block in texts_of(batch.column(1)).blocks():
-                facts = [lexicon.facts(block.raw(i).decode("utf-8", "replace"), made, table) for i in range(len(block))]
+                facts = [lexicon.facts(block.raw(i).decode("utf-8", "replace"), made, folder) for i in range(len(block))]
                 w, m, n = zip(*facts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), pa.array(w, pa.float64()), pa.array(m, pa.int64()), pa.array(n, pa.int64()), pa.array(lexicon.score(facts))], names=[key, "weight", "matches", "words", "score"])
 

@@ -49,9 +49,11 @@ def toxic_rows(spark):
 def test_folding_and_exceptions(spark):
     lexicon = op9_toxicity.learn(toxic_rows(spark).select("text", "y"))
     assert any("blorf" in e for e in lexicon.weights)
-    made, table = lexicon.automaton(), op9_toxicity.folding()
-    hits = lambda t: lexicon.facts(t, made, table)[1]
+    made, folder = lexicon.automaton(), lexicon.folder()
+    hits = lambda t: lexicon.facts(t, made, folder)[1]
     assert hits("you BLORFING tree") == hits("you bl0rf1ng tree") == hits("you b-l-о-rf.ing, tree") == hits("you blooooorfing tree") == 1
+    assert hits("you 6lorfing tree") == hits("you b1orfing") == hits("you b!orf!ng,") == hits("you blörfíng") == hits("you ｂｌｏｒｆｉｎｇ") == hits("you \U0001d41b\U0001d425orfing") == 1
+    assert hits("you b2orfing tree") == hits("you blor fing!") == 0
     assert hits("the grand blorfing cup") == 0
     assert hits("") == 0
     df = spark.createDataFrame([(1, None, "x"), (None, "", "y"), (1, "blorfing " * 30, "z")], "doc_id long, text string, score string")
@@ -82,3 +84,39 @@ def test_measures_of_edges():
 
     x = op6_quality.describe(texts_of(pa.array([None, "", "\n\n", "é" * 10])))
     assert x.shape[0] == 4 and np.isfinite(x).all()
+
+
+def test_matches_against_brute_force(spark):
+    """The automaton's matches, by looking at every place of the folded text for every entry."""
+    lexicon = op9_toxicity.learn(toxic_rows(spark).select("text", "y"))
+    lexicon.weights |= {" lam": 0.5, " lamp ": 0.25, " tre": 2.0, " tree ": 1.0}
+    rng = random.Random(3)
+    made, folder = lexicon.automaton(), lexicon.folder()
+    for _ in range(200):
+        text = " ".join(rng.choice(["lamp", "lam", "lamps", "TREE", "trees", "bl0rfing", "grand", "cup", "a-b", "!!", "the", "blorfing"]) for _ in range(rng.randrange(0, 40)))
+        words = folder.words(text)
+        line, weight, count = f" {' '.join(words)} ", 0.0, 0
+        covered = {i for p in lexicon.exceptions for a in range(len(line)) if line.startswith(p, a) for i in range(a, a + len(p) - 1)}
+        for at in range(len(line)):
+            best = max((w for e, w in lexicon.weights.items() if line.startswith(e, at)), default=0.0)
+            if best and at not in covered:
+                weight, count = weight + best, count + 1
+        got = lexicon.facts(text, made, folder)
+        assert got[1:] == (count, len(words)) and abs(got[0] - weight) < 1e-9 or not words
+
+
+def test_repeated_labels_ids_and_texts(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c"), (3, None), (None, "d")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, 0), (2, 1), (3, 0), (None, 1), (4, 1)], "doc_id long, quality int")
+    rows = training_rows(df, labels, "quality", F.lit(True), "doc_id", "text", 10)
+    got = sorted(((r.text, r.y) for r in rows.collect()), key=repr)
+    assert len(got) == 3 and ("c", 1.0) in got and (None, 0.0) in got and got[0][0] in ("a", "b") and got[0][1] == 0.0
+    assert training_rows(df, labels, "quality", F.lit(True), "doc_id", "text", 2).count() == 2
+
+
+def test_equal_documents_get_equal_scores(spark):
+    """Ties: one statistic for all rows, of both labels."""
+    rows = spark.createDataFrame([("same words here", float(i % 2)) for i in range(40)], "text string, y double")
+    df = spark.createDataFrame([(1, "same words here"), (1, "same words here"), (None, "same words here")], "doc_id long, text string")
+    assert {round(r.score, 2) for r in op6_quality.score(df, op6_quality.fit(rows)).collect()} == {0.5}
+    assert len({r.score for r in op9_toxicity.score(df, op9_toxicity.learn(rows)).collect()}) == 1

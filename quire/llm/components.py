@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 from quire.llm.shared import cut
 
 
+#: Tasks over which the rows of one key are dealt.
+SALTS = 32
+
+
+def spread_join(rows: DataFrame, keys: list[str], values: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with values, which has one row for a key, where one key may hold most of the rows.
+
+    Rows are dealt by key and by a hash of the columns `by`; each of these shares fetches the
+    key's value once, so no task holds a key's rows alone and no value is sent to all tasks.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    fetched = salted.select(*keys, "salt").distinct().join(values, keys)
+    return salted.join(fetched, [*keys, "salt"], how).drop("salt")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its least neighbour."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return spread_join(both.where("b > a"), ["a"], least, ["b"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them; a > b in each edge."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = spread_join(edges, ["a"], least, ["b"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -26,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, root) for every node of the edges (columns a, b: longs) that isn't the least of its component.
 
     Each round is checkpointed; rounds go on until the edges no longer change. Hubs are
-    aggregated before the shuffle, and their joins are left for Spark to split.
+    aggregated before the shuffle, and their neighbours are dealt over many tasks.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.components import components
+from quire.llm.components import components, spread_join
 from quire.llm.shared import cut
 from quire.llm.words import Texts, ascii_lower, gram_hashes, gram_starts, mix, nonspace_class, owner, spans, texts_of, word_hashes
 
@@ -158,7 +158,7 @@ def in_blocks(members: DataFrame, block: int) -> DataFrame:
     size = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("mine")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    return members.join(size, "cluster").select(*members.columns, "blocks", mine).select(*members.columns, "mine", other).select(*members.columns, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return spread_join(members, ["cluster"], size, ["cls"]).select(*members.columns, "blocks", mine).select(*members.columns, "mine", other).select(*members.columns, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
 
 def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -253,15 +253,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     classes = cut(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("cls"), F.min("id").alias("low"), F.first("regs").alias("regs")))
     banded = bands(classes, rows_of_band(percent))
     hubs = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub")
-    links = banded.join(hubs, "band").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    links = spread_join(banded, ["band"], hubs, ["cls"]).where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     clustered = with_roots(components(links), "cluster")
     likely_ones = plausible(clustered.join(classes, "cls"), percent / 100 - SLACK, block)
     held = cut(likely_ones.join(rows.select(F.col("row").alias("cls"), "body"), "cls"))
     roots = components(verified(held, percent, width, block))
     named = classes.select("k1", "k2", "n", F.col("cls").alias("a"), "low").join(roots, "a", "left").select("k1", "k2", "n", "low", F.coalesce("root", "a").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = named.join(least, "root").select("k1", "k2", "n", "component_id", F.lit(True).alias("found"))
-    joined = rows.select("id", "k1", "k2", "n").join(ids, ["k1", "k2", "n"], "left")
+    ids = spread_join(named, ["root"], least, ["k1", "k2"]).select("k1", "k2", "n", "component_id", F.lit(True).alias("found"))
+    joined = spread_join(rows.select("id", "k1", "k2", "n", "row"), ["k1", "k2", "n"], ids, ["row"], "left")
     component = F.when(F.col("found"), F.col("component_id")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 

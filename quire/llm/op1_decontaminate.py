@@ -30,6 +30,7 @@ from quire.llm.words import Texts, alnum_class, ascii_lower, gram_hashes, gram_s
 
 WINDOW = 10
 SHINGLE = 3
+SALTS = 16
 SLOTS = 1 << 23  # bits of a filter: 1 MB
 
 
@@ -117,7 +118,6 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
         .select("words", "size", "least.h", "least.place")
     )
     rare = context.broadcast(bitmap(prefixes.select("h")))
-    reach = window - 1
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,10 +125,11 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
             for first, block, starts, ends, off, found in matches(texts_of(batch.column(1)), sizes, rare.value):
                 n_words[first : first + len(block)] = np.diff(off)
                 row_of = owner(off)
-                for _, at, h in found:
+                for k, at, h in found:
+                    reach = window if k == shingle else k  # the only shingle of a shorter item is all of it
                     for p, hash_ in zip(at.tolist(), h.astype(np.int64).tolist()):
                         row = int(row_of[p])
-                        a, b = max(int(off[row]), p - reach), min(int(off[row + 1]), p + window)
+                        a, b = max(int(off[row]), p - reach + k), min(int(off[row + 1]), p + reach)
                         near = b" ".join(block.buf[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b]))
                         found_of[first + row].append({"h": hash_, "at": p - int(off[row]), "lead": p - a, "near": near.decode("utf-8", "replace")})
             shape = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("lead", pa.int32()), ("near", pa.string())]))
@@ -136,9 +137,11 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text
 
     seen = cut(source.mapInArrow(seek, f"id {kind}, n_words long, found array<struct<h: long, at: int, lead: int, near: string>>").withColumn("row", F.monotonically_increasing_id()))
     candidates = seen.select("row", "n_words", F.inline("found"))
+    # a common shingle, such as an item of one word, stands in many documents: its rows are dealt over SALTS tasks
+    salted = prefixes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     start = F.col("at") - F.col("place")
     hits = (
-        candidates.join(prefixes, "h")
+        candidates.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
         .where((start >= 0) & (start + F.col("size") <= F.col("n_words")) & (F.col("lead") >= F.col("place")))
         .where(F.array_join(F.slice(F.split("near", " "), F.col("lead") - F.col("place") + 1, F.col("size")), " ") == F.col("words"))
         .select("row", start.alias("start"), "size", "words")

@@ -5,6 +5,8 @@ failure bit per rule. Policies are masks over those bits with a version, so a po
 applied, or changed, without reading texts again, and an ablation (what each rule alone
 removes, what would come back without it) is one aggregation of bits.
 
+A ledger that several readers share is written once, with cut() of shared.py; `ablations` does so.
+
 Nulls: a null text has no words and fails `few_words`. Empty tables give empty results.
 Repeated rows are judged row by row. Columns besides the id and text are ignored; the id
 may be null and is passed on.
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm.shared import cut
 from quire.llm.stats import MEASURES, measure_all
 from quire.llm.words import texts_of
 
@@ -99,13 +102,24 @@ def ablation(rows: DataFrame, version: str) -> DataFrame:
     )
 
 
+def ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """version, rule, n_failed, n_failed_alone, n_kept: of every policy, from one stored ledger."""
+    stored = cut(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = None
+    for version in POLICIES:
+        kept = apply_policy(stored, version).agg(F.count_if("kept").alias("n_kept"))
+        found = ablation(stored, version).join(F.broadcast(kept)).select(F.lit(version).alias("version"), "rule", "n_failed", "n_failed_alone", "n_kept")  # one row
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "v1")
     base = F.col("failed").bitwiseAND(F.lit(mask("base"))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", F.col("failed").alias("failed_rules"))
 
 
-ORACLE = r"""
+BITS = r"""
 WITH w AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), l AS (
@@ -133,5 +147,12 @@ WITH w AS (
   SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
     + 16 * (5 * n_same > n_words)::BIGINT + 32 * (2 * n_caps_words > n_words)::BIGINT + 64 * (word_chars > 12 * n_words OR word_chars < 2 * n_words)::BIGINT AS failed_rules FROM f
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM b
+"""
+ORACLE = BITS + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM b
+"""
+ABLATIONS = BITS + """, p AS (
+  SELECT * FROM (VALUES ('base', 'few_words', 1, 3), ('base', 'repeated_windows', 2, 3), ('v1', 'few_words', 1, 127), ('v1', 'repeated_windows', 2, 127), ('v1', 'symbols', 4, 127),
+    ('v1', 'duplicate_lines', 8, 127), ('v1', 'same_word_again', 16, 127), ('v1', 'capitals', 32, 127), ('v1', 'word_length', 64, 127)) AS t(version, rule, bit, mask)
+)
+SELECT version, rule, count(*) FILTER (failed_rules & bit <> 0) AS n_failed, count(*) FILTER (failed_rules & mask = bit) AS n_failed_alone, count(*) FILTER (failed_rules & mask = 0) AS n_kept FROM b, p GROUP BY version, rule
 """

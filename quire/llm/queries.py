@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity.query,
     "op10_minhash_dedup": op10_setsketch.query,
     "lm_trigram_scores": op2_lm.rounded,
+    "rule_ablations": op8_rules.ablations,
 }
 ORACLES = {
     "op1_decontamination": op1_decontaminate.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_quality_rules": op8_rules.ORACLE,
     "op10_minhash_dedup": op10_setsketch.ORACLE,
     "lm_trigram_scores": op2_lm.ROUNDED,
+    "rule_ablations": op8_rules.ABLATIONS,
 }

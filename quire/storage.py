@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or a temporary folder where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+    """The session's spark.checkpoint.dir. Where that is unset, a temporary folder in local mode, and an error on a cluster."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder."""
+    """df, computed once into the shared folder, its lineage forgotten."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))

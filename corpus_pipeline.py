@@ -3,11 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and gives documents of the same columns, but for the
 last, which gives tokens. run() writes each stage's rows as Parquet in the folder that the
 session names in spark.checkpoint.dir, and the next one reads these.
+
+Decisions are about rows: ids may be null or repeated, other columns may hold anything under
+any name, null and empty texts go with the quality rules. Empty tables stay empty.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +20,15 @@ from quire.storage import shared_folder
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs and row_key, a key of each row of its own. Kept as Parquet, so that every read finds the same keys."""
+    """row (a row of docs, whole) and row_key, a key of its own. Kept as Parquet, so that every read finds the same keys."""
     at = f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
-    docs.withColumn("row_key", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(at)
+    docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_key")).write.option("compression", "zstd").parquet(at)
     return docs.sparkSession.read.parquet(at)
 
 
-def keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of keyed() whose key is in kept, without the key."""
-    return rows.join(kept, "row_key", "left_semi").drop("row_key")
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of keyed() whose key is not in gone. Few rows go, so Spark may send their keys whole where they are small."""
+    return rows.join(gone, "row_key", "left_anti").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null ids come last; of equal ids the first row stays.
     """
     rows = keyed(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    found = op10_setsketch.near_duplicates(rows.select("text", order.alias("place")), "place")
-    return keep(rows, found.where("kept").select("place.row_key"))
+    order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "row_key")
+    found = op10_setsketch.near_duplicates(rows.select(F.col("row.text").alias("text"), order.alias("place")), "place")
+    return without(rows, found.where("NOT kept").select("place.row_key"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +58,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     rows = keyed(docs)
-    found = op1_decontaminate.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_key")
-    return keep(rows, found.where("NOT contaminated").select("row_key"))
+    found = op1_decontaminate.decontaminate(rows.select("row_key", F.col("row.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "row_key")
+    return without(rows, found.where("contaminated").select("row_key"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +81,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-", dir="/tmp")
+    at = shared_folder(spark)
     name = uuid.uuid4().hex
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for stage, function in STAGES:

@@ -1,20 +1,5 @@
-"""Storage shared by driver and executors."""
+"""What the operators use of the library's storage."""
 
-from __future__ import annotations
+from quire.storage import cut, shared_folder
 
-import tempfile
-
-from pyspark.sql import DataFrame
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df once in the cluster's shared checkpoint folder and forget its lineage.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests,
-    local mode) a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "shared_folder"]

@@ -107,7 +107,7 @@ def verified_results(results: DataFrame, books: DataFrame, venues: DataFrame, ca
 
     results: key, title, snippet, url. books: key, book_title, first, last. venues: domain, venue, access.
     """
-    found = results.join(books, "key").withColumn("domain", domain(F.col("url"))).join(F.broadcast(venues), "domain")
+    found = results.join(books, "key").withColumn("domain", domain(F.col("url"))).join(venues, "domain")
     found = found.where(is_review_result(F.col("title"), F.col("snippet"), F.col("book_title"), F.col("last"))).withColumn("review_link", normalize_url(F.col("url")))
     known = catalog.select(normalize_url(F.col("review_link")).alias("known")).distinct()
     fresh = best(found.join(known, F.col("review_link") == F.col("known"), "left_anti"), ["review_link"], [F.col("key")])
@@ -147,7 +147,13 @@ def mapped(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
 
 def zipped(batch: DataFrame, left: str, right: str) -> DataFrame:
     """Requests and responses by their places in two arrays."""
-    return batch.select(F.posexplode(F.arrays_zip(F.col(left).alias("request"), F.col(right).alias("response"))).alias("place", "pair")).select("place", "pair.request", "pair.response")
+    return zipped_of(batch, left, right, ())
+
+
+def zipped_of(batch: DataFrame, left: str, right: str, keys: tuple[str, ...]) -> DataFrame:
+    """As zipped(), with the batch's own columns `keys`."""
+    pairs = F.posexplode(F.arrays_zip(F.col(left).alias("request"), F.col(right).alias("response"))).alias("place", "pair")
+    return batch.select(*keys, pairs).select(*keys, "place", "pair.request", "pair.response")
 
 
 def title_mentions(items: DataFrame, book: str, surname: str) -> DataFrame:

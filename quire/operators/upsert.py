@@ -97,15 +97,20 @@ def not_in(df: DataFrame, key: str, listed: DataFrame, column: str) -> DataFrame
     return rest.where(empty | (sound & F.col(key).isNotNull()))
 
 
+def of_each_key(found: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """key, new_<column>: of several rows of a key, the least non-blank value of each column, so that no order of rows matters."""
+    return found.where(~is_blank(key)).groupBy(key).agg(*(F.min(filled(c)).alias(f"new_{c}") for c in columns))
+
+
 def update_by_key(catalog: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """Columns of matching rows replaced by non-null new values (SK3, SK4, J18)."""
-    renamed = changes.where(~is_blank(key)).dropDuplicates([key]).select(key, *(F.col(c).alias(f"new_{c}") for c in columns))
+    """Columns of matching rows replaced by non-blank new values (SK3, SK4, J18)."""
+    renamed = of_each_key(changes, key, columns)
     return catalog.join(renamed, key, "left").select(*(F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in catalog.columns))
 
 
 def fill_by_key(catalog: DataFrame, found: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """As update_by_key, but only where the catalog's value is blank."""
-    renamed = found.where(~is_blank(key)).groupBy(key).agg(*(F.first(filled(c), ignorenulls=True).alias(f"new_{c}") for c in columns))
+    renamed = of_each_key(found, key, columns)
     return catalog.join(renamed, key, "left").select(*(F.coalesce(filled(c), F.col(f"new_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in catalog.columns))
 
 

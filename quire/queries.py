@@ -288,14 +288,19 @@ def url_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", dates_urls.normalize_url(F.col("url")).alias("norm_url"), dates_urls.domain(F.col("url")).alias("domain"))
 
 
-@register("text_clean", r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, ':', 1)), '<[^>]+>', '', 'g'), '[^a-z0-9 ]', '', 'g')) AS key, len(regexp_extract_all(text, '[a-zA-Z]{3,}'))::INT AS n_words, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS short FROM documents WHERE NOT contains(text, '<')")
+@register("text_clean", r"SELECT doc_id, trim(regexp_replace(lower(split_part(regexp_replace(text, '<[^>]+>', '', 'g'), ':', 1)), '[^a-z0-9 ]', '', 'g')) AS key, len(regexp_extract_all(text, '[a-zA-Z]{3,}'))::INT AS n_words, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS short FROM documents")
 def text_clean(spark, sf_dir):
     """F3, F13-F15"""
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", text.comparison_key(t).alias("key"), F.size(text.significant_words(t)).alias("n_words"), text.truncated(t).alias("short"))
 
 
-@register("normalize_space", r"SELECT doc_id, md5(trim(regexp_replace(translate(text, chr(8216) || chr(8217) || chr(8211), '''''-'), '[\s]+', ' ', 'g'))) AS h FROM documents WHERE NOT regexp_matches(text, '[\x{00A0}\x{2000}-\x{200F}\x{2010}-\x{2012}\x{2014}\x{201C}\x{201D}\x{0085}\x{000B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')")
+#: What F1 replaces, as code points: spaces, single quotes, double quotes, dashes and hyphens; and Unicode's white space.
+PLAIN = "translate(text, " + " || ".join(f"chr({c})" for c in (0xA0, 0x2002, 0x2018, 0x2019, 0x201C, 0x201D, 0x2013, 0x2014, 0x2010, 0x2011)) + """, '  ''''""----')"""
+WHITE = r"[\x{0009}-\x{000D} \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@register("normalize_space", f"SELECT doc_id, md5(trim(regexp_replace({PLAIN}, '{WHITE}', ' ', 'g'))) AS h FROM documents")
 def normalize_space(spark, sf_dir):
     """F1"""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize(F.col("text")).cast("binary")).alias("h"))
@@ -309,10 +314,10 @@ def name_split(spark, sf_dir):
     return n.withColumn("n", names.split_name(F.col("name"))).select("key", "n.first", "n.last")
 
 
-@register("garbled_predicate", r"SELECT doc_id, regexp_matches(left(text, 60), '(?i)ISBN|978[-\d]|97[89]\d|0-\d{3,}|\bPress\b|\bUniversity\b|\bPublisher|\bVerlag\b|\bEditions?\b|\bPresses\b|\bpp\.|\bpages\b|\bPp\b|[$£€]\d|dollars?|\bRs\.|\bHardcover\b|\bPaperback\b|\bHbk\b|\bPbk\b') OR regexp_matches(left(text, 60), '\b(?:19|20)\d{2}\)|\b(?:19|20)\d{2}\)?[,.]?\s*$') OR length(left(text, 60)) > 25 OR regexp_matches(left(text, 60), '\d') AS garbled FROM documents")
+@register("garbled_predicate", r"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)ISBN|978[-\d]|97[89]\d|0-\d{3,}|\bPress\b|\bUniversity\b|\bPublisher|\bVerlag\b|\bEditions?\b|\bPresses\b|\bpp\.|\bpages\b|\bPp\b|[$£€]\d|dollars?|\bRs\.|\bHardcover\b|\bPaperback\b|\bHbk\b|\bPbk\b') OR regexp_matches(coalesce(text, ''), '\b(?:19|20)\d{2}\)|\b(?:19|20)\d{2}\)?[,.]?\s*$') OR length(coalesce(text, '')) > 25 OR regexp_matches(coalesce(text, ''), '\d') AS garbled FROM documents")
 def garbled_predicate(spark, sf_dir):
-    """P24, P25"""
-    return table(spark, sf_dir, "documents").select("doc_id", names.is_garbled(F.lit(""), F.substring("text", 1, 60)).alias("garbled"))
+    """P24, P25 on whole texts"""
+    return table(spark, sf_dir, "documents").select("doc_id", names.is_garbled(F.lit(""), F.col("text")).alias("garbled"))
 
 
 @register("json_props", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -372,10 +377,10 @@ def flags(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", detect.flags(F.col("p_name"), F.lit(""), F.col("p_brand")).alias("reason"))
 
 
-@register("all_caps", r"SELECT doc_id, t = upper(t) AND length(t) > 10 AND regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}') AS caps FROM (SELECT doc_id, split_part(text, chr(10), 2) AS t FROM documents)")
+@register("all_caps", r"SELECT doc_id, t = upper(t) AND length(t) > 10 AND regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}') AS caps FROM (SELECT doc_id, text AS t FROM documents)")
 def all_caps(spark, sf_dir):
-    """P35"""
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_all_caps(F.split_part("text", F.lit("\n"), F.lit(2))).alias("caps"))
+    """P35 on whole texts"""
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_all_caps(F.col("text")).alias("caps"))
 
 
 @register("blank_scan", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality IS NULL OR CAST(l.quality AS VARCHAR) = ''")
@@ -484,11 +489,10 @@ def headings(spark, sf_dir):
     return titled(from_headings(part.select(F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).alias("Book Title"), F.col("p_brand").alias("Publication Source")))).select("book_title", "publication_source", "doi")
 
 
-@register("function_words", r"SELECT doc_id, list_has_any(string_split_regex(lower(trim(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2))), '\s+'), ['the', 'a', 'an', 'of', 'on', 'in', 'for', 'and', 'to', 'from', 'with', 'at', 'by', 'or', 'nor', 'but', 'is', 'are', 'was', 'not', 'no', 'its', 'their', 'our', 'all']) AS has FROM documents")
+@register("function_words", r"SELECT doc_id, list_has_any(string_split_regex(lower(trim(text)), '\s+'), ['the', 'a', 'an', 'of', 'on', 'in', 'for', 'and', 'to', 'from', 'with', 'at', 'by', 'or', 'nor', 'but', 'is', 'are', 'was', 'not', 'no', 'its', 'their', 'our', 'all']) AS has FROM documents")
 def function_words(spark, sf_dir):
-    """X6 on the first two words"""
-    t = F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
-    return table(spark, sf_dir, "documents").select("doc_id", names.has_function_word(t).alias("has"))
+    """X6 on whole texts"""
+    return table(spark, sf_dir, "documents").select("doc_id", names.has_function_word(F.col("text")).alias("has"))
 
 
 @register("generic_titles", "SELECT p_partkey, p_name FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'Book Reviews' ELSE p_name END AS p_name FROM part) WHERE lower(p_name) NOT IN ('book review', 'book reviews')")
@@ -506,22 +510,9 @@ def stream_fresh_events(spark, sf_dir):
     return incremental.drained(incremental.fresh_events(landed_events, "event_id", "ts")).select("event_id", "user_id", "event_type")
 
 
-@register("garbled_texts", r"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)ISBN|978[-\d]|97[89]\d|0-\d{3,}|\bPress\b|\bUniversity\b|\bPublisher|\bVerlag\b|\bEditions?\b|\bPresses\b|\bpp\.|\bpages\b|\bPp\b|[$£€]\d|dollars?|\bRs\.|\bHardcover\b|\bPaperback\b|\bHbk\b|\bPbk\b') OR regexp_matches(coalesce(text, ''), '\b(?:19|20)\d{2}\)|\b(?:19|20)\d{2}\)?[,.]?\s*$') OR length(coalesce(text, '')) > 25 OR regexp_matches(coalesce(text, ''), '\d') AS garbled FROM documents")
-def garbled_texts(spark, sf_dir):
-    """P24, P25 on whole texts"""
-    return table(spark, sf_dir, "documents").select("doc_id", names.is_garbled(F.lit(""), F.col("text")).alias("garbled"))
-
-
-@register("all_caps_texts", r"SELECT doc_id, t = upper(t) AND length(t) > 10 AND regexp_matches(t, '\p{Lu}') AND NOT regexp_matches(t, '\p{Ll}') AS caps FROM (SELECT doc_id, text AS t FROM documents)")
-def all_caps_texts(spark, sf_dir):
-    """P35 on whole texts"""
-    return table(spark, sf_dir, "documents").select("doc_id", text.is_all_caps(F.col("text")).alias("caps"))
-
-
-@register("function_words_texts", r"SELECT doc_id, list_has_any(string_split_regex(lower(trim(text)), '\s+'), ['the', 'a', 'an', 'of', 'on', 'in', 'for', 'and', 'to', 'from', 'with', 'at', 'by', 'or', 'nor', 'but', 'is', 'are', 'was', 'not', 'no', 'its', 'their', 'our', 'all']) AS has FROM documents")
-def function_words_texts(spark, sf_dir):
-    """X6 on whole texts"""
-    return table(spark, sf_dir, "documents").select("doc_id", names.has_function_word(F.col("text")).alias("has"))
+#: Older names of the same queries.
+for name, older in (("garbled_predicate", "garbled_texts"), ("all_caps", "all_caps_texts"), ("function_words", "function_words_texts")):
+    QUERIES[older], ORACLES[older] = QUERIES[name], ORACLES[name]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

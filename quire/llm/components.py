@@ -23,18 +23,24 @@ def spread_join(rows: DataFrame, keys: list[str], values: DataFrame, by: list[st
     return salted.join(fetched, [*keys, "salt"], how).drop("salt")
 
 
+def with_least(edges: DataFrame, own: bool) -> DataFrame:
+    """edges and m, the least neighbour b of each a (or a itself, if `own` and smaller), a hub's edges dealt as in spread_join()."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("a", "salt").agg(F.min("b").alias("p"))
+    least = part.groupBy("a").agg((F.least("a", F.min("p")) if own else F.min("p")).alias("m"))
+    return salted.join(part.select("a", "salt").join(least, "a"), ["a", "salt"]).drop("salt")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to its least neighbour."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return spread_join(both.where("b > a"), ["a"], least, ["b"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return with_least(both, True).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them; a > b in each edge."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = spread_join(edges, ["a"], least, ["b"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+    found = with_least(edges, False).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+    return found.where("e.b <> e.m").select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -17,15 +17,15 @@ PARTS = 16
 
 
 def training_rows(df: DataFrame, labels: DataFrame, label: str, allowed: Column, key: str, text: str, limit: int) -> DataFrame:
-    """(text, y) of at most `limit` labelled rows, chosen by a hash of the id, in PARTS partitions whatever the table's are.
+    """(text, y) of at most `limit` labelled rows, chosen by a hash of the id, in at most PARTS partitions whatever the table's are.
 
     Several labels of one id count as the least, and of several texts of one id one is taken by
     its hash; null labels and ids don't count. The limit bounds what is broadcast to the documents' scan.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & allowed).groupBy(key).agg(F.min(label).cast("double").alias("y")).orderBy(F.xxhash64(key), key).limit(limit)
     found = df.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key)
-    one = found.groupBy(key).agg(F.min_by(F.struct("text", "y"), F.struct(F.xxhash64("text"), "text")).alias("row"))
-    return one.select("row.*").repartition(PARTS)
+    one = found.groupBy(key).agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("row"))
+    return one.select("row.*").coalesce(PARTS)
 
 
 def isotonic(score: np.ndarray, weight: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -270,7 +270,7 @@ def sure_odds(toxic: Column, clean: Column, ratio: float) -> Column:
 
 def learn(rows: DataFrame) -> Lexicon:
     """rows: (text, y) of a bounded sample."""
-    rows = cut(rows.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("y").alias("y")).repartition(PARTS))
+    rows = cut(rows.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("y").alias("y")).coalesce(PARTS))
     totals = {r.toxic: (r.n, r.words) for r in rows.groupBy((F.col("y") > 0).alias("toxic")).agg(F.count("*").alias("n"), F.sum(F.size(F.split("text", r"\s+"))).alias("words")).collect()}
     if len(totals) < 2:
         return Lexicon({}, set(), None)

@@ -83,7 +83,7 @@ def duplicates(spark, sf_dir) -> DataFrame:
 
 
 SURVIVORS = f"""{DUPLICATES}, g AS (SELECT book_title, publication_source, count(DISTINCT reviewer_last_name) AS people FROM d WHERE symposium_group IS NULL GROUP BY 1, 2),
-    s AS (SELECT id, symposium_group, people, row_number() OVER (PARTITION BY book_title, publication_source, symposium_group ORDER BY (book_author_last_name IS NOT NULL)::INT + (doi <> '')::INT DESC, id) AS rn FROM d JOIN g USING (book_title, publication_source)),
+    s AS (SELECT id, symposium_group, people, row_number() OVER (PARTITION BY book_title, publication_source, symposium_group ORDER BY (book_author_last_name IS NOT NULL)::INT + (doi <> '')::INT DESC, id) AS rn FROM d LEFT JOIN g USING (book_title, publication_source)),
     kept AS (SELECT id FROM s WHERE symposium_group IS NOT NULL OR people > 1 OR rn = 1)"""
 
 

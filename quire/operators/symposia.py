@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,44 +20,57 @@ ISSUE = ["journal", "volume", "issue"]
 def greedy_pairs(anchors: DataFrame, group: list[str], who: str = "surname", start: str = "start_page", end: str = "end_page", kind: str = "kind") -> DataFrame:
     """Each start anchor with the nearest later end anchor of the same person, an end used once.
 
-    Starts go in the order of their pages. One issue's anchors are a handful of rows.
+    Starts go in the order of their pages, so the place that a start takes among its person's ends
+    is one more than the last start's, or the place of the first later end if that is farther on:
+    its own place plus the running maximum of (first later end - own place). Windows over
+    one person's anchors in an issue do it, in linear time. Anchors without person or pages have no pair.
     """
+    is_end = F.col(kind) == "end"
+    known = anchors.where(F.col(start).isNotNull() & F.col(end).isNotNull() & F.col(kind).isin("start", "end") & (F.col(who) != ""))
+    rows = known.select(*group, who, is_end.alias("is_end"), F.when(is_end, F.col(end)).otherwise(F.col(start)).alias("page"))
+    w = Window.partitionBy(*group, who).orderBy("page", F.col("is_end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.withColumns({"ends": F.count_if("is_end").over(w), "starts": F.count_if(~F.col("is_end")).over(w)})
+    lag = F.max(F.when(~F.col("is_end"), F.col("ends") + 1 - F.col("starts"))).over(w)
+    placed = counted.withColumn("place", F.when(F.col("is_end"), F.col("ends")).otherwise(F.col("starts") + lag))
+    both = placed.groupBy(*group, who, "place").agg(F.min(F.when(~F.col("is_end"), F.col("page"))).alias("range_start"), F.min(F.when(F.col("is_end"), F.col("page"))).alias("range_end"))
+    return both.where("range_start IS NOT NULL AND range_end IS NOT NULL").drop("place")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = pdf[pdf[kind] == "end"].sort_values([end, start])
-        used: set[int] = set()
-        rows = []
-        for _, s in pdf[pdf[kind] == "start"].sort_values([start, end]).iterrows():
-            later = ends[(ends[end] > s[start]) & (ends[who] == s[who]) & ~ends.index.isin(used) & (ends[who] != "")]
-            if len(later):
-                used.add(later.index[0])
-                rows.append([*(s[g] for g in group), s[who], s[start], later.iloc[0][end]])
-        return pd.DataFrame(rows, columns=[*group, who, "range_start", "range_end"])
 
-    types = dict(anchors.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*group, who]) + f", range_start {types[start]}, range_end {types[end]}"
-    return anchors.where(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(*group).applyInPandas(run, schema)
+def last_item_by(items: DataFrame, starts: DataFrame, group: list[str]) -> DataFrame:
+    """For starts without an end: the last item of the same person, if it is later."""
+    last = items.where("surname <> ''").groupBy(*group, "surname").agg(F.max("start_page").alias("later"), F.max_by("end_page", F.struct("start_page", "end_page")).alias("range_end"))
+    found = starts.select(*group, "surname", F.col("start_page").alias("range_start")).distinct().join(last, [*group, "surname"])
+    return found.where("later > range_start").select(*group, "surname", "range_start", "range_end")
 
 
-def last_item_by(items: DataFrame, starts: DataFrame, group: list[str]) -> DataFrame:
-    """For starts without an end: the last later item of the same person."""
-    late = items.select(*group, "surname", F.col("start_page").alias("later"), "end_page")
-    found = starts.select(*group, "surname", "start_page").join(late, [*group, "surname"]).where("later > start_page AND surname <> ''")
-    return found.groupBy(*group, "surname", F.col("start_page").alias("range_start")).agg(F.max_by("end_page", "later").alias("range_end"))
+def swept(items: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Items and both edges of ranges in one order of pages, an issue's counts running along: at the same page, starts first and ends last.
+
+    items: ISSUE, page, item; ranges: ISSUE, range_start, range_end.
+    """
+    edges = ranges.select(*ISSUE, "range_start", "range_end", F.explode(F.array(F.lit(0), F.lit(2))).alias("at"))
+    edges = edges.select(*ISSUE, F.when(F.col("at") == 0, F.col("range_start")).otherwise(F.col("range_end")).alias("page"), "at", F.struct("range_start", "range_end").alias("range"))
+    every = items.withColumn("at", F.lit(1)).unionByName(edges, allowMissingColumns=True)
+    w = Window.partitionBy(*ISSUE).orderBy("page", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return every.withColumns({"seen": F.count_if(F.col("at") == 1).over(w), "open": F.sum(1 - F.col("at")).over(w)})
 
 
 def by_anchors(items: DataFrame, start: Column, end: Column) -> DataFrame:
     """Members (item columns, symposium_group) of page ranges between a start and an end.
 
-    items: journal, volume, issue, doi, title, surname, start_page, end_page.
+    items: journal, volume, issue, doi, title, surname, start_page, end_page. Items are never
+    paired with ranges: one sweep counts what each range holds, a second finds the items inside ranges
+    of two items or more. Items without journal, volume, issue or start page are in none.
     """
-    marked = items.withColumn("kind", F.when(start, "start").when(end, "end"))
+    known = items.dropna(subset=[*ISSUE, "start_page"])
+    marked = known.withColumn("kind", F.when(start, "start").when(end, "end"))
     pairs = greedy_pairs(marked.where("kind IS NOT NULL"), ISSUE)
     alone = marked.where("kind = 'start'").join(pairs.select(*ISSUE, "surname", F.col("range_start").alias("start_page")), [*ISSUE, "surname", "start_page"], "left_anti")
-    ranges = pairs.unionByName(last_item_by(items, alone, ISSUE).select(*pairs.columns))
-    inside = items.where("start_page IS NOT NULL").join(ranges.select(*ISSUE, "range_start", "range_end"), ISSUE).where("start_page BETWEEN range_start AND range_end")
-    size = F.count("*").over(Window.partitionBy(*ISSUE, "range_start", "range_end"))
-    return inside.withColumn("size", size).where("size >= 2").select(*items.columns, issue_key(*(F.col(c) for c in ISSUE)).alias("symposium_group")).distinct()
+    ranges = pairs.unionByName(last_item_by(known, alone, ISSUE).select(*pairs.columns)).where("range_start <= range_end").select(*ISSUE, "range_start", "range_end").distinct()
+    rows = known.select(*ISSUE, F.col("start_page").alias("page"), F.struct(*known.columns).alias("item"))
+    held = swept(rows.drop("item"), ranges).where("at <> 1").groupBy(*ISSUE, "range").agg((F.max("seen") - F.min("seen")).alias("size")).where("size >= 2")
+    inside = swept(rows, held.select(*ISSUE, "range.*")).where("at = 1 AND open > 0")
+    return inside.select("item.*").withColumn("symposium_group", issue_key(*(F.col(c) for c in ISSUE))).distinct()
 
 
 def by_markers(items: DataFrame, before: int = 10, after: int = 80) -> DataFrame:

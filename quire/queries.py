@@ -410,7 +410,14 @@ def ratio_threshold(spark, sf_dir):
     return symposia.dense_issues(c, F.col("role") == "user").select(F.col("journal").alias("conv_id"), "hits", "n")
 
 
-@register("symposium_groups")
+@register("symposium_groups", """
+    WITH e AS (SELECT CAST(user_id AS VARCHAR) AS v, event_id AS p, event_type AS t FROM events WHERE user_id IS NOT NULL),
+    s AS (SELECT v, p, row_number() OVER (PARTITION BY v ORDER BY p) AS k, ends FROM (SELECT *, count(*) FILTER (t = 'purchase') OVER (PARTITION BY v ORDER BY p) AS ends FROM e) WHERE t = 'signup'),
+    m AS (SELECT v, p, k + max(ends + 1 - k) OVER (PARTITION BY v ORDER BY p) AS j FROM s),
+    x AS (SELECT v, p AS hi, row_number() OVER (PARTITION BY v ORDER BY p) AS j FROM e WHERE t = 'purchase'),
+    last AS (SELECT v, max(p) AS top FROM e GROUP BY 1),
+    r AS (SELECT v, p AS lo, coalesce(hi, top) AS hi FROM m LEFT JOIN x USING (v, j) JOIN last USING (v) WHERE coalesce(hi, top) > p)
+    SELECT 'J|' || v || '|1' AS symposium_group, CAST(p AS VARCHAR) AS doi, t AS event_type FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.v = e.v AND e.p BETWEEN r.lo AND r.hi)""")
 def symposium_groups(spark, sf_dir):
     """Signups and purchases of a user as anchors, an end used once"""
     e = table(spark, sf_dir, "events")
@@ -432,10 +439,17 @@ def title_case(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.smart_title_case(t).alias("title"))
 
 
-@register("citation_tail")
+CITATION_TAILS = [
+    ". Oxford University Press, 1999. Pp. xii + 240. $12.95", " (Berkeley: University of California Press, 1969)", ". Pp. xii + 30", ", 240 pages.", ". 1998.", ", London: Routledge, 1999", " ISBN 0-19-824", " £40",
+    ". By Ann Lee, Professor of Logic at X",
+]
+
+
+@register("citation_tail", "SELECT p_partkey, p_name AS title FROM part")
 def citation_tail(spark, sf_dir):
-    """F10"""
-    t = F.concat("p_name", F.lit(". Oxford University Press, 1999. Pp. xii + 240. $12.95"))
+    """part names with nine kinds of tails, which leave the names"""
+    tails = F.array(*(F.lit(t) for t in CITATION_TAILS))
+    t = F.concat("p_name", F.element_at(tails, (F.col("p_partkey") % len(CITATION_TAILS) + 1).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", text.strip_citation_tail(t).alias("title"))
 
 

@@ -38,6 +38,8 @@ def test_titles(spark):
     assert values(spark, ["Book Review: On Liberty", "Book Review: Abc", "Plain"], text.strip_review_prefix) == ["On Liberty", "Book Review: Abc", "Plain"]
     assert values(spark, [", On Liberty", "...and then", ". A"], text.strip_leading_punctuation) == ["On Liberty", "...and then", "A"]
     assert values(spark, ["On Liberty. Oxford University Press, 1999", "Mind. Pp. xii + 30", "12"], text.strip_citation_tail) == ["On Liberty", "Mind", "12"]
+    tailed = ["<i>The Civil War</i>. By Ann Lee, Professor at X", "A Book (Berkeley: University of California Press, 1969)", "The $100 Question: Essays", "Mind, 240 pages.", "Plato. 1998. £12.50", "Acts ISBN: 0-19-824", "(Oxford: Clarendon Press, 1990)", "Pp. and QQ", None]
+    assert values(spark, tailed, text.strip_citation_tail) == ["The Civil War", "A Book", "The $100 Question: Essays", "Mind", "Plato", "Acts", "(Oxford: Clarendon Press, 1990)", "Pp. and QQ", None]
     assert values(spark, ["a b – “c”  d"], text.normalize) == ['a b - "c" d']
     assert values(spark, ["Tom &amp; J&eacute;r&ocirc;me,. "], text.unescape_name) == ["Tom & Jérôme"]
     assert values(spark, ["ALL CAPITALS HERE", "Not All Capitals", "SHORT"], text.is_all_caps) == [True, False, False]

@@ -279,3 +279,35 @@ def test_no_author_of_function_words(spark):
     df = spark.createDataFrame([("Guide for Readers: Plato and the Forms",), ("Jane Doe: Plato and the Forms",)], "t string")
     assert [(r.p.format, r.p["last"]) for r in df.select(parse_title(F.col("t")).alias("p")).collect() if r.p][-1] == ("author_colon_title", "Doe")
     assert all(r.p is None or r.p.format != "author_colon_title" for r in df.limit(1).select(parse_title(F.col("t")).alias("p")).collect())
+
+
+def test_greedy_pairs_and_ranges_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice(["1", None]), "2", f"d{k}", rng.choice(["start", "end", "other"]), rng.choice(["lee", "ek", "", None]), start := rng.choice([None, *range(1, 40)]), start and start + rng.randrange(4)) for k in range(300)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "journal string, volume string, issue string, doi string, title string, surname string, start_page int, end_page int")
+    pairs, ranges = [], set()
+    for group in {r[:3] for r in rows}:
+        anchors = [r for r in rows if r[:3] == group and r[6] is not None and r[5]]
+        ends = sorted((r[7], r[6], i) for i, r in enumerate(anchors) if r[4] == "end")
+        used = set()
+        for r in sorted((r for r in anchors if r[4] == "start"), key=lambda r: r[6:]):
+            hit = next((e for e in ends if e[0] > r[6] and e[2] not in used and anchors[e[2]][5] == r[5]), None)
+            if hit:
+                used.add(hit[2])
+                pairs.append((*group, r[5], r[6], hit[0]))
+        had = {p[3:5] for p in pairs if p[:3] == group}
+        ranges |= {(group, p[4], p[5]) for p in pairs if p[:3] == group}
+        for r in anchors:
+            last = max((a[6:] for a in anchors if a[5] == r[5]))
+            if r[4] == "start" and (r[5], r[6]) not in had and last[0] > r[6]:
+                ranges.add((group, r[6], last[1]))
+    text_key = lambda rs: sorted(map(str, rs))
+    got = symposia.greedy_pairs(df.withColumn("kind", F.col("title")), symposia.ISSUE).collect()
+    assert text_key(tuple(r) for r in got) == text_key(pairs) and len(pairs) > 20
+    want = set()
+    for group, lo, hi in ranges:
+        inside = [r for r in rows if r[:3] == group and None not in group and r[6] is not None and lo <= r[6] <= hi]
+        want |= set(inside) if len(inside) >= 2 else set()
+    members = symposia.by_anchors(df, F.col("title") == "start", F.col("title") == "end").collect()
+    assert text_key(tuple(r)[:8] for r in members) == text_key(want) and want

@@ -68,3 +68,26 @@ def test_sketches_merge_and_estimate():
     sizes = np.array([2500.0])
     assert op10_setsketch.likely(both[:1], both[1:2], sizes, sizes, 0.5).all()
     assert not op10_setsketch.likely(both[:1], both[1:2], sizes, sizes, 0.85).any()
+
+
+def test_components_with_hubs_and_paths(spark):
+    from quire.llm.components import components
+
+    rng = random.Random(3)
+    hub = [(1, k) for k in range(2, 400)] + [(399, k) for k in range(400, 700)] + [(k, 699) for k in range(700, 900)]  # the last one is a large node among larger ones
+    path = [(k, k + 1) for k in range(1000, 1040)]
+    loose = [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(220)]
+    edges = hub + path + loose + loose[:20] + [(5000, 5000)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert sorted((r.a, r.root) for r in got) == sorted((x, find(x)) for x in root if find(x) != x)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []

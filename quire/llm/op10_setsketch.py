@@ -31,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.components import components
+from quire.llm.components import DEAL, components
 from quire.llm.shared import cut
 from quire.llm.words import Texts, ascii_lower, gram_hashes, gram_starts, mix, nonspace_class, owner, spans, texts_of, word_hashes
 
@@ -153,22 +154,34 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, floor
     return (up >= down) & fits
 
 
-def in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """Adds i, j, mine: the pairs of blocks of its cluster that a class takes part in, and its block."""
-    size = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
+def sized(members: DataFrame, block: int) -> DataFrame:
+    """Adds blocks, how many a class's cluster is cut into. Only clusters of more than one block are looked up, and
+    their classes are dealt over DEAL tasks for that."""
+    large = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("more")).where("more > 1")
+    copies = large.select("cluster", "more", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEAL - 1).cast("long"))).alias("part"))
+    part = F.pmod(F.xxhash64("cls"), F.lit(DEAL)).alias("part")
+    return members.select("cluster", "cls", part).join(copies, ["cluster", "part"], "left").select("cluster", "cls", F.coalesce("more", F.lit(1).cast("long")).alias("blocks"))
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """For blocks: pair (cluster and two of its blocks, one key, so that Spark deals a cluster's pairs over tasks) for
+    each pair that the class's block takes part in, and on which sides of the pair the class is."""
+    whole = [c for c in members.columns if c not in ("cluster", "blocks")]
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("mine")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    return members.join(size, "cluster").select(*members.columns, "blocks", mine).select(*members.columns, "mine", other).select(*members.columns, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    met = members.select("cluster", "blocks", *whole, mine).select("cluster", *whole, "mine", other)
+    pair = F.struct("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("pair")
+    return met.select(pair, *whole, (F.col("mine") <= F.col("other")).alias("first"), (F.col("mine") >= F.col("other")).alias("second"))
 
 
 def sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the two blocks of a group (one block: both sides are all rows)."""
-    mine, i, j = (table.column(c).to_numpy() for c in ("mine", "i", "j"))
-    return np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    first, second = (np.flatnonzero(table.column(c).to_numpy()) for c in ("first", "second"))
+    return first, second
 
 
-def plausible(members: DataFrame, floor: float, block: int) -> DataFrame:
-    """Classes (cluster, cls) with a partner in their cluster that may be similar enough."""
+def plausible(members: DataFrame, floor: float) -> DataFrame:
+    """Of members (cluster, cls, blocks, n, regs), the classes (cluster, cls) with a partner in their cluster that may be similar enough."""
 
     def run(table: pa.Table) -> pa.Table:
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
@@ -181,9 +194,9 @@ def plausible(members: DataFrame, floor: float, block: int) -> DataFrame:
             found[part[ok.any(axis=1)]] = True
             found[b[ok.any(axis=0)]] = True
         got = table.filter(pa.array(found))
-        return pa.table([got.column("cluster"), got.column("cls")], names=["cluster", "cls"])
+        return pa.table([pc.struct_field(got.column("pair"), "cluster"), got.column("cls")], names=["cluster", "cls"])
 
-    return in_blocks(members.select("cluster", "cls", "n", "regs"), block).groupBy("cluster", "i", "j").applyInArrow(run, "cluster long, cls long").distinct()
+    return in_blocks(members).groupBy("pair").applyInArrow(run, "cluster long, cls long").distinct()
 
 
 def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, width: int = 8192) -> np.ndarray:
@@ -226,8 +239,8 @@ def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verified(members: DataFrame, percent: int, width: int, block: int) -> DataFrame:
-    """Links (a, b) between classes of 100 * intersection >= percent * union, enough to connect each component."""
+def verified(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between classes of members (cluster, cls, blocks, body) of 100 * intersection >= percent * union, enough to connect each component."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("cls").combine_chunks()
@@ -244,7 +257,7 @@ def verified(members: DataFrame, percent: int, width: int, block: int) -> DataFr
         moved = np.flatnonzero(root != np.arange(len(cls)))
         return pa.table([pa.array(cls[moved]), pa.array(cls[root[moved]])], names=["a", "b"])
 
-    return in_blocks(members.select("cluster", "cls", "body"), block).groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    return in_blocks(members).groupBy("pair").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -255,9 +268,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     hubs = banded.groupBy("band").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1").select("band", "hub")
     links = banded.join(hubs, "band").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     clustered = with_roots(components(links), "cluster")
-    likely_ones = plausible(clustered.join(classes, "cls"), percent / 100 - SLACK, block)
-    held = cut(likely_ones.join(rows.select(F.col("row").alias("cls"), "body"), "cls"))
-    roots = components(verified(held, percent, width, block))
+    likely_ones = cut(plausible(sized(clustered, block).join(classes.select("cls", "n", "regs"), "cls"), percent / 100 - SLACK))
+    held = cut(sized(likely_ones, block).join(rows.select(F.col("row").alias("cls"), "body"), "cls"))
+    roots = components(verified(held, percent, width))
     named = classes.select("k1", "k2", "n", F.col("cls").alias("a"), "low").join(roots, "a", "left").select("k1", "k2", "n", "low", F.coalesce("root", "a").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = named.join(least, "root").select("k1", "k2", "n", "component_id", F.lit(True).alias("found"))

@@ -14,12 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.names import first_author, has_function_word, is_edited, looks_like_name
-from quire.functions.text import let, normalize, squeeze, strip, strip_tags
+from quire.functions.text import CITIES, let, normalize, squeeze, strip, strip_tags
 
 #: Fixed value: words of publishers that mark a citation's tail.
 HOUSE = "(?:Press|University|Books|Publishing|Publishers|Verlag|Routledge|Springer|Polity|Palgrave|Bloomsbury|MIT|Verso|Penguin|Harper|Edinburgh|Norton|Oxford|Cambridge|Blackwell|Macmillan|Brill|Wiley|Clarendon)"
 ED = r"(?:\(?[Ee]ds?\.?\)?)"
 NAME = r"[A-Z][\w.'’-]+(?:\s+[\w.'’-]+){0,5}"
+PERSON = r"[A-Z][\w.'’-]*(?:\s+(?:[A-Z][\w.'’-]*|de|del|der|la|le|van|von))*\s+[A-Z][\w'’-]+"
+PEOPLE = rf"{PERSON}(?:(?:,|,?\s+and|\s+&)\s+{PERSON})*"
+#: Where an imprint begins after a title: in parentheses, a place, a publisher, numbers and pages.
+IMPRINT = rf"(?s)(?:\s*\([^)]*\b{HOUSE}\b|[.,]\s+(?i:{CITIES}|Lanham|Durham)[,:]\s|\.\s+(?:[A-Z]\w+\s+){{0,3}}{HOUSE}\b|\.\s+(?:ISBN|pp\b|\d+\s*pp|\d{{4}}\b)).*$"
 
 
 @dataclass(frozen=True)
@@ -33,6 +37,7 @@ class Format:
     on: str = "plain"  # subtitle | raw (with any prefix) | marked (tags kept) | plain
     check: bool = True  # the author must read as a name
     least: int = 4
+    imprint: bool = False  # an imprint may follow the title
 
 
 FORMATS = (
@@ -60,11 +65,13 @@ FORMATS = (
     Format("possessive", r"^([A-Z][\w.'-]+(?:\s+[A-Z][\w.-]*)*\s+[A-Z][\w-]+)['’]s\s+(.{5,}?)(?:\.\s.*)?$", 2, 1),
     Format("author_quoted", r"""^([A-Z].+?),\s*(?:\(eds?\.?\)\s*,?\s*)?["'“‘](.{5,}?)["'”’]""", 2, 1),
     Format("author_eds_title", r"^(.+?),\s*\(?eds?\.?\)?[,.:]?\s+([A-Z].{4,}?)\.?$", 2, 1),
-    Format("author_comma_title", rf"^({NAME}),\s+([A-Z].{{9,}}?)\.?$", 2, 1),
+    Format("author_comma_title", rf"^({NAME}),\s+([A-Z].{{9,}}?)\.?$", 2, 1, imprint=True),
     Format("author_dot_title", r"^([A-Z][a-zA-Z.\s,'-]*[a-z]{2})\.\s+([A-Z][a-z].{4,}?)\.?$", 2, 1),
     Format("author_colon_title", rf"^({NAME}):\s+([A-Z].{{4,}}?)\.?$", 2, 1),
+    Format("title_by_editors", rf"^(.{{6,}}?)\s+by\s+({PEOPLE},?\s*{ED})$", 1, 2),
     Format("title_by_author", rf"^(.{{8,}}?)\s+by\s+({NAME})\.?$", 1, 2),
     Format("title_dash_author", rf"^(.{{5,}}?)\s+-\s+({NAME})\.?$", 1, 2),
+    Format("title_dash_author", rf"^(.{{4,}}?)\s*[-–—]\s*({PEOPLE}(?:,?\s*{ED})?)\.?$", 1, 2),
     Format("last_first_title", r"^([A-Z][\w'-]+,\s+[A-Z][\w.\s]*?)\.\s+(.{5,}?)\.?$", 2, 1, check=False),
 )
 #: The same for sources with forms of their own: a logic journal, a moral-philosophy journal, an index, titles of a lookup service, an ethics journal.
@@ -96,6 +103,8 @@ ETHICS_FORMATS = (
     Format("italic_only", r"(?i)<i>(.+?)</i>", 1, 0, "marked"),
     Format("author_dot_title", r"^([A-Z][^.]+?)\.\s+([^.]{4,}?)\.", 2, 1, check=False),
 )
+#: Subtitles of a journal that names author and italic title in them.
+SUBTITLE_FORMATS = (Format("of_author_italic", r"(?i)^(?:Re(?:view|ivew)\s+of\s+)?([^<>]+?)[\s,]*<i>([^<]+)</i>", 2, 1, "marked", check=False, least=1), *ETHICS_FORMATS[1:2])
 GENERIC = ["book review", "book reviews", "review", "reviews", "review essay"]
 
 
@@ -114,10 +123,11 @@ def best_format(s: Column, formats: tuple[Format, ...]) -> Column:
 
     def candidate(f: Format) -> Column:
         part = lambda k: squeeze(strip_tags(F.regexp_extract(s[f.on], f.pattern, k)))
+        title = part(f.title) if f.title else s["bare"]
         return F.when(
             s[f.on].rlike(f.pattern),
             F.struct(
-                F.lit(f.name).alias("format"), F.rtrim(part(f.title) if f.title else s["bare"], F.lit(".,: ")).alias("title"),
+                F.lit(f.name).alias("format"), F.rtrim(F.regexp_replace(title, IMPRINT, "") if f.imprint else title, F.lit(".,: ")).alias("title"),
                 (F.regexp_replace(part(f.author), r"[,.\s:;]+$", "") if f.author else F.lit("")).alias("author"), F.lit(bool(f.author)).alias("named"), F.lit(f.check).alias("check"),
                 F.lit(f.least).alias("least"), F.lit(f.name in ("edited_by", "edited_by_house", "author_eds_title")).alias("edited"),
             ),

@@ -80,6 +80,13 @@ def test_parsing(spark):
         "The Methods of Ethics by Henry Sidgwick (review)": ("The Methods of Ethics", "Sidgwick"),
         "Reasons and Persons (review)": ("Reasons and Persons", ""),
         "The Concept of Mind, edited by Julia Tanney": ("The Concept of Mind", "Tanney"),
+        "Being and Time—Martin Heidegger": ("Being and Time", "Heidegger"),
+        "Being and Time- Martin Heidegger (eds.)": ("Being and Time", "Heidegger"),
+        "Self-Knowledge and Truth (review)": ("Self-Knowledge and Truth", ""),
+        "Minds and Machines by Ann Lee and Bo Ek, eds.": ("Minds and Machines", "Lee"),
+        "Ann Lee, Contrary to Thoughtlessness: Rethinking Wisdom. Lanham: Lexington, 2012": ("Contrary to Thoughtlessness: Rethinking Wisdom", "Lee"),
+        "Ann Lee, Contrary to Thoughtlessness: Rethinking Wisdom (MIT Press), 200 pages": ("Contrary to Thoughtlessness: Rethinking Wisdom", "Lee"),
+        "Ann Lee, Contrary to Thoughtlessness: Rethinking Wisdom. 240 pp. $30": ("Contrary to Thoughtlessness: Rethinking Wisdom", "Lee"),
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string").select(parse_title(F.col("t")).alias("p"))
     assert [(r.p.book_title, r.p["last"]) for r in df.collect()] == list(cases.values())
@@ -101,6 +108,8 @@ def test_sibling_parsers(spark):
         (parse.INDEX_FORMATS, "Just a Title", "Just a Title", ""),
         (parse.LOOKUP_FORMATS, "Book Review. The Nature of Perception John Foster", "The Nature of Perception", "Foster"),
         (parse.ETHICS_FORMATS, "Lee, Ann, ed. <i>On Duty</i>. Pp. 20", "On Duty", "Lee"),
+        (parse.SUBTITLE_FORMATS, "Reivew of Ann Lee and Bo Ek, <em>On Duty</em> (London: Verso, 2010)", "On Duty", "Lee"),
+        (parse.SUBTITLE_FORMATS, "<em>On Duty</em> (London: Verso, 2010)", "On Duty", ""),
     ]
     for formats, title, book, last in cases:
         p = spark.createDataFrame([(title,)], "t string").select(parse_title(F.col("t"), formats=formats).alias("p")).first().p

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import op1_decontaminate, op2_lm, op3_bpe, op4_substrings, op5_html, op6_quality, op7_suffixes, op8_rules, op9_toxicity, op10_setsketch
+from quire.llm import op1_decontaminate, op2_lm, op3_bpe, op4_substrings, op5_html, op6_quality, op7_suffixes, op8_rules, op9_toxicity, op10_setsketch, op11_divergence
 
 QUERIES = {
     "op1_decontamination": op1_decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": op8_rules.query,
     "op9_toxicity": op9_toxicity.query,
     "op10_minhash_dedup": op10_setsketch.query,
+    "op11_source_divergence": op11_divergence.query,
     "lm_trigram_scores": op2_lm.rounded,
     "rule_ablations": op8_rules.ablations,
 }
@@ -24,6 +25,7 @@ ORACLES = {
     "op7_suffix_array_dedup": op7_suffixes.ORACLE,
     "op8_quality_rules": op8_rules.ORACLE,
     "op10_minhash_dedup": op10_setsketch.ORACLE,
+    "op11_source_divergence": op11_divergence.ORACLE,
     "lm_trigram_scores": op2_lm.ROUNDED,
     "rule_ablations": op8_rules.ABLATIONS,
 }

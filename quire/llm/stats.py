@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quire.llm.words import BASE, Texts, ascii_lower, gram_hashes, gram_starts, mix, nonspace_class, owner, powers, spans, word_hashes
+from quire.llm.words import BASE, Texts, ascii_lower, gram_hashes, gram_starts, mix, nonspace_class, owner, spans, word_hashes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_same_as_before", "n_caps_words", "n_distinct_words", "n_upper", "n_digits", "n_stops", "n_chars", "n_bytes")
 
@@ -62,11 +62,7 @@ def lines(texts: Texts, word_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = np.maximum(end, begin)
     held = np.searchsorted(word_starts, end) > np.searchsorted(word_starts, begin)
     begin, end = begin[held], end[held]
-    up, down = powers(BASE, len(buf) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
-        h = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    h = word_hashes(buf, begin, end)
     return np.searchsorted(off, begin, side="right") - 1, h
 
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 MASK = (1 << 64) - 1
-BASE = 0x9E3779B97F4A7C15  # odd multiplier of the byte polynomial
-WBASE = 0xD1342543DE82EF95  # odd multiplier of the word polynomial
+BASE = 0x9E3779B97F4A7C15  # what hashes begin with
+WBASE = 0xD1342543DE82EF95  # odd multiplier of hashes and of the word polynomial
+SPAN = 64  # bytes of a span that are hashed for all spans at once
+TAILS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # the first k of eight bytes
 
 
 def byte_class(excluded: list[tuple[int, int]]) -> np.ndarray:
@@ -120,13 +123,28 @@ def spans(texts: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: eight bytes at a time go through mix(), longer spans than SPAN through xxh3.
+
+    No sum of powers is involved, so strings of a regular build (Thue-Morse strings, say) collide no oftener than others.
+    """
+    size = ends - starts
+    h = mix(size.astype(np.uint64) ^ np.uint64(BASE))
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(BASE, len(buf) + 1)
+        return h
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place
     with np.errstate(over="ignore"):
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        live = np.flatnonzero((size > 0) & (size <= SPAN))
+        at = 0
+        while len(live):
+            left = size[live] - at
+            part = eight[starts[live] + at] & TAILS[np.minimum(left, 8)]
+            h[live] = mix(h[live] * np.uint64(WBASE) ^ part)
+            at += 8
+            live = live[left > 8]
+    for i in np.flatnonzero(size > SPAN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return h
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

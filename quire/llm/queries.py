@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import op1_decontaminate, op2_lm, op3_bpe, op4_substrings, op5_html, op6_quality, op7_suffixes, op8_rules, op9_toxicity, op10_setsketch, op11_divergence
+from quire.llm import op1_decontaminate, op2_lm, op3_bpe, op4_substrings, op5_html, op6_quality, op7_suffixes, op8_rules, op9_toxicity, op10_setsketch, op11_divergence, op12_codes
 
 QUERIES = {
     "op1_decontamination": op1_decontaminate.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity.query,
     "op10_minhash_dedup": op10_setsketch.query,
     "op11_source_divergence": op11_divergence.query,
+    "op12_vector_codes": op12_codes.query,
     "lm_trigram_scores": op2_lm.rounded,
     "rule_ablations": op8_rules.ablations,
 }
@@ -26,6 +27,7 @@ ORACLES = {
     "op8_quality_rules": op8_rules.ORACLE,
     "op10_minhash_dedup": op10_setsketch.ORACLE,
     "op11_source_divergence": op11_divergence.ORACLE,
+    "op12_vector_codes": op12_codes.ORACLE,
     "lm_trigram_scores": op2_lm.ROUNDED,
     "rule_ablations": op8_rules.ABLATIONS,
 }

@@ -130,7 +130,8 @@ def compress(df: DataFrame, key: str = "vec_id", vector: str = "embedding", entr
     if width % PARTS:
         raise ValueError(f"vectors of {width} components have no {PARTS} equal parts")
     fit = rows.where(F.size("vector") == width)
-    begin = whole(np.array([r[0] for r in fit.orderBy(*order).select("vector").limit(entries).collect()], np.float64).reshape(-1, width))
+    first = fit.orderBy(*order).select("vector").limit(entries).collect()
+    begin = whole(np.array([r[0] for r in first], np.float64).reshape(len(first), width))
     w = width // PARTS
     books = [begin[:, p * w : (p + 1) * w] for p in range(PARTS)]
     for _ in range(rounds if len(begin) else 0):

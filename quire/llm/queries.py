@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import op1_decontaminate, op2_lm, op3_bpe, op4_substrings, op5_html, op6_quality, op7_suffixes, op8_rules, op9_toxicity, op10_setsketch, op11_divergence, op12_codes
+from quire.llm import op1_decontaminate, op2_lm, op3_bpe, op4_substrings, op5_html, op6_quality, op7_suffixes, op8_rules, op9_toxicity, op10_setsketch, op11_divergence, op12_codes, op13_imatch
 
 QUERIES = {
     "op1_decontamination": op1_decontaminate.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minhash_dedup": op10_setsketch.query,
     "op11_source_divergence": op11_divergence.query,
     "op12_vector_codes": op12_codes.query,
+    "op13_document_fingerprints": op13_imatch.query,
     "lm_trigram_scores": op2_lm.rounded,
     "rule_ablations": op8_rules.ablations,
 }

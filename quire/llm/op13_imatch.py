@@ -37,7 +37,7 @@ from quire.llm.terms import Sums, letter_class, runs
 from quire.llm.words import Texts, ascii_lower, mix, owner, spans, texts_of, word_hashes
 
 LOW_SHARE, HIGH_SHARE, FEW = 1 / 2000, 1 / 40, 8
-RUNGS, SUBSETS = 3, 16
+RUNGS, SUBSETS = 3, 24
 RANGE_BYTES, RANGES = 4 << 20, 100_000
 SEEDS = mix(np.arange(1, 64 * SUBSETS + 1, dtype=np.uint64)).reshape(64, SUBSETS)  # by rung and subset; two subsets share one
 

@@ -93,7 +93,7 @@ def test_subset_codes_follow_the_definition():
     same = op13_imatch.likeness(p.take(np.array([0])), p.take(np.array([1])))[0]
     assert 0.5 < same < 1
     assert (op13_imatch.Prints.read(p.written()).codes == p.codes).all()
-    held = (p.codes[0].reshape(3, 16) != 0).mean(axis=1)
+    held = (p.codes[0].reshape(3, op13_imatch.SUBSETS) != 0).mean(axis=1)
     assert held[0] > held[2]
 
 

@@ -52,14 +52,19 @@ def settle_batch(batch: DataFrame, seq: str = "seq") -> DataFrame:
     return out.select(*batch.columns)
 
 
-def insert_or_ignore(catalog: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
-    """The new snapshot: absent columns become '' and ids go on from the largest (SK1, SK2)."""
+def inserted(catalog: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
+    """The rows that a batch adds: absent columns become '' and ids go on from the largest (SK1, SK2)."""
     fresh = settle_batch(unknown(batch, catalog), seq)
     text = [f.name for f in CATALOG if f.dataType.simpleString() == "string"]
     out = conform(fresh.withColumn("id", F.lit(None).cast("long"))).withColumns({c: F.coalesce(c, F.lit("")) for c in text})
     numbered = number_rows(out.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())), F.struct("publication_source", "doi", "review_link", "book_title"))
     top = catalog.agg(F.max("id")).first()[0] or 0
-    return catalog.select(*CATALOG.names).unionByName(numbered.withColumn("id", F.col("n") + top).select(*CATALOG.names))
+    return numbered.withColumn("id", F.col("n") + top).select(*CATALOG.names)
+
+
+def insert_or_ignore(catalog: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
+    """The new snapshot: the catalog and what a batch adds to it."""
+    return catalog.select(*CATALOG.names).unionByName(inserted(catalog, batch, seq))
 
 
 def number_rows(df: DataFrame, order: Column, name: str = "n") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.dates_urls import page_end, page_start, year_of
 from quire.functions.names import split_name, surname_key
-from quire.operators import classify, matching, symposia, upsert
+from quire.operators import classify, matching, misses, symposia, upsert
 from quire.schema import filled, is_blank, titled
 from quire.sources.landed import review_rows
 from quire.storage import cut
@@ -21,18 +21,24 @@ def issue_items(items: DataFrame) -> DataFrame:
     )
 
 
-def enrich(rows: DataFrame, works: DataFrame) -> DataFrame:
-    """Authors for rows without one, from the most similar known work."""
+def enrich(rows: DataFrame, works: DataFrame, abort_after: int | None = 30) -> DataFrame:
+    """Authors for rows without one, from the most similar known work.
+
+    Rows are looked up in the order of `seq`; after `abort_after` misses in a row the rest stay as they are (None: all are looked up).
+    """
     wanting = rows.where(is_blank("book_author_last_name") & ~is_blank("book_title"))
     found = matching.best_work(wanting.select(F.col("seq").alias("record"), F.col("book_title").alias("title"), year_of(F.col("publication_date")).alias("year")), works)
     known = found.select(F.col("record").alias("seq"), F.col("name.first").alias("f"), F.col("name.last").alias("l"))
+    if abort_after is not None:
+        asked = wanting.select("seq").join(known, "seq", "left")
+        known = misses.attempted(asked, is_blank("l"), abort_after, ["seq"]).where("attempted").drop("attempted")
     joined = rows.join(known, "seq", "left")
     return joined.withColumns({"book_author_first_name": F.coalesce(F.when(is_blank("book_author_last_name"), F.col("f")), F.col("book_author_first_name")), "book_author_last_name": F.coalesce(filled("book_author_last_name"), F.col("l"), F.lit(""))}).drop("f", "l")
 
 
 def works_of(lookups: DataFrame) -> DataFrame:
-    """Landed lookup results -> works (SC24)."""
-    return lookups.select(F.monotonically_increasing_id().alias("work"), "title", F.col("publication_year").alias("year"), F.monotonically_increasing_id().alias("rank"), F.try_element_at("authorships", F.lit(1))["author"]["display_name"].alias("author"))
+    """Landed lookup results -> works (SC24). Their numbers are stored with them, since several branches of a plan read them."""
+    return cut(lookups.select(F.monotonically_increasing_id().alias("work"), "title", F.col("publication_year").alias("year"), F.monotonically_increasing_id().alias("rank"), F.try_element_at("authorships", F.lit(1))["author"]["display_name"].alias("author")))
 
 
 def observed(rows: DataFrame, observation) -> DataFrame:

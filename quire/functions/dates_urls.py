@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 
 #: Month in which a season's or month's issue counts, by the first key contained.
 SEASONS = {"winter": 1, "spring": 3, "summer": 6, "autumn": 9, "fall": 9}
-MONTHS = "january february march april may june july august september october november december".split()
+MONTHS = [
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+]
 
 
 def _part(parts: Column, k: int) -> Column:

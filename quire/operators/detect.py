@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions.names import looks_like_name, words
-from quire.functions.text import let, normalize, strip, strip_tags
+from quire.functions.text import normalize, strip, strip_tags
 from quire.schema import is_blank
 
 #: What a title of something else contains, and what a review's contains.
 EXCLUDED = ["editorial:", "announcing", "comment on", "response to", "reply to", "correction", "erratum", "retraction", "call for papers", "book notes", "books received", "brief notices", "notes on our contributors", "general index"]
 INDICATORS = ["(review)", "book review", "review of", "reviewed work"]
-COMMON_FIRST_WORDS = "nature ethics justice ecology the being value animal people land wild extinction poverty growth".split()
+COMMON_FIRST_WORDS = ["nature", "ethics", "justice", "ecology", "the", "being", "value", "animal", "people", "land", "wild", "extinction", "poverty", "growth"]
 
 
 def any_of(c: Column, parts: list[str]) -> Column:
@@ -30,40 +29,90 @@ def tagged(c: Column, tags: str) -> Column:
     return F.length(strip(strip_tags(F.regexp_extract(c, rf"(?i)<(?:{tags})>(.*?)</(?:{tags})>", 1))))
 
 
-#: Forms that titles of reviews have.
-SURE_FORMS = {
-    "review: T": r"(?i)^review:\s",
-    "Author, 'T'": r"""^[A-Z].+?,\s*(?:\(eds?\.?\)\s*,?\s*)?["'“‘].{10,}["'”’]""",
-    "bold author: T": r"^<b>[^<]{5,}</b>\s*:",
-    "T. By Author": r"\.\s+[Bb]y\s+[A-Z][a-z]",
-}
-LIKELY_FORMS = {
-    "Author's T": r"^(?:Review of )?[A-Z][a-z]+(?:\s[A-Z]\.?)* [A-Z][a-zA-Z-]+['’]s\s",
-    "240 pp": r"(?i)\d+\s*pp\b",
-    "T, by Author": r",\s+by\s+[A-Z]",
-    "Author, eds. T": r"^[A-Z].+?,\s*eds?\.\s+[A-Z]",
-}
-#: Forms that count if what they find reads as a name: (pattern, least length of the surname).
-T_BY_NAME = r"^.{10,}?\s+by\s+(.+?)\s*$"
-NAME_FORMS = {"Name: T": (r"^([A-Z][a-zA-Z.\s,]+?):\s+[A-Z]", 1), "Name. T": (r"^([A-Z][a-zA-Z.\s,]+?)\.\s+[A-Z][a-z]", 3)}
-LAST_FIRST = r"^([A-Z][a-zA-Z-]+),\s+[A-Z][a-z]"
+def halves(title: Column, separator: str) -> tuple[Column, Column]:
+    """What stands before and after the first separator; after is null where there is none."""
+    both = F.split(title, separator, 2)
+    return F.trim(F.element_at(both, 1)), F.trim(F.try_element_at(both, F.lit(2)))
 
 
-def found_name(title: Column, pattern: str, fits: Callable[[Column], Column]) -> Column:
-    """Whether the pattern finds something that reads as a name, and fits."""
-    return let(F.regexp_extract(title, pattern, 1), lambda name: (name != "") & looks_like_name(name) & fits(name))
+def begins_upper(c: Column) -> Column:
+    return c.rlike(r"^\p{Lu}")
+
+
+def said(test: Column) -> Column:
+    return F.coalesce(test, F.lit(False))
+
+
+def word_count(c: Column) -> Column:
+    return F.size(words(c))
+
+
+def last_word(c: Column) -> Column:
+    return F.coalesce(F.try_element_at(words(c), F.lit(-1)), F.lit(""))
+
+
+def quotes_a_title(title: Column) -> Column:
+    """Somebody, then a comma, then at least ten characters in quotation marks."""
+    who, rest = halves(title, """,\\s*(?=["'“‘])""")
+    inside = F.regexp_extract(rest, """^["'“‘](.+)["'”’]""", 1)
+    return said(begins_upper(who) & (F.length(inside) >= 10))
+
+
+def bold_author(title: Column) -> Column:
+    """A bold name of five or more letters with a colon after it."""
+    name, rest = halves(title, "</b>")
+    return said(name.startswith("<b>") & (F.length(name) >= 8) & ~F.substr(name, F.lit(4)).contains("<") & rest.startswith(":"))
+
+
+def ends_by_name(title: Column) -> Column:
+    """The last " by " has a name after it, and a title's length before it."""
+    name = F.substring_index(title, " by ", -1)
+    return said(title.contains(" by ") & (F.length(title) - F.length(name) >= 14) & looks_like_name(name))
+
+
+def by_somebody(title: Column, separator: str) -> Column:
+    return said(begins_upper(halves(title, separator)[1]))
+
+
+def owns_a_title(title: Column) -> Column:
+    """The first word in the genitive is a surname, with one capitalised word or more before it."""
+    owner, rest = halves(F.regexp_replace(title, "^Review of ", ""), "['’]s ")
+    return said((rest != "") & word_count(owner).between(2, 5) & F.forall(words(owner), begins_upper) & last_word(owner).rlike(r"^\p{L}[\p{L}-]+$"))
+
+
+def counts_pages(title: Column) -> Column:
+    """A number of pages: its unit stands beside it or follows as a word."""
+    w = words(F.lower(title))
+    follows = F.exists(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at(w, i).rlike("[0-9]$") & F.try_element_at(w, i + 1).rlike("^pp(?![a-z0-9_])"), F.lit(False)))
+    return follows | F.exists(w, lambda x: x.rlike("[0-9]pp(?![a-z0-9_])"))
+
+
+def surname_first(title: Column) -> Column:
+    """One capitalised word that no title begins with, a comma, a capitalised word."""
+    surname, rest = halves(title, ", ")
+    return said((word_count(surname) == 1) & F.length(surname).between(2, 20) & surname.rlike(r"^\p{Lu}[\p{L}-]*$") & rest.rlike(r"^\p{Lu}\p{Ll}") & ~F.lower(surname).isin(COMMON_FIRST_WORDS))
+
+
+def name_then_title(title: Column, separator: str, least: int) -> Column:
+    """A name of two to six words before the separator, whose surname has at least `least` letters, and a capital after it."""
+    name, rest = halves(title, separator)
+    letters = F.translate(name, "., ", "").rlike("^[A-Za-z]+$")
+    return said(begins_upper(name) & letters & begins_upper(rest) & looks_like_name(name) & word_count(name).between(2, 6) & (F.length(last_word(name)) >= least))
+
+
+def edited_volume(title: Column) -> Column:
+    """Somebody, "ed." or "eds.", and a capital."""
+    who, rest = halves(title, r",\s*eds?\.\s")
+    return said(begins_upper(who) & begins_upper(rest))
 
 
 def is_review(title: Column, mode: str = "all") -> Column:
     """Whether a work item's title is a book review's (P14). Mode `italic_only` leaves out what looks at likely forms and names alone."""
     title = F.coalesce(title, F.lit(""))
-    low, surname = F.lower(title), F.regexp_extract(title, LAST_FIRST, 1)
-    evidence = [any_of(low, INDICATORS), *(title.rlike(form) for form in SURE_FORMS.values()), *(tagged(title, tags) >= 15 for tags in ("i|em", "b|strong")), found_name(title, T_BY_NAME, lambda name: F.lit(True))]
+    low = F.lower(title)
+    evidence = [any_of(low, INDICATORS), low.rlike(r"^review:\s"), *(tagged(title, tags) >= 15 for tags in ("i|em", "b|strong")), quotes_a_title(title), bold_author(title), by_somebody(title, r"\.\s+[Bb]y\s+(?=\p{Lu}\p{Ll})"), ends_by_name(title)]
     if mode != "italic_only":
-        evidence += [title.rlike(form) for form in LIKELY_FORMS.values()]
-        evidence.append(F.length(surname).between(2, 20) & ~F.lower(surname).isin(COMMON_FIRST_WORDS))
-        for form, least in NAME_FORMS.values():
-            evidence.append(found_name(title, form, lambda name, least=least: F.size(words(name)).between(2, 6) & (F.length(F.try_element_at(words(name), F.lit(-1))) >= least)))
+        evidence += [owns_a_title(title), counts_pages(title), surname_first(title), by_somebody(title, r",\s+by\s"), edited_volume(title), name_then_title(title, ":", 1), name_then_title(title, r"(?<=[a-z]{2})\.\s", 3)]
     return ~any_of(low, EXCLUDED) & reduce(lambda a, b: a | b, evidence)
 
 

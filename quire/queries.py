@@ -314,7 +314,8 @@ def name_split(spark, sf_dir):
     return n.withColumn("n", names.split_name(F.col("name"))).select("key", "n.first", "n.last")
 
 
-@register("garbled_predicate", r"SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)ISBN|978[-\d]|97[89]\d|0-\d{3,}|\bPress\b|\bUniversity\b|\bPublisher|\bVerlag\b|\bEditions?\b|\bPresses\b|\bpp\.|\bpages\b|\bPp\b|[$£€]\d|dollars?|\bRs\.|\bHardcover\b|\bPaperback\b|\bHbk\b|\bPbk\b') OR regexp_matches(coalesce(text, ''), '\b(?:19|20)\d{2}\)|\b(?:19|20)\d{2}\)?[,.]?\s*$') OR length(coalesce(text, '')) > 25 OR regexp_matches(coalesce(text, ''), '\d') AS garbled FROM documents")
+@register("garbled_predicate", r"""SELECT doc_id, list_has_any(string_split_regex(lower(t), '[^\p{L}]+'), ['isbn', 'press', 'presses', 'university', 'publisher', 'publishers', 'verlag', 'edition', 'editions', 'pp', 'pages', 'dollar', 'dollars', 'rs', 'hardcover', 'paperback', 'hbk', 'pbk'])
+    OR regexp_matches(t, '[0-9]') OR length(t) > 25 OR t IN ('Approaches', 'Alternative', 'Blackwell', 'Thought', 'rapports', 'pages', 'Press', 'Club', 'Allegory', 'Hegel') AS garbled FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def garbled_predicate(spark, sf_dir):
     """P24, P25 on whole texts"""
     return table(spark, sf_dir, "documents").select("doc_id", names.is_garbled(F.lit(""), F.col("text")).alias("garbled"))

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import names
 from quire.operators import browse, classify, detect, matching, symposia, upsert, windows
 from quire.operators.parse import list_rows, parse_title
 from quire.plans import cleanup, ingest
@@ -130,6 +131,42 @@ def test_detection(spark):
     assert [r.y for r in got] == [True] * len(yes) + [False] * len(no)
 
 
+FORMS = {
+    "indicator": ["Kant (Review)", "A review of a book", "Reviewed work: X"],
+    "prefix": ["Review: A Title"],
+    "quoted": ['Smith, "A Long Enough Title"', "Jones, J. (ed.), ‘On Everything There Is’"],
+    "bold": ["<b>Ann Lee</b>: Thinking", "<b>A Title of Fifteen Letters</b>"],
+    "dot by": ["Thinking. By Ann Lee", "Thinking. by Ann Lee"],
+    "by at the end": ["A Theory of Justice by John Rawls"],
+}
+LIKELY = {
+    "genitive": ["Ann Lee's Thinking", "John B. Smith’s Mind"],
+    "pages": ["Thinking, 240 pp", "Thinking, 240pp.", "xii+ 30 PP., $4"],
+    "surname first": ["Rawls, John Political Liberalism"],
+    "comma by": ["Thinking, by Ann Lee"],
+    "edited": ["Ann Lee, ed. Essays", "Ann Lee and Bo Ek, eds. Essays"],
+    "name: title": ["Ann Lee: Thinking"],
+    "name. title": ["Ann Lee. Thinking Again"],
+}
+OTHERS = ["Editorial: Review of the Year", "Justice and its limits", "Stand by me", "Nature, Nurture and Us", "the 240 ppl we met", "Thinking: A Study", "On What Matters. A reply", "Smith, 'short'", "<b>Lee</b>: x", "It's fine", "", "A Theory, by and large"]
+
+
+def test_forms_of_review_titles(spark):
+    rows = [(t, True, True) for ts in FORMS.values() for t in ts] + [(t, True, False) for ts in LIKELY.values() for t in ts] + [(t, False, False) for t in OTHERS]
+    got = spark.createDataFrame([(t,) for t, _, _ in rows], "t string").select("t", detect.is_review(F.col("t")).alias("a"), detect.is_review(F.col("t"), "italic_only").alias("b")).collect()
+    assert [tuple(r) for r in got if tuple(r) not in rows] == []
+
+
+def test_publishers_and_matter_in_names(spark):
+    publishers = [("Oxford", "University Press"), ("", "Routledge"), ("London:", "Verso"), ("New York: Harper", "x"), ("Springer, 2003", ""), ("Macmillan", "pp. 12"), ("1999", "Some University")]
+    persons = [("Ann", "Lee"), ("Susan", "Oxford"), ("", "Wiley Smith"), ("Bo", "Press"), (None, None)]
+    garbled = [("Ann", "ISBN 0-123"), ("x; y", "Lee"), ("", "$12"), ("A", "B2"), ("£3", "Lee"), ("Ann", "a surname that goes on and on"), ("Born 1950", "Lee"), ("Paperback", "Lee"), ("&amp; Ann", "Lee"), ("Jack", "Hegel")]
+    clean = [("Ann", "Lee"), ("Jean-Luc", "O'Éa"), ("", ""), (None, "Pressman"), ("Edi", "Tion")]
+    df = lambda rows: spark.createDataFrame(rows, "f string, l string")
+    assert [r[0] for r in df(publishers + persons).select(names.is_publisher(F.col("f"), F.col("l"))).collect()] == [True] * len(publishers) + [False] * len(persons)
+    assert [r[0] for r in df(garbled + clean).select(names.is_garbled(F.col("f"), F.col("l"))).collect()] == [True] * len(garbled) + [False] * len(clean)
+
+
 def test_list_items(spark):
     html = '<ul><li><a href="http://x/1"><i>On Mind</i></a> by Ann Lee is reviewed by Bo Ek at Mind and at Noûs.</li><li>Cy Dee reviews <i>B</i> by E Fox, at Ethics.</li></ul>'
     posts = spark.createDataFrame([(1, "2020-01-01", "s", "l", (html,))], POST)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions.names import looks_like_name, words
-from quire.functions.text import normalize, strip, strip_tags
+from quire.functions.text import let, normalize, strip, strip_tags
 from quire.schema import is_blank
 
 #: What a title of something else contains, and what a review's contains.
@@ -82,9 +82,10 @@ def owns_a_title(title: Column) -> Column:
 
 def counts_pages(title: Column) -> Column:
     """A number of pages: its unit stands beside it or follows as a word."""
-    w = words(F.lower(title))
-    follows = F.exists(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at(w, i).rlike("[0-9]$") & F.try_element_at(w, i + 1).rlike("^pp(?![a-z0-9_])"), F.lit(False)))
-    return follows | F.exists(w, lambda x: x.rlike("[0-9]pp(?![a-z0-9_])"))
+    unit = "^pp(?![a-z0-9_])"
+    pairs = lambda w: F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("number"), F.slice(w, 2, F.size(w) - 1).alias("unit"))
+    two = let(words(F.lower(title)), lambda w: F.when(F.size(w) > 1, F.exists(pairs(w), lambda p: p["number"].rlike("[0-9]$") & p["unit"].rlike(unit))).otherwise(F.lit(False)))
+    return two | F.exists(words(F.lower(title)), lambda x: x.rlike("[0-9]pp(?![a-z0-9_])"))
 
 
 def surname_first(title: Column) -> Column:

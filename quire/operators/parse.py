@@ -1,9 +1,9 @@
 """Citations in titles -> book title and author.
 
-Every format is a regular expression with the places of title and author. All formats of a
-title are tried side by side in one projection; the first in the list whose parts hold up
-(a long enough title, an author that reads as a name) is the answer, so order is the
-semantics, as data. Authors are split afterwards, once.
+Every format is a regular expression with the places of title and author, but for titles with italics,
+whose spans are read. The first in the list whose parts hold up (a long enough title, an author that reads as a
+name) is the answer, and those after it are not evaluated; trace_title tells why those before it
+failed. So order is the semantics, as data. Authors are split afterwards, once.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.names import first_author, has_function_word, is_edited, looks_like_name
+from quire.functions.spans import italic_citation, list_item
 from quire.functions.text import CITIES, let, normalize, squeeze, strip, strip_tags
 
 #: Fixed value: words of publishers that mark a citation's tail.
@@ -40,19 +41,18 @@ class Format:
     imprint: bool = False  # an imprint may follow the title
 
 
+#: Titles with italics: spans.italic_citation reads them.
+ITALICS = Format("italics", r"(?i)<(?:i|em)>", 1, 2, "marked")
 FORMATS = (
     Format("SUB-A", r"^(.+?):\s+(.{6,}?)\.\s+(?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?:\s+)?.+?,\s+\d{4}", 2, 1, "subtitle"),
     Format("SUB-B", rf"^(?:.*,\s*)?(?:[Ee]dited\s+by\s+)?([^,]+?),\s*[^,]*\b{HOUSE}\b.*$", 0, 1, "subtitle"),
     Format("book_review_colon", r"(?i)^(?:Commissioned\s+)?Book\s*Review\s*:\s*(.+?)\.\s+((?-i:[A-Z])[a-zA-Z.\s-]+?)\.?$", 1, 2, "raw"),
     Format("review_of_by", r"(?i)^Review\s+(?:of|Essay:)\s+(.+?),\s+by\s+(.+?)\.?$", 1, 2, "raw", check=False),
-    Format("italic_author_colon_title", r"(?i)^([^<>]{3,}?)\s*:\s*<(?:i|em)>(.+?)</(?:i|em)>", 2, 1, "marked"),
-    Format("italic_tags", rf"(?i)^([^<>]{{3,}}?)[\s,.;]*(?:{ED}\s*)?[,.\s(\[]*(?:\d{{4}}[)\],.\s]*)?<(?:i|em)>(.+?)</(?:i|em)>", 2, 1, "marked"),
-    Format("italic_then_author", rf"(?i)^\W*<(?:i|em)>(.+?)</(?:i|em)>[\s,.]*(?:(?:by|edited by|ed\.)\s+)?((?-i:{NAME}))", 1, 2, "marked"),
-    Format("italic_title_only", r"(?i)<(?:i|em)>(.+?)</(?:i|em)>", 1, 0, "marked"),
+    ITALICS,
     Format("book_review_colon_title_only", r"(?i)^(?:Commissioned\s+)?Book\s*Review\s*:\s*(.+?)\.?$", 1, 0, "raw"),
     Format("review_of_title_only", r"(?i)^Review\s+(?:of|Essay:)\s+(.+?)\.?$", 1, 0, "raw"),
     Format("written_by", r"(?i)^(.+?),?\s+written\s+by\s+(.+?)\.?$", 1, 2, check=False),
-    Format("edited_by_house", rf"^(.+?)[,.]?\s+[Ee]dited\s+by\s+(.+?)[,.]?\s+(?:[A-Z]\w+\s+)?{HOUSE}\b", 1, 2),
+    Format("edited_by_house", rf"^(.+?)[,.]?\s+[Ee]dited\s+by\s+(\S+\s+.+?)[,.]?\s+(?:[A-Z]\w+\s+)?{HOUSE}\b", 1, 2),
     Format("edited_by", r"(?i)^(.+?),?\s+edited\s+by\s+(.+?)\.?$", 1, 2, check=False),
     Format("dot_by_parenthesis", r"^(.+?)[.,]\s+[Bb]y\s+([^(]+?)[.,]?\s*\(", 1, 2),
     Format("dot_by", r"^(.+?)\.\s+[Bb]y\s+([A-Z][\w.'’ -]+?)(?:[.:,]|$)", 1, 2),
@@ -110,34 +110,70 @@ GENERIC = ["book review", "book reviews", "review", "reviews", "review essay"]
 
 def parse_title(title: Column, subtitle: Column | None = None, formats: tuple[Format, ...] = FORMATS) -> Column:
     """(book_title, first, last, is_edited, has_multiple, needs_lookup, format); null if nothing fits."""
-    raw = normalize(F.coalesce(title, F.lit("")))
-    marked = F.regexp_replace(raw, r"(?i)<(/?)(?:b|strong|em)>", "<$1i>")
-    marked = strip(F.regexp_replace(F.regexp_replace(marked, r"(?i)^(?:Commissioned\s+)?Book\s*Reviews?\s*:?\s*", ""), r"^Review\s+of\s+", ""))
-    sub = normalize(F.coalesce(subtitle if subtitle is not None else F.lit(None).cast("string"), F.lit("")))
-    forms = F.struct(raw.alias("raw"), marked.alias("marked"), squeeze(strip_tags(marked)).alias("plain"), squeeze(strip_tags(raw)).alias("bare"), sub.alias("subtitle"))
-    return let(forms, lambda s: let(best_format(s, formats), lambda b: let(first_author(b["author"]), lambda who: parsed(s, b, who))))
+    return let(forms_of(title, subtitle), lambda s: let(best_format(s, formats), lambda b: let(first_author(b["author"]), lambda who: parsed(s, b, who))))
 
 
-def best_format(s: Column, formats: tuple[Format, ...]) -> Column:
-    """The first of the formats that fits and holds up: format, title, author, edited."""
+CANDIDATE = "struct<format: string, title: string, author: string, named: boolean, check: boolean, least: int, edited: boolean>"
+
 
-    def candidate(f: Format) -> Column:
+def candidate(s: Column, f: Format) -> Column:
+    """CANDIDATE of a format that fits; null if its pattern does not. named: the author must be there; check: it must read as a name."""
+    shape = lambda name, title, author, named, edited: F.struct(
+        name.alias("format"), F.rtrim(title, F.lit(".,: ")).alias("title"), author.alias("author"), named.alias("named"), F.lit(f.check and f is not ITALICS).alias("check"), F.lit(f.least).alias("least"), edited.alias("edited")
+    )
+    if f is ITALICS:  # what stands there for an author but is no name is none
+        named = lambda c: (c["author"] != "") & looks_like_name(F.regexp_replace(c["author"], rf"(?i),?\s*{ED}$", ""))
+        alone = lambda c, ok: shape(F.when(ok, c["format"]).otherwise("italic_title_only"), c["title"], F.when(ok, c["author"]).otherwise(""), ok, ok & c["edited"])
+        found = let(italic_citation(s["marked"]), lambda c: F.when(c.isNotNull(), let(named(c), lambda ok: alone(c, ok))))
+    else:
         part = lambda k: squeeze(strip_tags(F.regexp_extract(s[f.on], f.pattern, k)))
         title = part(f.title) if f.title else s["bare"]
-        return F.when(
-            s[f.on].rlike(f.pattern),
-            F.struct(
-                F.lit(f.name).alias("format"), F.rtrim(F.regexp_replace(title, IMPRINT, "") if f.imprint else title, F.lit(".,: ")).alias("title"),
-                (F.regexp_replace(part(f.author), r"[,.\s:;]+$", "") if f.author else F.lit("")).alias("author"), F.lit(bool(f.author)).alias("named"), F.lit(f.check).alias("check"),
-                F.lit(f.least).alias("least"), F.lit(f.name in ("edited_by", "edited_by_house", "author_eds_title")).alias("edited"),
-            ),
-        )
+        author = F.regexp_replace(part(f.author), r"[,.\s:;]+$", "") if f.author else F.lit("")
+        found = shape(F.lit(f.name), F.regexp_replace(title, IMPRINT, "") if f.imprint else title, author, F.lit(bool(f.author)), F.lit(f.name in ("edited_by", "edited_by_house", "author_eds_title")))
+    return F.when(s[f.on].rlike(f.pattern), found)
+
+
+def nth(s: Column, i: Column, formats: tuple[Format, ...]) -> Column:
+    """The candidate of the i-th format, from 0: no other is evaluated."""
+    out = F.when(i == 0, candidate(s, formats[0]))
+    for k, f in enumerate(formats[1:], 1):
+        out = out.when(i == k, candidate(s, f))
+    return out
+
+
+def fault(c: Column) -> Column:
+    """Why a candidate does not hold up; null if it does."""
+    checked = lambda bare: F.when(bare == "", "no author").when(c["check"] & ~looks_like_name(bare), "no name").when((c["format"] == "author_colon_title") & has_function_word(bare), "function word")
+    named = F.when(c["named"], let(F.regexp_replace(c["author"], rf"(?i),?\s*{ED}$", ""), checked))
+    return F.when(c.isNull(), "no match").when(F.length(c["title"]) < c["least"], "short title").otherwise(named)
+
+
+def places(formats: tuple[Format, ...]) -> Column:
+    return F.sequence(F.lit(0), F.lit(len(formats) - 1))
 
-    def holds(c: Column) -> Column:
-        bare = F.regexp_replace(c["author"], rf"(?i),?\s*{ED}$", "")
-        return c.isNotNull() & (F.length(c["title"]) >= c["least"]) & (~c["named"] | ((bare != "") & (~c["check"] | looks_like_name(bare)) & ((c["format"] != "author_colon_title") | ~has_function_word(bare))))
 
-    return F.try_element_at(F.filter(F.array(*(candidate(f) for f in formats)), holds), F.lit(1))
+def best_format(s: Column, formats: tuple[Format, ...]) -> Column:
+    """The first of the formats that fits and holds up: format, title, author, edited. Formats after it are not evaluated."""
+    sound = lambda i: let(nth(s, i, formats), lambda c: F.when(c.isNotNull() & fault(c).isNull(), c))
+    return F.aggregate(places(formats), F.lit(None).cast(CANDIDATE), lambda found, i: F.coalesce(found, sound(i)))
+
+
+def forms_of(title: Column, subtitle: Column | None) -> Column:
+    """A title as formats read it: raw, marked (no prefix, italics as <i>), plain, bare (raw without tags), and the subtitle."""
+    raw = normalize(F.coalesce(title, F.lit("")))
+    marked = F.regexp_replace(raw, r"(?i)<(/?)(?:b|strong|em)>", "<$1i>")
+    marked = strip(F.regexp_replace(F.regexp_replace(marked, r"(?i)^(?:Commissioned\s+)?Book\s*Reviews?\s*:?\s*", ""), r"^Review\s+of\s+", ""))
+    sub = normalize(F.coalesce(subtitle if subtitle is not None else F.lit(None).cast("string"), F.lit("")))
+    return F.struct(raw.alias("raw"), marked.alias("marked"), squeeze(strip_tags(marked)).alias("plain"), squeeze(strip_tags(raw)).alias("bare"), sub.alias("subtitle"))
+
+
+def trace_title(title: Column, subtitle: Column | None = None, formats: tuple[Format, ...] = FORMATS) -> Column:
+    """array of (format, verdict) in the order of the formats, up to the first that holds up: why each of those before it did not, and "fits"."""
+    names = F.array(*(F.lit(f.name) for f in formats))
+    verdict = lambda s, i: F.struct(F.element_at(names, i + 1).alias("format"), F.coalesce(let(nth(s, i, formats), fault), F.lit("fits")).alias("verdict"))
+    verdicts = lambda s: F.transform(places(formats), lambda i: verdict(s, i))
+    upto = lambda v: F.coalesce(F.nullif(F.array_position(F.transform(v, lambda x: x["verdict"] == "fits"), True), F.lit(0)), F.size(v)).cast("int")
+    return let(forms_of(title, subtitle), lambda s: let(verdicts(s), lambda v: F.slice(v, F.lit(1), upto(v))))
 
 
 def parsed(s: Column, best: Column, who: Column) -> Column:
@@ -162,9 +198,17 @@ def parse_list_item(text: Column) -> Column:
 
 
 def list_rows(posts: DataFrame) -> DataFrame:
-    """Posts -> list items -> one row for each book and each venue."""
+    """Posts -> list items -> one row for each book and each venue, with the venue's own link.
+
+    Items that mark no book and venue in italics are read as plain text, with their first link.
+    """
     items = posts.select("id", "date", "link", F.posexplode(F.regexp_extract_all("content.rendered", F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1))).alias("place", "item"))
-    parsed = items.withColumn("p", parse_list_item(F.col("item"))).where("p IS NOT NULL")
-    books = F.explode(F.split(F.col("p.book_title"), r"\s*;\s*|\s+and\s+also\s+")).alias("book_title")
-    rows = parsed.select("id", "date", "place", "p", F.regexp_extract("item", r"""href=["']([^"']+)""", 1).alias("review_link"), books)
-    return rows.select("id", "date", "place", "book_title", "p.author", "p.reviewer", "review_link", F.explode(F.split("p.venue", r"\s*(?:;|,?\s+and\s+(?:at|in)\s+)\s*")).alias("venue"))
+    plain = let(parse_list_item(F.col("item")), lambda p: F.when(p.isNotNull(), plain_entries(p, F.regexp_extract("item", r"""href=["']([^"']+)""", 1))))
+    found = items.withColumn("e", F.coalesce(list_item(F.col("item")), plain)).where("e IS NOT NULL")
+    return found.select("id", "date", "place", F.explode("e").alias("e")).select("id", "date", "place", "e.book_title", "e.author", "e.reviewer", "e.review_link", "e.venue")
+
+
+def plain_entries(p: Column, link: Column) -> Column:
+    books, venues = F.split(p["book_title"], r"\s*;\s*|\s+and\s+also\s+"), F.split(p["venue"], r"\s*(?:;|,?\s+and\s+(?:at|in)\s+)\s*")
+    entry = lambda b, v: F.struct(b.alias("book_title"), p["author"].alias("author"), p["reviewer"].alias("reviewer"), v.alias("venue"), link.alias("review_link"))
+    return F.flatten(F.transform(books, lambda b: F.transform(venues, lambda v: entry(b, v))))

@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from quire import case_queries, source_queries, table_queries
+from quire import case_queries, citation_queries, source_queries, table_queries
 from quire.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(n for n, f in QUERIES.items() if f.__module__ in (case_queries.__name__, source_queries.__name__, table_queries.__name__))
+NAMES = sorted(n for n, f in QUERIES.items() if f.__module__ in (case_queries.__name__, citation_queries.__name__, source_queries.__name__, table_queries.__name__))
 
 
 @pytest.fixture(scope="module")

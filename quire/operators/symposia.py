@@ -73,10 +73,22 @@ def by_anchors(items: DataFrame, start: Column, end: Column) -> DataFrame:
     return inside.select("item.*").withColumn("symposium_group", issue_key(*(F.col(c) for c in ISSUE))).distinct()
 
 
+def near_markers(items: DataFrame, markers: DataFrame, before: int, after: int) -> DataFrame:
+    """Items with the markers (marker, marker_page) of their issue in whose window of pages they may be.
+
+    Pages are cut into bands as wide as a window, so a window touches two of them: an item meets the markers of its own
+    band and of a neighbour, never all of its issue.
+    """
+    width = before + after + 1
+    band = lambda page: F.floor(page / width).cast("long")
+    touched = F.explode(F.sequence(band(F.col("marker_page") - before), band(F.col("marker_page") + after)))
+    return items.withColumn("band", band(F.col("start_page"))).join(markers.withColumn("band", touched), [*ISSUE, "band"]).drop("band")
+
+
 def by_markers(items: DataFrame, before: int = 10, after: int = 80) -> DataFrame:
     """Members of the page window around a precis, up to a reply or to what is no symposium."""
     markers = items.where(is_precis(F.col("title")) & (F.col("start_page") > 0)).select(*ISSUE, F.col("doi").alias("marker"), F.col("start_page").alias("marker_page"))
-    near = items.join(markers, ISSUE).where((F.col("start_page") >= F.col("marker_page") - before) & (F.col("start_page") <= F.col("marker_page") + after))
+    near = near_markers(items, markers, before, after).where((F.col("start_page") >= F.col("marker_page") - before) & (F.col("start_page") <= F.col("marker_page") + after))
     odd = is_no_symposium(F.col("title"))
     group, order = ["marker"], ["start_page", "doi"]
     until_break = until_first(near, odd & (F.col("start_page") > F.col("marker_page")), group, order, inclusive=False)

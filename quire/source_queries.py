@@ -11,7 +11,7 @@ from quire.operators import misses, upsert
 from quire.queries import register, table
 from quire.schema import TEXT, record
 from quire.schema import T as types
-from quire.sources import paged
+from quire.sources import landed, paged
 from quire.storage import shared_folder
 from quire.streaming.changelog import ChangeLog
 
@@ -91,3 +91,14 @@ def longest_misses(spark, sf_dir):
     """The most misses in a row of each group, merged from summaries of ranges"""
     e = table(spark, sf_dir, "events").select("event_id", F.least(F.col("user_id") % 9, F.lit(2)).alias("grp"), (F.col("event_type") != "purchase").alias("miss"))
     return misses.longest_runs(e, F.col("miss"), ["event_id"], ["grp"])
+
+
+@register("marked_issues", """WITH o AS (SELECT o_orderkey AS orderkey, o_orderstatus AS journal, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS volume, o_orderpriority AS issue, o_totalprice FROM orders)
+    SELECT orderkey, journal, year, volume, issue FROM o SEMI JOIN (SELECT DISTINCT journal, year, volume, issue FROM o WHERE o_totalprice > 495000 AND year IN (1996, 1997)) m USING (journal, year, volume, issue)""")
+def marked_issues(spark, sf_dir):
+    """SC21, SC22: markers of one scan choose the journals, years and issues that a second one reads"""
+    path = f"{shared_folder(spark)}/issues-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("journal"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("volume"), F.col("o_orderpriority").alias("issue"), "o_totalprice")
+    landed.write_issues(o, path)
+    markers = o.where((F.col("o_totalprice") > 495000) & F.col("year").isin(1996, 1997))
+    return landed.issue_articles(spark, path, markers).select("orderkey", "journal", "year", "volume", "issue")

@@ -17,6 +17,10 @@ from quire.operators.detect import is_review, is_self_review
 from quire.operators.parse import parse_title
 from quire.operators.windows import carry_forward
 from quire.schema import PUBLISHER_RECORD, WORK_ITEM, conform, filled, is_blank
+from quire.storage import cut
+
+
+FEW_ISSUES = 50_000
 
 
 def read_items(spark: SparkSession, path: str, schema: T.StructType = WORK_ITEM) -> DataFrame:
@@ -50,6 +54,23 @@ def changed_since(items: DataFrame, start: str) -> DataFrame:
     return items.where(F.col("indexed") >= F.lit(start).cast("timestamp"))
 
 
+def write_issues(items: DataFrame, path: str) -> None:
+    """Items (journal, year, volume, issue, ..) in folders by journal and year, as an issue fetch asks for them (SC21)."""
+    items.repartition("journal", "year").write.mode("errorifexists").partitionBy("journal", "year").parquet(path)
+
+
+def issue_articles(spark: SparkSession, path: str, markers: DataFrame) -> DataFrame:
+    """All items of the issues that markers (journal, year, volume, issue) found in another source name (SC21, SC22).
+
+    The journals and years of the markers choose, while the query runs, which folders are read at all; volume and issue are compared
+    then. Nulls name no issue. The issues are stored and counted: up to FEW_ISSUES of them go to all tasks, and only then do they
+    choose folders; more are joined.
+    """
+    wanted = cut(markers.select("journal", "year", "volume", "issue").dropna().distinct())
+    side = F.broadcast(wanted) if wanted.count() <= FEW_ISSUES else wanted
+    return spark.read.parquet(path).join(side, ["journal", "year", "volume", "issue"], "left_semi")
+
+
 def missing_author(catalog: DataFrame) -> DataFrame:
     """SC2"""
     return catalog.where(is_blank("book_author_first_name") & is_blank("book_author_last_name"))

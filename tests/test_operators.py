@@ -191,6 +191,15 @@ def test_symposia(spark):
     assert [(r.range_start, r.range_end) for r in symposia.greedy_pairs(kinds, symposia.ISSUE).collect()] == [(1, 9)]
 
 
+def test_items_meet_the_markers_of_two_bands_only(spark):
+    pages = items(spark, [(f"d{n}", "Précis" if n % 50 == 0 else "x", "lee", n, n) for n in range(1, 3001)])
+    markers = pages.where("title = 'Précis'").select(*symposia.ISSUE, F.col("doi").alias("marker"), F.col("start_page").alias("marker_page"))
+    met = symposia.near_markers(pages, markers, 10, 80)
+    near = (F.col("start_page") >= F.col("marker_page") - 10) & (F.col("start_page") <= F.col("marker_page") + 80)
+    assert met.where(near).count() == pages.crossJoin(markers.drop(*symposia.ISSUE)).where(near).count()
+    assert met.count() < 3000 * 60 / 15  # all pairs of the issue: 3,000 x 60
+
+
 def test_matching(spark):
     records = spark.createDataFrame([(1, "Thinking Machines: A Study", 2001), (2, "Unknown Thing", 1990)], "record long, title string, year int")
     works = spark.createDataFrame([(10, "Thinking machines", 2000, 0, "Ann Lee"), (11, "Thinking Machines: A Study", 2001, 1, "Bo Ek")], "work long, title string, year int, rank int, author string")

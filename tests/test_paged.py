@@ -106,3 +106,17 @@ def test_a_restarted_reader_goes_on_from_the_batch_that_spark_plans_again(tmp_pa
     assert paged.without_gaps(paged_pages) == {"a": 3}
     reader.partitions({}, {"a": 2})
     assert reader.at == {"a": 2} and reader.latestOffset() == {"a": 2}
+
+
+def test_markers_choose_the_folders_that_are_read(spark, tmp_path):
+    from quire.sources.landed import issue_articles, write_issues
+
+    rows = [(j, y, v, i, f"{j}{y}{v}{i}{n}") for j in ("A", "B", "C") for y in range(2000, 2006) for v in (1, 2) for i in ("1", "2") for n in range(3)]
+    items = spark.createDataFrame(rows, "journal string, year int, volume int, issue string, doi string")
+    write_issues(items, str(tmp_path / "items"))
+    markers = spark.createDataFrame([("A", 2001, 1, "2"), ("A", 2001, 1, "2"), ("B", 2004, 2, "1"), (None, 2000, 1, "1")], "journal string, year int, volume int, issue string").where("year > 1999")
+    for folder in (tmp_path / "items").glob("journal=C/*/*.parquet"):
+        folder.write_bytes(b"broken")  # whatever is not wanted is not opened
+    found = issue_articles(spark, str(tmp_path / "items"), markers)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted(r.doi for r in found.collect()) == sorted(r[4] for r in rows if r[:4] in (("A", 2001, 1, "2"), ("B", 2004, 2, "1")))

@@ -179,9 +179,7 @@ class Lexicon:
                 excused.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        for a, b in excused:
-            for start in [s for s in found if a <= s < b]:
-                del found[start]
+        found = outside(found, excused)
         return sum(found.values()), len(found), len(words)
 
     def inputs(self, facts: list[tuple[float, int, int]]) -> np.ndarray:
@@ -195,6 +193,20 @@ class Lexicon:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def outside(found: dict[int, float], excused: list[tuple[int, int]]) -> dict[int, float]:
+    """What begins in no excused span [a, b): both in order, one sweep over them."""
+    if not excused:
+        return found
+    spans, k, reach, out = sorted(excused), 0, -1, {}
+    for start in sorted(found):
+        while k < len(spans) and spans[k][0] <= start:
+            reach = max(reach, spans[k][1])
+            k += 1
+        if start >= reach:
+            out[start] = found[start]
+    return out
+
+
 def hash_of(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
 

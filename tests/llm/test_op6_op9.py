@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -120,3 +121,14 @@ def test_equal_documents_get_equal_scores(spark):
     df = spark.createDataFrame([(1, "same words here"), (1, "same words here"), (None, "same words here")], "doc_id long, text string")
     assert {round(r.score, 2) for r in op6_quality.score(df, op6_quality.fit(rows)).collect()} == {0.5}
     assert len({r.score for r in op9_toxicity.score(df, op9_toxicity.learn(rows)).collect()}) == 1
+
+
+def test_excused_spans_in_one_sweep():
+    rng = random.Random(4)
+    for _ in range(300):
+        found = {rng.randrange(40): 1.0 for _ in range(rng.randrange(12))}
+        excused = [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(rng.randrange(6)))]
+        assert op9_toxicity.outside(found, excused) == {s: w for s, w in found.items() if not any(a <= s < b for a, b in excused)}
+    began = time.time()
+    assert op9_toxicity.outside({5 * i: 1.0 for i in range(400_000)}, [(5 * i, 5 * i + 3) for i in range(400_000)]) == {}
+    assert time.time() - began < 20

@@ -67,7 +67,9 @@ def issue_articles(spark: SparkSession, path: str, markers: DataFrame) -> DataFr
     choose folders; more are joined.
     """
     wanted = cut(markers.select("journal", "year", "volume", "issue").dropna().distinct())
-    side = F.broadcast(wanted) if wanted.count() <= FEW_ISSUES else wanted
+    n, low, high = wanted.agg(F.count("*"), F.min("year"), F.max("year")).first()
+    side = wanted.where(F.col("year").between(low, high))  # a range that folders can be judged by before the join's own keys are known
+    side = F.broadcast(side) if n <= FEW_ISSUES else side
     return spark.read.parquet(path).join(side, ["journal", "year", "volume", "issue"], "left_semi")
 
 

@@ -66,7 +66,30 @@ def _content(rng: random.Random) -> str:
     )
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
+def _bare_page(rng: random.Random) -> str:
+    """A page whose main text has no container of a telling name, and mostly no heading: blocks right in the body, plain divs, cells of a table."""
+    text = lambda low, high: _sentences(rng, low, high)
+    blocks = rng.choice([1, 1, 1, 2, 3, 6])
+    kind = rng.randrange(6)
+    if kind == 0:
+        core = "".join(f'<p data-label="1">{text(1, 9)}</p>' for _ in range(blocks))
+    elif kind == 1:
+        core = "".join(f'<div data-label="1">{text(1, 9)}</div>' for _ in range(blocks))
+    elif kind == 2:
+        core = f'<div data-label="1">{"".join(_content(rng) for _ in range(blocks))}</div>'
+    elif kind == 3:
+        core = "".join(f'<{t} data-label="1">{text(1, 7)}</{t}>' for t in (rng.choice(["p", "div", "pre", "blockquote", "section", "article", "main"]) for _ in range(blocks)))
+    elif kind == 4:
+        core = f'<table data-label="1"><tr data-label="1"><td data-label="0"><ul>{_links(rng, 4)}</ul></td><td data-label="1">{"".join(f"<p>{text(1, 8)}</p>" for _ in range(blocks))}</td></tr></table>'
+    else:
+        core = f'<h2 data-label="1">{_words(rng, rng.randrange(2, 7))}</h2>' + "".join(f'<p data-label="1">{text(1, 8)}</p>' for _ in range(blocks))
+    plain = lambda: rng.choice([f'<div data-label="0" class="{c}">{_words(rng, rng.randrange(1, 6))}</div>' for c in ("nav", "menu", "footer", "breadcrumb", "copyright", "related")])
+    around = lambda: "".join(rng.choice([_boilerplate, _boilerplate, lambda _: plain()])(rng) for _ in range(rng.choice([0, 0, 1, 2])))
+    return f"<html><body data-label='1'>{around()}{core}{around()}</body></html>"
+
+
+def labelled_pages(n: int = 240, seed: int = 5, bare: int = 300) -> list[str]:
+    """n pages with a headed article in a container, and `bare` without."""
     rng = random.Random(seed)
     pages = []
     for _ in range(n):
@@ -81,4 +104,4 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[str]:
         if rng.random() < 0.4:
             after.insert(0, _comments(rng))
         pages.append(f"<!DOCTYPE html><html><head><title>t</title></head><body data-label='0'>{''.join(before)}{core}{''.join(after)}</body></html>")
-    return pages
+    return pages + [_bare_page(rng) for _ in range(bare)]

@@ -8,7 +8,7 @@ marginals; blocks whose marginal is at least one half are the text. Both potenti
 trained from labelled pages (labelled_pages.py), on the driver, in some seconds.
 
 Scripts, styles and comments are no text at all. Nodes of OBSERVED kinds, and hidden ones, have
-a known label, not main text, as evidence of their own; the messages carry it on. A page
+a known label, not main text, as evidence of their own, and so have the blocks inside AREAS and hidden ones; the messages carry it on. A page
 without blocks, plain text that is, is all main text. Null or empty html gives an empty text. Rows need nothing from each other; ids may
 be null or repeated; other columns are ignored. Empty tables give empty results.
 """
@@ -27,7 +27,10 @@ from quire.llm.labelled_pages import labelled_pages
 from quire.llm.learn import logistic
 
 #: Elements that the notion of main text itself leaves out.
-OBSERVED = frozenset(("form", "button", "textarea", "dialog", "nav", "footer"))
+OBSERVED = frozenset(("form", "button", "textarea", "dialog", "nav", "footer", "aside"))
+
+#: Those of them whose blocks are left out with them; a form may hold a whole page.
+AREAS = frozenset(("dialog", "nav", "footer", "aside"))
 
 
 class Model:
@@ -43,7 +46,10 @@ class Model:
         (e00, e01), (e10, e11) = self.edge.tolist()
         at = {id(x): i for i, x in enumerate(nodes)}
         parent = [-1 if x.parent is None else at[id(x.parent)] for x in nodes]
-        own = [(1.0 - a, a) if not (x.tag in OBSERVED or x.hidden) else (1.0, 1e-9) for a, x in zip(p.tolist(), nodes)]
+        outside = [False] * n  # in an area that is no main text as a whole
+        for i, x in enumerate(nodes):
+            outside[i] = x.tag in AREAS or x.hidden or (i > 0 and outside[parent[i]])
+        own = [(1.0 - a, a) if not (out or x.tag in OBSERVED) else (1.0, 1e-9) for a, x, out in zip(p.tolist(), nodes, outside)]
         up: list[tuple[float, float]] = [(1.0, 1.0)] * n  # what a node's subtree says to its parent
         below = list(own)
         for i in range(n - 1, 0, -1):  # children stand after their parents

@@ -107,3 +107,35 @@ def test_time_is_linear(model):
     model.text(f"<article>{'<select>' * 5_000}<p>{FIRST}</p>")
     assert model.text(f"<article>{f'<p>{FIRST}</p>' * 20_000}</article>").count("\n") == 19_999
     assert time.time() - began < 60
+
+
+A = "The committee met on Tuesday, and after some hours of talk it agreed on a plan for the harbour. Nobody was happy with it, but nobody had a better one."
+B = "Work is to begin in the spring, if the money can be found. Until then, the old pier stays closed, and the ferries will go on landing at the northern quay."
+MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Contact</a></li></ul>'
+#: Layouts that training has no template of, and the text that must come out.
+LAYOUTS = {
+    "p in body": (f"<body><p>{A}</p></body>", [A]),
+    "two p in body": (f"<body><p>{A}</p><p>{B}</p></body>", [A, B]),
+    "div in body": (f"<body><div>{A}</div></body>", [A]),
+    "text without blocks": (A, [A]),
+    "plain divs between named ones": (f'<div class="nav">Home About</div><div>{A}</div><div>{B}</div><div class="footer">c</div>', [A, B]),
+    "nav before p": (f"<nav>{MENU}</nav><p>{A}</p><p>{B}</p>", [A, B]),
+    "footer after p": (f"<p>{A}</p><footer><p>{B}</p></footer>", [A]),
+    "nested plain divs": (f"<div><div><div><p>{A}</p><p>{B}</p></div></div></div>", [A, B]),
+    "layout table": (f"<table><tr><td>{MENU}</td><td><p>{A}</p><p>{B}</p></td></tr></table>", [A, B]),
+    "aside in article": (f"<article><h1>Harbour</h1><p>{A}</p><aside><p>See also our other stories.</p></aside><p>{B}</p></article>", ["Harbour", A, B]),
+    "script and style": (f"<style>p {{}}</style><p>{A}</p><script>var x = '<p>no</p>';</script>", [A]),
+    "comments after": (f'<div><p>{A}</p></div><div class="comments"><p>First!</p><p>So true, thank you for this.</p></div>', [A]),
+    "blockquote": (f"<p>{A}</p><blockquote>{B}</blockquote>", [A, B]),
+    "section": (f"<section><h2>Harbour</h2><p>{A}</p></section>", ["Harbour", A]),
+    "inline marks": (f"<p><b>{A[:13]}</b>{A[13:40]}<a href='/x'>{A[40:60]}</a>{A[60:]}</p><p>{B}</p>", [A, B]),
+    "cookie notice": (f'<div id="cookie-notice"><p>We use cookies, as all do.</p></div><p>{A}</p><p>{B}</p>', [A, B]),
+    "hidden": (f"<p>{A}</p><div hidden><p>{B}</p></div>", [A]),
+    "references": ("<p>Fish &amp; chips&nbsp;for all, said the mayor, and the whole town came to the harbour.</p>", ["Fish & chips for all, said the mayor, and the whole town came to the harbour."]),
+}
+
+
+def test_layouts_without_containers_or_headings():
+    model = op5_html.train()
+    got = {name: model.text(html) for name, (html, _) in LAYOUTS.items()}
+    assert got == {name: "\n".join(lines) for name, (_, lines) in LAYOUTS.items()}

@@ -2,8 +2,9 @@
 
 Folding: compatibility forms to plain letters without accents, lower case, look-alike letters of
 other scripts to Latin, digits and signs that stand for letters to these, everything but letters
-out of words, long runs of a letter to one. Where a digit may stand for two letters, the reading
-that the lexicon knows counts. Entries are whole words or beginnings of words. They are found in
+out of words, long runs of a letter to one. Where a digit may stand for two letters, the first reading
+that the lexicon knows counts, found by a walk over a word's letters and the entries' beginnings, so that
+every reading is tried and none is written out. Entries are whole words or beginnings of words. They are found in
 labelled rows, in two steps, and however many the evidence leaves are used:
 
 1. Texts: entries in at least LEAST_TEXTS different toxic texts whose log odds, of toxic against
@@ -28,7 +29,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, product
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -56,7 +57,7 @@ RUNS = re.compile(r"(\w)\1{2,}")
 BETWEEN = re.compile(r"(?<=\w)[!|+(](?=\w)")
 ENDS = ".,;:?!\"'()[]-*"
 REMEMBER = 500_000
-AMBIGUOUS = 4
+LONGEST_KEPT = 64
 
 
 def beginnings(size: int) -> list[int]:
@@ -68,54 +69,54 @@ def beginnings(size: int) -> list[int]:
     return out
 
 
+class Remembered(dict):
+    """What a function gives for words, each asked once, but for very long ones."""
+
+    def __init__(self, function: Callable):
+        super().__init__()
+        self.function = function
+
+    def __missing__(self, word: str):
+        got = self.function(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) > REMEMBER:
+                self.clear()
+            self[word] = got
+        return got
+
+
 class Folder:
-    """Folded words of texts; words that were seen before are looked up."""
+    """Folded words of texts; each distinct word is folded once."""
 
     def __init__(self):
-        self.known: dict[str, str] = {}
+        self.known = Remembered(self.fold)
 
     def plain(self, word: str) -> str:
         word = "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)) if not word.isascii() else word.lower()
         return "".join([LOOK_ALIKE.get(c, c) for c in word])
 
-    def readings(self, word: str) -> list[str]:
-        """The word with every digit or sign read as a letter. Up to AMBIGUOUS that may be two letters are read in
-        all ways, more of them all as their first or all as their second one."""
+    def ways(self, word: str) -> list[str]:
+        """For each character the letters that it may be."""
         word = self.plain(word)
         inside = {m.start() for m in BETWEEN.finditer(word)}
-        ways = [STANDS_FOR.get(c) or (INSIDE[c] if i in inside else c) for i, c in enumerate(word)]
-        several = [i for i, w in enumerate(ways) if len(w) > 1]
-        if len(several) <= AMBIGUOUS:
-            choices = product(*(range(len(w)) for w in ways))
-        else:
-            choices = ([min(k, len(w) - 1) for w in ways] for k in (0, 1))
-        read = ("".join([w[k] for w, k in zip(ways, choice)]) for choice in choices)
-        return list(dict.fromkeys(NOT_LETTERS.sub("", RUNS.sub(r"\1", r)) for r in read))
+        return [STANDS_FOR.get(c) or (INSIDE[c] if i in inside else c) for i, c in enumerate(word)]
 
     def fold(self, word: str) -> str:
         bare = word.strip(ENDS)
         if bare.isalpha() and bare.isascii():
             return RUNS.sub(r"\1", bare.lower())
-        return self.choose(self.readings(word))
+        return NOT_LETTERS.sub("", RUNS.sub(r"\1", self.choose(self.ways(word))))
 
-    def choose(self, readings: list[str]) -> str:
-        return readings[0]
+    def choose(self, ways: list[str]) -> str:
+        return first_reading(ways)
 
     def words(self, text: str) -> list[str]:
         """Words without letters are left out."""
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
-        out = []
-        for w in text.split():
-            got = known.get(w)
-            if got is None:
-                got = self.fold(w)
-                if len(w) <= 64:
-                    known[w] = got
-            if got:
-                out.append(got)
-        return out
+        return list(filter(None, map(self.known.__getitem__, text.split())))
+
+
+def first_reading(ways: list[str]) -> str:
+    return "".join([w[0] for w in ways])
 
 
 def entries_of(word: str) -> list[str]:
@@ -123,31 +124,55 @@ def entries_of(word: str) -> list[str]:
     return [f" {word} ", *(f" {word[:k]}" for k in beginnings(len(word)))]
 
 
-class Remembered(dict):
-    """What a function gives for words, each asked once."""
-
-    def __init__(self, function: Callable):
-        super().__init__()
-        self.function = function
-
-    def __missing__(self, word: str):
-        if len(self) > REMEMBER:
-            self.clear()
-        got = self[word] = self.function(word)
-        return got
-
-
 class KnownReadings(Folder):
-    """A folder that takes, of two readings, the one that a lexicon has an entry for."""
+    """A folder that takes, of several readings, the first one that a lexicon has an entry for."""
 
     def __init__(self, entries: Iterable[str]):
         super().__init__()
-        self.entries = entries
-
-    def choose(self, readings: list[str]) -> str:
-        if len(readings) == 1:
-            return readings[0]
-        return next((r for r in readings if any(e in self.entries for e in entries_of(r))), readings[0])
+        self.whole = {e[1:-1] for e in entries if e.endswith(" ")}
+        self.begun = {e[1:] for e in entries if not e.endswith(" ")}
+        self.paths = {e[:k] for e in self.whole | self.begun for k in range(len(e) + 1)}
+
+    def choose(self, ways: list[str]) -> str:
+        """A walk over the characters. A state is the folded beginning (None once an entry is met) and the run of equal
+        letters that may yet shrink to one; a beginning that begins no entry is left. Of readings that come to one state
+        the first stays, so a character has no more states than the lexicon has beginnings, whatever is ambiguous."""
+        if all(len(w) == 1 for w in ways):
+            return first_reading(ways)
+        states: dict[tuple[str | None, str, int], tuple | None] = {("", "", 0): None}  # state: (path before, letter)
+        for w in ways:
+            after: dict[tuple[str | None, str, int], tuple] = {}
+            for (begun, letter, run), path in states.items():
+                for c in w:
+                    if begun is None:
+                        after.setdefault((None, "", 0), (path, c))
+                        break  # what follows an entry is read as its first letters
+                    if c == letter:
+                        after.setdefault((begun, c, min(run + 1, 3)), (path, c))
+                        continue
+                    closed = self.closed(begun, letter, run)
+                    if closed is None or closed in self.paths:
+                        after.setdefault((None, "", 0) if closed is None else (closed, c, 1), (path, c))
+            states = after
+            if not states:
+                return first_reading(ways)
+        for (begun, letter, run), path in states.items():
+            closed = begun if begun is None else self.closed(begun, letter, run)
+            if closed is None or closed in self.whole:
+                letters = []
+                while path is not None:
+                    path, c = path
+                    letters.append(c)
+                return "".join(reversed(letters))
+        return first_reading(ways)
+
+    def closed(self, begun: str, letter: str, run: int) -> str | None:
+        """The beginning with a run that has ended, or None if it, or a part of it, is an entry."""
+        add = "" if not letter or NOT_LETTERS.match(letter) else letter * (1 if run > 2 else run)
+        for k in range(1, len(add) + 1):
+            if begun + add[:k] in self.begun:
+                return None
+        return begun + add
 
 
 class Lexicon:
@@ -216,22 +241,18 @@ def texts_with(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, entries = Folder(), Remembered(entries_of)
-        counts: dict[str, list[int]] = {}
+        toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                k = y <= 0
-                for e in set(chain.from_iterable(map(entries.__getitem__, set(folder.words(text or ""))))):
-                    got = counts.get(e)
-                    if got is None:
-                        got = counts[e] = [0, 0]
-                    got[k] += 1
-            if len(counts) > REMEMBER:
-                yield packed(counts)
-                counts = {}
-        yield packed(counts)
-
-    def packed(counts: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["entry", "toxic", "clean"])
+                (toxic if y > 0 else clean).update(set(chain.from_iterable(map(entries.__getitem__, set(folder.words(text or ""))))))
+            if len(toxic) + len(clean) > REMEMBER:
+                yield packed(toxic, clean)
+                toxic, clean = Counter(), Counter()
+        yield packed(toxic, clean)
+
+    def packed(toxic: Counter, clean: Counter) -> pa.RecordBatch:
+        found = list(toxic.keys() | clean.keys())
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([c[e] for e in found], pa.int64()) for c in (toxic, clean))], names=["entry", "toxic", "clean"])
 
     return rows.select("text", "y").mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import time
 
@@ -132,3 +133,24 @@ def test_excused_spans_in_one_sweep():
     began = time.time()
     assert op9_toxicity.outside({5 * i: 1.0 for i in range(400_000)}, [(5 * i, 5 * i + 3) for i in range(400_000)]) == {}
     assert time.time() - began < 20
+
+
+def test_the_first_reading_that_is_known_among_all():
+    """The walk over letters against every reading written out, of words with up to eight ambiguous signs; a million words in one text."""
+    rng = random.Random(5)
+    turned = 0
+    for _ in range(3000):
+        entries = {rng.choice([" {} ", " {}"]).format("".join(rng.choice("ilgbaq") for _ in range(rng.randrange(1, 5)))) for _ in range(4)}
+        folder = op9_toxicity.KnownReadings(entries)
+        ways = folder.ways("".join(rng.choice("169!|-ila") for _ in range(rng.randrange(1, 9))))
+        shown = lambda letters: op9_toxicity.NOT_LETTERS.sub("", op9_toxicity.RUNS.sub(r"\1", "".join(letters)))
+        readings = [shown(p) for p in itertools.product(*ways)]
+        want = next((r for r in readings if any(f" {r} " == e or not e.endswith(" ") and f" {r}".startswith(e) for e in entries)), readings[0])
+        turned += want != readings[0]
+        assert shown(folder.choose(ways)) == want
+    assert turned > 100
+    assert op9_toxicity.KnownReadings({" illiglilb "}).fold("1l1i911|6") == "illiglilb"
+    began = time.time()
+    lexicon = op9_toxicity.Lexicon({" blorfing ": 1.0}, {" grand blorfing "}, None)
+    found = lexicon.facts("a grand bl0rf1ng and b1orfing " * 200_000, lexicon.automaton(), lexicon.folder())
+    assert found == (200_000.0, 200_000, 1_000_000) and time.time() - began < 20

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from quire.schema import CATALOG, conform, filled, is_blank
 from quire.storage import cut
 
 KEYS = ("doi", "review_link")
+log = logging.getLogger(__name__)
 
 
 def unknown(new: DataFrame, catalog: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -25,33 +29,62 @@ def first_per_key(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 
 
 def settle_batch(batch: DataFrame, seq: str = "seq") -> DataFrame:
-    """Rows that insert-or-ignore on both keys keeps, in the order of `seq`.
+    """Rows that insert-or-ignore on both keys keeps, in the order of `seq`, which no two rows share.
 
     A row goes if an earlier *kept* row has one of its keys; a row that went reserves nothing.
     Round by round, a row that is the first of each of its keys is kept, and rows that share a
-    key with it go; the first row of every chain is settled in each round, so rounds end. Hot
-    keys are settled in the first one. Rounds are cut off from each other by checkpoints.
+    key with it go; hot keys are settled in the first rounds. From the third one on, rows that
+    wait for one earlier row alone, being kept if that one goes, are contracted (contracted()), so
+    a chain of rows that alternate between the keys takes one round, not one for each second row.
+    Rounds are cut off from each other by checkpoints.
     """
     ks = [f"k{i}" for i in range(len(KEYS))]
     rows = batch.select("*", *(filled(k).alias(a) for k, a in zip(KEYS, ks)))
     out = rows.where(F.coalesce(*ks).isNull())
-    left = cut(rows.where(F.coalesce(*ks).isNotNull()))
+    left, turn = cut(rows.where(F.coalesce(*ks).isNotNull())), 0
     while not left.isEmpty():
+        turn += 1
+        log.debug("round %d", turn)
         marked = left
         for a in ks:
             first = left.where(F.col(a).isNotNull()).groupBy(a).agg(F.min(seq).alias(f"first_{a}"))
             marked = marked.join(first, a, "left")
-        sure = F.lit(True)
-        for a in ks:
-            sure = sure & (F.col(a).isNull() | (F.col(f"first_{a}") == F.col(seq)))
-        marked = cut(marked.select(*left.columns, sure.alias("sure")))
-        won, rest = marked.where("sure").drop("sure"), marked.where("NOT sure").drop("sure")
+        waits = {a: F.col(a).isNotNull() & (F.col(f"first_{a}") != F.col(seq)) for a in ks}
+        marked = cut(marked.withColumn("sure", ~functools.reduce(Column.__or__, waits.values())))
+        won = marked.where("sure").select(*left.columns)
+        if turn > 2:
+            won = cut(won.unionByName(contracted(marked, seq, ks, waits).select(*left.columns)))
+        rest = marked.where("NOT sure").select(*left.columns)
         for a in ks:
             rest = rest.join(won.where(F.col(a).isNotNull()).select(F.col(a).alias("taken")).distinct(), F.col(a) == F.col("taken"), "left_anti")
         out, left = out.unionByName(won), cut(rest)
     return out.select(*batch.columns)
 
 
+def contracted(marked: DataFrame, seq: str, ks: list[str], waits: dict[str, Column]) -> DataFrame:
+    """Rows that are kept at the end of a chain of rows, each of which waits for the one before it alone.
+
+    Such a row is kept if, and only if, the one before it is not. Pointers are doubled: each row looks where the row that
+    it points to points, and whether the number of steps is odd, until all point to a row that is in no chain; if that
+    one is sure to be kept, rows an even number of steps away are kept too.
+    """
+    for a in ks:
+        second = marked.where(waits[a]).groupBy(a).agg(F.min(seq).alias(f"second_{a}"))
+        marked = marked.join(second, a, "left")
+    before = F.array_distinct(F.array_compact(F.array(*(F.when(waits[a], F.col(f"first_{a}")) for a in ks))))
+    alone = functools.reduce(Column.__and__, (~waits[a] | (F.col(f"second_{a}") == F.col(seq)) for a in ks))
+    links = cut(marked.where(~F.col("sure") & alone & (F.size(before) == 1)).select(F.col(seq).alias("row"), before[0].alias("to"), F.lit(True).alias("odd")))
+    moved = True
+    while moved:
+        ahead = links.select(F.col("row").alias("to"), F.col("to").alias("further"), F.col("odd").alias("more"))
+        joined = cut(links.join(ahead, "to", "left"))
+        links = joined.select("row", F.coalesce("further", "to").alias("to"), F.when(F.col("further").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("more")).alias("odd"))
+        moved = not joined.where("further IS NOT NULL").isEmpty()
+    ends = marked.where("sure").select(F.col(seq).alias("to"))
+    kept = links.where("NOT odd").join(ends, "to").select("row")
+    return marked.join(kept, F.col(seq) == F.col("row"), "left_semi")
+
+
 def inserted(catalog: DataFrame, batch: DataFrame, seq: str = "seq") -> DataFrame:
     """The rows that a batch adds: absent columns become '' and ids go on from the largest (SK1, SK2)."""
     fresh = settle_batch(unknown(batch, catalog), seq)
@@ -137,9 +170,10 @@ def survivors(catalog: DataFrame) -> DataFrame:
     group = ["book_title", "publication_source", "publication_date"]
     candidates = catalog.where(single)
     person = F.struct(F.coalesce("reviewer_first_name", F.lit("")), F.coalesce("reviewer_last_name", F.lit("")))
-    w = Window.partitionBy(*group)
-    ranked = candidates.withColumn("people", F.size(F.collect_set(person).over(w))).withColumn("place", F.row_number().over(w.orderBy(full.desc(), "id")))
-    return catalog.where(~single).unionByName(ranked.where("people > 1 OR place = 1").drop("people", "place"))
+    groups = candidates.groupBy(*(F.col(g).alias(f"in_{g}") for g in group)).agg((F.min(person) != F.max(person)).alias("several"), F.min_by("id", F.struct(-full, F.col("id"))).alias("best"))
+    same = functools.reduce(Column.__and__, (F.col(g).eqNullSafe(F.col(f"in_{g}")) for g in group))
+    kept = candidates.join(groups, same).where(F.col("several") | F.col("id").eqNullSafe(F.col("best")))
+    return catalog.where(~single).unionByName(kept.select(*catalog.columns))
 
 
 def changes(before: DataFrame, after: DataFrame, columns: tuple[str, ...]) -> DataFrame:

@@ -38,6 +38,36 @@ def test_two_key_insert_against_sequential(spark, seed):
     assert sorted(r.seq for r in upsert.settle_batch(df).collect()) == want
 
 
+def test_long_chains_are_settled_in_few_rounds(spark, caplog):
+    """100,000 rows, each with a key of the row before it and one of the row after it, but for some breaks; beside them a small tangle."""
+    chain = spark.range(100_000).select(F.col("id").alias("seq"), F.expr("IF(id % 1009 = 5, '', 'd' || id div 2)").alias("doi"), F.expr("IF(id % 733 = 7, '', 'u' || (id + 1) div 2)").alias("review_link"))
+    rng = random.Random(7)
+    tangle = [(200_000 + i, f"x{rng.randrange(12)}", f"y{rng.randrange(12)}") for i in range(60)]
+    seen, want = set(), set()
+    for seq, d, u in [*((r.seq, r.doi, r.review_link) for r in chain.collect()), *tangle]:
+        keys = {d, u} - {""}
+        if not keys & seen:
+            want.add(seq)
+            seen |= keys
+    with caplog.at_level("DEBUG", logger=upsert.__name__):
+        got = {r.seq for r in upsert.settle_batch(chain.unionAll(spark.createDataFrame(tangle, chain.schema)).repartition(7)).collect()}
+    assert got == want
+    assert sum("round" in m for m in caplog.messages) <= 5
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contracted_chains_against_sequential(spark, seed):
+    """Few rows for each key: chains that split, meet and share both keys."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["", *(f"d{k}" for k in range(60))]), rng.choice(["", *(f"u{k}" for k in range(60))])) for i in range(130)]
+    seen, want = set(), []
+    for seq, d, u in rows:
+        if not {d, u} & seen:
+            want.append(seq)
+            seen |= {d, u} - {""}
+    assert sorted(r.seq for r in upsert.settle_batch(spark.createDataFrame(rows, "seq long, doi string, review_link string")).collect()) == want
+
+
 def test_insert_again_changes_nothing(spark):
     base = catalog(spark, [{"id": 5, "doi": "d0", "review_link": "u0", "book_title": "A"}])
     batch = spark.createDataFrame([(1, "d0", "x", "B"), (2, "d1", "u1", "C"), (3, "", "u0", "D"), (4, "d1", "u9", "E")], "seq long, doi string, review_link string, book_title string")

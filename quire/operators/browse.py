@@ -164,10 +164,17 @@ def year_bounds(view: DataFrame, low: int = 2000, high: int = 2026) -> DataFrame
     return view.agg(F.coalesce(F.min(y), F.lit(low)).alias("year_min"), F.coalesce(F.max(y), F.lit(high)).alias("year_max"))
 
 
-def peers(view: DataFrame, group: str = "symposium_group", key: str = "id") -> DataFrame:
-    """(key, peer) for rows that share a group; a symposium is one journal issue's, so groups are small."""
+def peers(view: DataFrame, group: str = "symposium_group", key: str = "id", asked: Column | None = None) -> DataFrame:
+    """(key, peer) for rows that share a group; a symposium is one journal issue's, so groups are small (J11). asked: whose peers, all if None."""
     a = view.where(~is_blank(group)).select(F.col(group).alias("g"), F.col(key).alias(key))
-    return a.join(a.select("g", F.col(key).alias("peer")), "g").where(F.col(key) != F.col("peer")).select(key, "peer")
+    of = a if asked is None else a.where(asked)
+    return of.join(a.select("g", F.col(key).alias("peer")), "g").where(F.col(key) != F.col("peer")).select(key, "peer")
+
+
+def members(view: DataFrame, group: str = "symposium_group", key: str = "id") -> DataFrame:
+    """(group, key, size of the group): as peers() for all rows, in as many rows as there are; counted before it is joined."""
+    rows = view.where(~is_blank(group)).select(group, key)
+    return rows.join(rows.groupBy(group).agg(F.count("*").alias("size")), group)
 
 
 def coverage(catalog: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ KEYWORDS = {"ethics": "ethic|moral|virtue", "political": "politic|justice|democr
 
 
 def by_journal(catalog: DataFrame, journals: DataFrame) -> DataFrame:
-    """J2. journals: publication_source, primary, secondary; only unset subfields are filled."""
-    known = journals.select("publication_source", F.col("primary").alias("p"), F.col("secondary").alias("s")).dropDuplicates(["publication_source"])
+    """J2. journals: publication_source, primary, secondary; only unset subfields are filled, of several rows of a journal by the least."""
+    known = journals.groupBy("publication_source").agg(F.min(F.struct("primary", "secondary")).alias("m")).select("publication_source", F.col("m.primary").alias("p"), F.col("m.secondary").alias("s"))
     unset = is_blank("subfield_primary")
     joined = catalog.join(known, "publication_source", "left")
     return joined.withColumn("subfield_secondary", F.when(unset & F.col("p").isNotNull(), F.col("s")).otherwise(F.col("subfield_secondary"))).withColumn("subfield_primary", F.coalesce(filled("subfield_primary"), F.col("p"), F.col("subfield_primary"))).select(*catalog.columns)

@@ -137,7 +137,7 @@ def not_in(df: DataFrame, key: str, listed: DataFrame, column: str) -> DataFrame
 
 def of_each_key(found: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """key, new_<column>: of several rows of a key, the least non-blank value of each column, so that no order of rows matters."""
-    return found.where(~is_blank(key)).groupBy(key).agg(*(F.min(filled(c)).alias(f"new_{c}") for c in columns))
+    return found.where(~is_blank(F.col(key).cast("string"))).groupBy(key).agg(*(F.min(filled(c)).alias(f"new_{c}") for c in columns))
 
 
 def update_by_key(catalog: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:

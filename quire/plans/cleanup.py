@@ -117,8 +117,8 @@ def reverified(catalog: DataFrame, items: DataFrame) -> DataFrame:
     from quire.operators.parse import parse_title
 
     title = F.coalesce(F.try_element_at("title", F.lit(1)), F.lit(""))
-    found = items.where(~is_blank("DOI")).groupBy("DOI").agg(F.min_by(title, title).alias("landed"), F.min("type").alias("kind"))
-    rows = catalog.where(~is_blank("doi")).join(found, F.col("doi") == F.col("DOI")).withColumn("p", parse_title(F.col("landed")))
+    found = items.where(~is_blank("DOI")).groupBy(F.col("DOI").alias("landed_doi")).agg(F.min(title).alias("landed"), F.min("type").alias("kind"))
+    rows = catalog.where(~is_blank("doi")).join(found, F.col("doi") == F.col("landed_doi")).withColumn("p", parse_title(F.col("landed")))
     is_book = reads_as_review(F.col("landed"))
     action = F.when(F.col("p").isNotNull() & (F.col("p.last") != "") & (is_blank("book_author_last_name") | names.is_garbled(F.col(AUTHOR[0]), F.col(AUTHOR[1]))), "reparse").when(is_book | (F.col("kind") == "book-review"), "keep").otherwise("delete")
     return rows.select("id", action.alias("action"), F.col("p.book_title").alias("book_title"), F.col("p.first").alias("first"), F.col("p.last").alias("last"))

@@ -53,7 +53,7 @@ def ingest(catalog: DataFrame, items: DataFrame, works: DataFrame | None = None,
     clusters = symposia.records(members, symposia.inferred_title(members)).dropDuplicates(["doi"])
     upgrade = clusters.select("doi", F.col("symposium_group").alias("g"), F.lit(True).alias("hit"))
     rows = rows.join(upgrade, "doi", "left").withColumns({"entry_type": F.when(F.col("hit"), "symposium").otherwise(F.col("entry_type")), "symposium_group": F.coalesce("g", F.lit(""))}).drop("g", "hit")
-    extra = clusters.join(rows.select("doi"), "doi", "left_anti").withColumn("seq", F.monotonically_increasing_id() + F.lit(1 << 60))
+    extra = cut(clusters.join(rows.select("doi"), "doi", "left_anti").withColumn("seq", F.monotonically_increasing_id() + F.lit(1 << 60)))  # several branches read the numbers
     batch = rows.unionByName(extra, allowMissingColumns=True)
     if works is not None:
         batch = enrich(batch, works)

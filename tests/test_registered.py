@@ -1,19 +1,19 @@
-"""Queries of case_queries and table_queries against their SQL, over the smallest tables."""
+"""Queries of case_queries, citation_queries, plan_queries, source_queries and table_queries against their SQL, over the smallest tables."""
 
 import duckdb
 import pytest
 
-from quire import case_queries, citation_queries, source_queries, table_queries
+from quire import case_queries, citation_queries, plan_queries, source_queries, table_queries
 from quire.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(n for n, f in QUERIES.items() if f.__module__ in (case_queries.__name__, citation_queries.__name__, source_queries.__name__, table_queries.__name__))
+NAMES = sorted(n for n, f in QUERIES.items() if f.__module__ in (case_queries.__name__, citation_queries.__name__, plan_queries.__name__, source_queries.__name__, table_queries.__name__))
 
 
 @pytest.fixture(scope="module")
 def tables():
     connection = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "conversations"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "conversations", "documents"):
         connection.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return connection
 

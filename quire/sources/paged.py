@@ -27,13 +27,13 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -212,20 +212,22 @@ def land(items: DataFrame, root: str, size: int = PAGE_ITEMS) -> None:
     before = F.expr("coalesce(sum(n) OVER (PARTITION BY source ORDER BY journal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     numbered = pages.join(counts.select("source", "journal", before.alias("before")), ["source", "journal"])
     line = F.struct("place", F.concat_ws("\t", F.coalesce("indexed", F.lit("")), F.regexp_replace(F.coalesce("item", F.lit("")), "[\r\n]", " ")).alias("line"))
-    bodies = numbered.groupBy("source", "journal", (F.col("before") + F.col("local")).alias("page")).agg(F.min("indexed").alias("first"), F.max("indexed").alias("last"), F.array_sort(F.collect_list(line)).alias("lines"))  # `size` items at most
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")  # `size` items at most
+    bodies = numbered.groupBy("source", "journal", (F.col("before") + F.col("local")).alias("page")).agg(F.min("indexed").alias("first"), F.max("indexed").alias("last"), body.alias("body"))
+    bodies.foreachPartition(writer(root))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def writer(root: str) -> Callable[[Iterable[Row]], None]:
+    """Writes pages one at a time. Rows come in batches by bytes (Arrow's are by rows, so that a task held 10,000 pages), and a page is one string."""
+
+    def write(pages: Iterable[Row]) -> None:
         store, at = opened(root)
-        n = 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                folder = f"{at}/source={quote(row['source'] or '', safe='')}/journal={quote(row['journal'] or '', safe='')}"
-                store.create_dir(folder, recursive=True)
-                hidden = f"{folder}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(hidden) as file:
-                    file.write("\n".join(x["line"] for x in row["lines"]).encode())
-                store.move(hidden, f"{folder}/{row['page']:08d}_{row['first'] or ''}_{row['last'] or ''}.json")
-                n += 1
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
-
-    bodies.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+        for row in pages:
+            folder = f"{at}/source={quote(row['source'] or '', safe='')}/journal={quote(row['journal'] or '', safe='')}"
+            store.create_dir(folder, recursive=True)
+            hidden = f"{folder}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(hidden) as file:
+                file.write(row["body"].encode())
+            store.move(hidden, f"{folder}/{row['page']:08d}_{row['first'] or ''}_{row['last'] or ''}.json")
+
+    return write

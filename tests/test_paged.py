@@ -3,6 +3,7 @@ import shutil
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In
 
 from quire.sources import paged
@@ -120,3 +121,15 @@ def test_markers_choose_the_folders_that_are_read(spark, tmp_path):
     found = issue_articles(spark, str(tmp_path / "items"), markers)
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
     assert sorted(r.doi for r in found.collect()) == sorted(r[4] for r in rows if r[:4] in (("A", 2001, 1, "2"), ("B", 2004, 2, "1")))
+
+
+def test_pages_are_written_one_at_a_time(tmp_path):
+    """A task holds one page, however many it writes: each file is there before the next page is asked for."""
+
+    def pages():
+        for n in range(30):
+            assert len(listed(str(tmp_path))) == n
+            yield Row(source="s", journal="j", page=n, first="2024-01-01", last="2024-01-02", body="2024-01-01\ta\n2024-01-02\tb")
+
+    paged.writer(str(tmp_path))(pages())
+    assert [b.num_rows for b in paged.items_of(str(tmp_path), listed(str(tmp_path)))] == [2] * 30

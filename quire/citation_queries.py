@@ -12,6 +12,7 @@ from quire.functions.spans import italic_citation, list_item, period_segments
 from quire.functions.text import let
 from quire.operators.parse import parse_title, trace_title
 from quire.queries import register, table
+from quire.storage import spread
 
 NAMED = "(SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM part)"
 
@@ -30,7 +31,7 @@ def expected(rows: list[tuple], columns: str) -> str:
 
 def parts_as(spark, sf_dir, *cases: list[str]):
     """p_partkey and, for each list of cases, the part's case with its name in it."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"))
     chosen = lambda texts: F.replace(F.element_at(F.array(*(F.lit(t) for t in texts)), (F.col("p_partkey") % len(texts) + 1).cast("int")), F.lit("{}"), F.initcap("p_name"))
     return p.select("p_partkey", *(chosen(texts).alias(f"c{k}") for k, texts in enumerate(cases)))
 

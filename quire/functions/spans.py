@@ -10,6 +10,7 @@ from quire.functions.text import CITIES, let, squeeze, strip, unescape_common
 
 SPAN = "array<struct<text: string, italic: boolean, href: string>>"
 PLAIN_ENDS = ".,;: "
+TEXT, LINK = 0, 2
 
 
 def spans(html: Column) -> Column:
@@ -18,38 +19,47 @@ def spans(html: Column) -> Column:
     Tags may be nested in any order; other tags leave no trace. Neighbours of one kind are one span.
     """
     tokens = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("<[^>]*>|[^<]+|<"), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("href"), F.array().cast(SPAN).alias("out"))
+    marks = F.filter(F.transform(tokens, mark), lambda m: m["kind"].isNotNull())
+    shape = lambda depth, href, out: F.struct(depth.alias("depth"), href.alias("href"), out.alias("out"))
 
-    def step(state: Column, token: Column) -> Column:
-        name = F.lower(F.regexp_extract(token, r"^<\s*(/?\s*[a-zA-Z0-9]+)", 1))
-        said = lambda *tags: name.isin(*tags)
-        depth = F.when(said("i", "em"), state["depth"] + 1).when(said("/i", "/em"), F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
-        target = F.regexp_extract(token, r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'[^']*'|[^\s>"']+)""", 0)
-        target = F.regexp_replace(F.regexp_replace(target, r"(?i)^\shref\s*=\s*", ""), """^["']|["']$""", "")
-        href = F.when(said("a"), F.when(target != "", target)).when(~said("/a"), state["href"])
-        is_text = ~token.rlike("^<[^>]*>$")
-        new = F.struct(token.alias("text"), (state["depth"] > 0).alias("italic"), state["href"].alias("href"))
-        last = F.try_element_at(state["out"], F.lit(-1))
-        joins = (last["italic"] == (state["depth"] > 0)) & last["href"].eqNullSafe(state["href"])
-        more = F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(state["out"], 1, F.size(state["out"]) - 1), F.array(F.struct(F.concat(last["text"], token).alias("text"), last["italic"].alias("italic"), last["href"].alias("href"))))).otherwise(F.concat(state["out"], F.array(new)))
-        return F.struct(F.when(is_text, state["depth"]).otherwise(depth).alias("depth"), F.when(is_text, state["href"]).otherwise(href).alias("href"), F.when(is_text, more.cast(SPAN)).otherwise(state["out"]).alias("out"))
+    def step(state: Column, m: Column) -> Column:
+        depth, href, out = state["depth"], state["href"], state["out"]
+        new = lambda t: F.array(F.struct(t.alias("text"), (depth > 0).alias("italic"), href.alias("href")))
+        joins = lambda last: F.coalesce((last["italic"] == (depth > 0)) & last["href"].eqNullSafe(href), F.lit(False))
+        more = let(F.try_element_at(out, F.lit(-1)), lambda last: F.when(joins(last), F.concat(F.slice(out, 1, F.size(out) - 1), new(F.concat(last["text"], m["text"])))).otherwise(F.concat(out, new(m["text"]))))
+        return F.when(m["kind"] == TEXT, shape(depth, href, more)).when(m["kind"] == LINK, shape(depth, m["href"], out)).otherwise(shape(F.greatest(depth + m["kind"], F.lit(0)), href, out))
 
-    return F.aggregate(tokens, start, step, lambda s: s["out"])
+    return F.aggregate(marks, shape(F.lit(0), F.lit(None).cast("string"), F.array().cast(SPAN)), step, lambda s: s["out"])
+
+
+def mark(token: Column) -> Column:
+    """(kind, text, href) of a token, each looked at once: what opens or closes italics is 1 or -1, an <a> or its end LINK; null for other tags."""
+    shape = lambda kind, text, href: F.struct(kind.cast("int").alias("kind"), text.cast("string").alias("text"), href.cast("string").alias("href"))
+    none = F.lit(None)
+    target = F.regexp_extract(token, r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'[^']*'|[^\s>"']+)""", 0)
+    target = F.regexp_replace(F.regexp_replace(target, r"(?i)^\shref\s*=\s*", ""), """^["']|["']$""", "")
+    kind = lambda name: F.when(name.isin("i", "em"), 1).when(name.isin("/i", "/em"), -1).when(name.isin("a", "/a"), LINK)
+    tag = lambda name: shape(kind(name), none, F.when(name == "a", F.nullif(target, F.lit(""))))
+    is_tag = token.startswith("<") & (F.length(token) > 1)
+    return F.when(is_tag, let(F.lower(F.regexp_extract(token, r"^<\s*(/?\s*[a-zA-Z0-9]+)", 1)), tag)).otherwise(shape(F.lit(TEXT), token, none))
 
 
 def bare(c: Column) -> Column:
-    return F.rtrim(F.ltrim(squeeze(unescape_common(c)), F.lit(".,;: ")), F.lit(PLAIN_ENDS))
+    return trimmed(squeeze(unescape_common(c)))
+
+
+def trimmed(c: Column) -> Column:
+    return F.rtrim(F.ltrim(c, F.lit(".,;: ")), F.lit(PLAIN_ENDS))
 
 
 def neighbours(s: Column) -> Column:
     """Each span with its number and the plain text just before and after it ('' beside another marked span)."""
-    beside = lambda x: F.coalesce(F.when(~x["italic"], squeeze(unescape_common(x["text"]))), F.lit(""))
-    return F.transform(
-        s,
-        lambda x, i: F.struct(
-            i.alias("i"), bare(x["text"]).alias("text"), x["italic"].alias("italic"), x["href"].alias("href"), beside(F.try_element_at(s, F.when(i > 0, i).otherwise(F.lit(None)))).alias("before"), beside(F.try_element_at(s, i + 2)).alias("after"),
-        ),
+    beside = lambda x: F.coalesce(F.when(~x["italic"], x["tidy"]), F.lit(""))
+    shape = lambda t, x, i: F.struct(
+        i.alias("i"), trimmed(x["tidy"]).alias("text"), x["italic"].alias("italic"), x["href"].alias("href"), beside(F.try_element_at(t, F.when(i > 0, i).otherwise(F.lit(None)))).alias("before"), beside(F.try_element_at(t, i + 2)).alias("after")
     )
+    tidy = F.transform(s, lambda x: F.struct(squeeze(unescape_common(x["text"])).alias("tidy"), x["italic"].alias("italic"), x["href"].alias("href")))
+    return let(tidy, lambda t: F.transform(t, lambda x, i: shape(t, x, i)))
 
 
 def list_item(html: Column) -> Column:
@@ -69,21 +79,20 @@ def is_shop(href: Column) -> Column:
 def entries(m: Column, marked: Column) -> Column:
     last, first = F.try_element_at(marked, F.lit(-1))["i"], F.try_element_at(marked, F.lit(1))["i"]
     is_venue = lambda x: (x["i"] == last) | ((x["i"] != first) & x["before"].rlike(r"(?i)\b(?:at|in|for)$"))
-    venues, books = F.filter(marked, is_venue), F.filter(marked, lambda x: ~is_venue(x) & (F.length(x["text"]) > 5))
+    by = lambda x: F.regexp_extract(x["before"], r"(?i)^(?:.*\b)?by\s+(.+?),?\s+(?:at|in|for)$", 1)
+    venues = F.transform(F.filter(marked, is_venue), lambda x: F.struct(x["text"].alias("text"), x["href"].alias("href"), by(x).alias("by")))
+    books = F.filter(marked, lambda x: ~is_venue(x) & (F.length(x["text"]) > 5))
     links = F.filter(m, lambda x: x["href"].isNotNull() & ~is_shop(x["href"]) & (x["text"] != ""))
     opening = F.try_element_at(m, F.lit(1))
     active = F.when(~opening["italic"], F.regexp_extract(opening["text"], r"(?i)^(.+?)\s+reviews$", 1))
-    by = lambda x: F.regexp_extract(x["before"], r"(?i)^(?:.*\b)?by\s+(.+?),?\s+(?:at|in|for)$", 1)
-    facts = F.struct(
-        venues.alias("venues"), books.alias("books"), F.coalesce(F.try_element_at(links, F.lit(1))["href"], F.lit("")).alias("link"), F.coalesce(F.when(active != "", active)).alias("active"),
-        F.coalesce(F.try_element_at(F.filter(F.transform(venues, by), lambda x: x != ""), F.lit(1)), F.lit("")).alias("reviewer"),
-    )
+    facts = F.struct(venues.alias("venues"), books.alias("books"), F.coalesce(F.try_element_at(links, F.lit(1))["href"], F.lit("")).alias("link"), F.nullif(active, F.lit("")).alias("active"))
 
     def rows(f: Column) -> Column:
         author = lambda b: F.rtrim(F.regexp_extract(b["after"], r"(?i)^[,\s]*(?:(?:edited|translated)\s+)?by\s+(.+?)(?:,?\s+(?:is|are)\s+(?:both\s+)?reviewed\b.*|,?\s+(?:at|in|for)|[;,]?\s+and|[;,])?$", 1), F.lit(PLAIN_ENDS))
         own = lambda v: F.when(v["href"].isNotNull() & ~is_shop(v["href"]), v["href"]).otherwise(f["link"])
-        who = lambda v: F.coalesce(f["active"], F.when(by(v) != "", by(v)), f["reviewer"])
-        each = lambda b: F.transform(f["venues"], lambda v: F.struct(b["text"].alias("book_title"), author(b).alias("author"), who(v).alias("reviewer"), v["text"].alias("venue"), own(v).alias("review_link")))
+        reviewer = F.coalesce(F.try_element_at(F.filter(f["venues"], lambda v: v["by"] != ""), F.lit(1))["by"], F.lit(""))
+        who = lambda v: F.coalesce(f["active"], F.nullif(v["by"], F.lit("")), reviewer)
+        each = lambda b: let(author(b), lambda a: F.transform(f["venues"], lambda v: F.struct(b["text"].alias("book_title"), a.alias("author"), who(v).alias("reviewer"), v["text"].alias("venue"), own(v).alias("review_link"))))
         return F.when(F.size(f["books"]) > 0, F.flatten(F.transform(f["books"], each)))
 
     return let(facts, rows)

@@ -50,3 +50,14 @@ def test_predicates_read_whole_texts(spark, tmp_path):
     assert got("all_caps_texts", "caps") == [False, False, False, True]
     assert got("function_words_texts", "has") == [True, True, True, False]
     assert got("garbled_texts", "garbled") == [True, True, True, False]
+
+
+def test_small_files_are_dealt_over_tasks(spark, tmp_path):
+    """Millions of short rows fit into one file's part, and were one task; the number of tasks follows the rows."""
+    from quire.citation_queries import list_items, parts_as
+    from quire.storage import ROWS_A_TASK
+
+    parts = spark.range(1, 2 * ROWS_A_TASK + 2).select(F.col("id").alias("p_partkey"), F.lit("plum bisque").alias("p_name"), F.lit(3).alias("p_size"))
+    parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert parts_as(spark, str(tmp_path), ["{}"]).rdd.getNumPartitions() == 3
+    assert list_items(spark, str(tmp_path)).rdd.getNumPartitions() == 3

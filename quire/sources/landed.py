@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quire.functions.dates_urls import clean_doi, date_of_first, date_of_parts, date_of_timestamp, linked_data_author
 from quire.functions.names import first_author, is_edited, reviewer
-from quire.functions.text import squeeze, strip_tags, truncated
+from quire.functions.text import let, squeeze, strip_tags, truncated
 from quire.operators.detect import is_review, is_self_review
 from quire.operators.parse import parse_title
 from quire.operators.windows import carry_forward
@@ -167,18 +167,21 @@ def review_page(html: Column) -> Column:
     Null where the page has no bibliography element.
     """
     part = lambda cls, tag: F.regexp_extract(html, rf"""(?is)<{tag}[^>]+class=["'][^"']*{cls}[^"']*["'][^>]*>(.*?)</{tag}>""", 1)
-    bibliography = part("meta-item__bibliography", "div")
-    title = squeeze(strip_tags(F.regexp_extract(bibliography, r"(?is)<em>(.*?)</em>", 1)))
-    before = squeeze(strip_tags(F.regexp_extract(bibliography, r"(?is)^(.*?)<em>", 1)))
-    author = first_author(F.regexp_replace(before, r"[,\s]+$", ""))
-    person = reviewer(squeeze(strip_tags(part("meta-item__reviewer", "p"))))
     stamp = F.regexp_extract(html, r"""(?is)property=["']datePublished["'][^>]*content=["']([^"']+)""", 1)
-    return F.when(
-        bibliography != "",
-        F.struct(
-            title.alias("title"), author["first"].alias("author_first"), author["last"].alias("author_last"), is_edited(before).alias("is_edited"), author["has_multiple"].alias("has_multiple_authors"),
+
+    def record(title: Column, edited: Column, author: Column, person: Column) -> Column:
+        return F.struct(
+            title.alias("title"), author["first"].alias("author_first"), author["last"].alias("author_last"), edited.alias("is_edited"), author["has_multiple"].alias("has_multiple_authors"),
             person["first"].alias("reviewer_first"), person["last"].alias("reviewer_last"), person["affiliation"].alias("affiliation"), person["has_multiple"].alias("has_multiple_reviewers"),
             date_of_timestamp(stamp, squeeze(strip_tags(part("meta-item__edition", "p")))).alias("published"), clean_doi(F.concat(strip_tags(html), F.lit(" "))).alias("doi"),
             truncated(squeeze(strip_tags(part("article-content", "div")))).alias("summary"),
-        ),
-    )
+        )
+
+    def found(bibliography: Column) -> Column:
+        title = squeeze(strip_tags(F.regexp_extract(bibliography, r"(?is)<em>(.*?)</em>", 1)))
+        before = squeeze(strip_tags(F.regexp_extract(bibliography, r"(?is)^(.*?)<em>", 1)))
+        person = let(squeeze(strip_tags(part("meta-item__reviewer", "p"))), reviewer)
+        people = lambda b: F.struct(is_edited(b).alias("edited"), first_author(F.regexp_replace(b, r"[,\s]+$", "")).alias("author"), person.alias("person"))
+        return F.when(bibliography != "", let(let(before, people), lambda p: record(title, p["edited"], p["author"], p["person"])))
+
+    return let(part("meta-item__bibliography", "div"), found)

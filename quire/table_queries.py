@@ -12,6 +12,7 @@ from quire.plans import cleanup
 from quire.queries import CUSTOMERS, customer_catalog, register, table
 from quire.schema import conform
 from quire.sources import landed
+from quire.storage import spread
 
 FILTERS = browse.CatalogQuery(title="#0000", author="c", reviewer="a", subfields=("BUILDING", "MACHINERY"), access="OPEN", sort="title", descending=True, page=2, per_page=20)
 
@@ -269,7 +270,7 @@ def review_pages(spark, sf_dir):
         stamp, F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit('<div class="meta-item__bibliography">'), author, F.lit(", <em>On  "), "p_name", F.lit("</em>, Press</div>"))).otherwise(""),
         F.lit('<p class="meta-item__reviewer">John Q. Roe, A College</p><p class="meta-item__edition">2019.7.5</p><div class="article-content"><b>Some</b> text about '), "p_name", F.lit(".</div> doi 10.1000/"), F.col("p_partkey").cast("string"), F.lit(" end"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", landed.review_page(page).alias("r")).where("r IS NOT NULL").select("p_partkey", *(f"r.{c}" for c in ("title", "author_first", "author_last", "is_edited", "reviewer_first", "reviewer_last", "affiliation", "published", "doi", "summary")))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", F.explode(F.filter(F.array(landed.review_page(page)), lambda r: r.isNotNull())).alias("r")).select("p_partkey", *(f"r.{c}" for c in ("title", "author_first", "author_last", "is_edited", "reviewer_first", "reviewer_last", "affiliation", "published", "doi", "summary")))
 
 
 @register("catalog_scans", f"""WITH {DUPLICATES} SELECT 'author' AS scan, id FROM d WHERE coalesce(book_author_last_name, '') = '' UNION ALL SELECT 'surname', id FROM d WHERE coalesce(book_author_last_name, '') = '' UNION ALL SELECT 'reviewer', id FROM d WHERE publication_source IN ('BUILDING', 'MACHINERY') AND coalesce(doi, '') = ''""")

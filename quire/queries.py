@@ -16,6 +16,7 @@ from quire.operators import browse, detect, matching, symposia, upsert, windows
 from quire.operators.parse import parse_title
 from quire.schema import conform, from_headings, is_blank, titled
 from quire.sources import landed
+from quire.storage import spread
 from quire.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,7 +361,7 @@ TITLES = ["Julian Reiss's Philosophy of economics: a contemporary introduction",
 @register("title_parse")
 def title_parse(spark, sf_dir):
     """U1 over part names set in the forms of citations"""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.initcap("p_name").alias("t"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", F.initcap("p_name").alias("t")))
     cited = F.element_at(F.array(F.concat(F.lit("Review of "), "t", F.lit(", by Jane Q. Doe")), F.concat(F.lit("<i>"), "t", F.lit("</i>. Philip J. Ivanhoe")), F.concat(F.lit("Book Review: "), "t", F.lit(". Thomas Nagel")), *(F.lit(x) for x in TITLES)), (F.col("p_partkey") % 7 + 1).cast("int"))
     return part.select("p_partkey", parse_title(cited).alias("p")).select("p_partkey", "p.*")
 

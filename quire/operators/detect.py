@@ -77,28 +77,31 @@ def by_somebody(title: Column, separator: str) -> Column:
 def owns_a_title(title: Column) -> Column:
     """The first word in the genitive is a surname, with one capitalised word or more before it."""
     owner, rest = halves(F.regexp_replace(title, "^Review of ", ""), "['’]s ")
-    return said((rest != "") & word_count(owner).between(2, 5) & F.forall(words(owner), begins_upper) & last_word(owner).rlike(r"^\p{L}[\p{L}-]+$"))
+    named = lambda w: F.size(w).between(2, 5) & F.forall(w, begins_upper) & F.coalesce(F.try_element_at(w, F.lit(-1)), F.lit("")).rlike(r"^\p{L}[\p{L}-]+$")
+    return said(F.when(rest != "", let(words(owner), named)))  # without a genitive the owner is the whole text: its words are not asked for
 
 
 def counts_pages(title: Column) -> Column:
     """A number of pages: its unit stands beside it or follows as a word."""
     unit = "^pp(?![a-z0-9_])"
     pairs = lambda w: F.arrays_zip(F.slice(w, 1, F.size(w) - 1).alias("number"), F.slice(w, 2, F.size(w) - 1).alias("unit"))
-    two = let(words(F.lower(title)), lambda w: F.when(F.size(w) > 1, F.exists(pairs(w), lambda p: p["number"].rlike("[0-9]$") & p["unit"].rlike(unit))).otherwise(F.lit(False)))
-    return two | F.exists(words(F.lower(title)), lambda x: x.rlike("[0-9]pp(?![a-z0-9_])"))
+    two = lambda w: F.when(F.size(w) > 1, F.exists(pairs(w), lambda p: p["unit"].rlike(unit) & p["number"].rlike("[0-9]$"))).otherwise(F.lit(False))
+    some = lambda w: two(w) | F.exists(w, lambda x: x.rlike("[0-9]pp(?![a-z0-9_])"))
+    return F.when(F.lower(title).contains("pp"), let(words(F.lower(title)), some)).otherwise(F.lit(False))
 
 
 def surname_first(title: Column) -> Column:
     """One capitalised word that no title begins with, a comma, a capitalised word."""
     surname, rest = halves(title, ", ")
-    return said((word_count(surname) == 1) & F.length(surname).between(2, 20) & surname.rlike(r"^\p{Lu}[\p{L}-]*$") & rest.rlike(r"^\p{Lu}\p{Ll}") & ~F.lower(surname).isin(COMMON_FIRST_WORDS))
+    return said(F.length(surname).between(2, 20) & (word_count(surname) == 1) & surname.rlike(r"^\p{Lu}[\p{L}-]*$") & rest.rlike(r"^\p{Lu}\p{Ll}") & ~F.lower(surname).isin(COMMON_FIRST_WORDS))
 
 
 def name_then_title(title: Column, separator: str, least: int) -> Column:
     """A name of two to six words before the separator, whose surname has at least `least` letters, and a capital after it."""
     name, rest = halves(title, separator)
     letters = F.translate(name, "., ", "").rlike("^[A-Za-z]+$")
-    return said(begins_upper(name) & letters & begins_upper(rest) & looks_like_name(name) & word_count(name).between(2, 6) & (F.length(last_word(name)) >= least))
+    named = looks_like_name(name) & word_count(name).between(2, 6) & (F.length(last_word(name)) >= least)
+    return said(F.when(begins_upper(name) & begins_upper(rest), letters & named))
 
 
 def edited_volume(title: Column) -> Column:

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from quire.queries import QUERIES
 from quire.streaming import incremental
 
@@ -55,9 +57,19 @@ def test_predicates_read_whole_texts(spark, tmp_path):
 def test_small_files_are_dealt_over_tasks(spark, tmp_path):
     """Millions of short rows fit into one file's part, and were one task; the number of tasks follows the rows."""
     from quire.citation_queries import list_items, parts_as
+    from quire.queries import title_parse
     from quire.storage import ROWS_A_TASK
+    from quire.table_queries import review_pages
 
     parts = spark.range(1, 2 * ROWS_A_TASK + 2).select(F.col("id").alias("p_partkey"), F.lit("plum bisque").alias("p_name"), F.lit(3).alias("p_size"))
     parts.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert parts_as(spark, str(tmp_path), ["{}"]).rdd.getNumPartitions() == 3
-    assert list_items(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    for query in (list_items, review_pages, title_parse):
+        assert query(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_words_of_a_whole_text_are_asked_for_only_where_they_can_matter(spark, tmp_path):
+    """Page counts are looked for wherever "pp" stands; a genitive, a comma or a colon far into a text does not change what a name is."""
+    texts = ["x " * 300 + "pp", "x " * 300 + "224 pp.", "x " * 300 + "224PP y", "x " * 300 + "224 apples", "Ann Lee's Mind", "Ann " * 9 + "Lee's Mind", "Plato, Mind", "Ann Lee: Mind", "ann lee: Mind", "Ann Lee: mind"]
+    rows = QUERIES["review_detect"](spark, documents(spark, tmp_path, texts)).orderBy("doc_id").collect()
+    assert [r.review for r in rows] == [False, True, True, False, True, False, True, True, False, False]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from urllib.parse import parse_qsl, urlencode
 
@@ -12,6 +13,7 @@ from quire.functions.dates_urls import doi_url, year_of
 from quire.functions.names import joined
 from quire.functions.text import without_article
 from quire.schema import filled, is_blank
+from quire.storage import cut
 
 TEXT_COLUMNS = ("title", "author", "reviewer", "journal", "date")
 
@@ -164,11 +166,30 @@ def year_bounds(view: DataFrame, low: int = 2000, high: int = 2026) -> DataFrame
     return view.agg(F.coalesce(F.min(y), F.lit(low)).alias("year_min"), F.coalesce(F.max(y), F.lit(high)).alias("year_max"))
 
 
+#: Rows of a block, and pairs that a task makes in about a second.
+BLOCK, PAIRS_A_TASK = 1_000, 5_000_000
+
+
+def paired(rows: DataFrame, group: str, key: str, asked: Column | None = None) -> DataFrame:
+    """(group, key, peer) for rows of equal groups and different keys. asked: which rows' peers, all if None.
+
+    The answer grows with the square of a group, so each group is cut into blocks, and pairs of blocks, not groups, are dealt
+    over tasks whose number follows the pairs. Rows are checkpointed, since both sides must find the same places.
+    """
+    asks = F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))
+    a = cut(rows.where(F.col(group).isNotNull()).select(group, key).withColumns({"asks": asks, "place": F.monotonically_increasing_id()}))
+    sizes = a.groupBy(group).agg(F.count("*").alias("n"), F.count_if("asks").alias("n_asks")).where("n_asks > 0")
+    tasks = max(1, math.ceil((sizes.agg(F.sum(F.col("n").cast("double") * F.col("n_asks"))).first()[0] or 0) / PAIRS_A_TASK))
+    sized = a.join(sizes.select(group, F.ceil(F.col("n") / BLOCK).alias("peer_blocks"), F.ceil(F.col("n_asks") / BLOCK).alias("asking_blocks")), group)
+    own, every = (lambda c: F.pmod(F.xxhash64("place"), F.col(c))), (lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)))
+    of = sized.where("asks").select(group, key, own("asking_blocks").alias("i"), every("peer_blocks").alias("j")).repartition(tasks, group, "i", "j")
+    among = sized.select(group, F.col(key).alias("peer"), every("asking_blocks").alias("i"), own("peer_blocks").alias("j")).repartition(tasks, group, "i", "j")
+    return of.join(among, [group, "i", "j"]).where(F.col(key) != F.col("peer")).select(group, key, "peer")
+
+
 def peers(view: DataFrame, group: str = "symposium_group", key: str = "id", asked: Column | None = None) -> DataFrame:
-    """(key, peer) for rows that share a group; a symposium is one journal issue's, so groups are small (J11). asked: whose peers, all if None."""
-    a = view.where(~is_blank(group)).select(F.col(group).alias("g"), F.col(key).alias(key))
-    of = a if asked is None else a.where(asked)
-    return of.join(a.select("g", F.col(key).alias("peer")), "g").where(F.col(key) != F.col("peer")).select(key, "peer")
+    """(key, peer) for rows that share a group that isn't blank (J11). asked: whose peers, all if None."""
+    return paired(view.where(~is_blank(group)), group, key, asked).select(key, "peer")
 
 
 def members(view: DataFrame, group: str = "symposium_group", key: str = "id") -> DataFrame:

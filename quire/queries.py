@@ -201,8 +201,7 @@ def map_names(spark, sf_dir):
 @register("group_peers", "SELECT a.conv_id, a.turn, b.turn AS peer_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn")
 def group_peers(spark, sf_dir):
     """J11"""
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn").join(c.select("conv_id", F.col("turn").alias("peer_turn")), "conv_id").where("turn <> peer_turn")
+    return browse.paired(table(spark, sf_dir, "conversations"), "conv_id", "turn").withColumnRenamed("peer", "peer_turn")
 
 
 @register("symposium_peers", f"WITH {CUSTOMERS} SELECT a.id, b.id AS peer FROM cat a JOIN cat b ON a.symposium_group = b.symposium_group AND a.id <> b.id WHERE a.symposium_group <> ''")

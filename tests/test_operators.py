@@ -77,6 +77,22 @@ def test_insert_again_changes_nothing(spark):
     assert once.where("id = 6").first().entry_type == ""
 
 
+@pytest.mark.parametrize("asked", [None, "id % 50 = 0"])
+def test_peers_of_large_groups_are_dealt_over_tasks(spark, monkeypatch, asked):
+    """400 rows of one group, some others, repeated and null ids: no task makes half of the pairs, and none is lost."""
+    rows = [*((i, "a") for i in range(400)), *((i, "b") for i in range(390, 430)), (7, "a"), (None, "a"), (900, "c"), (901, ""), (902, None), (903, "d"), (904, "d")]
+    view = spark.createDataFrame(rows, "id long, symposium_group string").coalesce(1)
+    want = [(a, b) for a, g in rows if g and a is not None and (asked is None or a % 50 == 0) for b, h in rows if g == h and b is not None and a != b]
+    monkeypatch.setattr(browse, "BLOCK", 20, raising=False)
+    monkeypatch.setattr(browse, "PAIRS_A_TASK", len(want) // 16, raising=False)
+    got = browse.peers(view, asked=asked and F.expr(asked)).select("id", "peer", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.id, r.peer) for r in got) == sorted(want)
+    made = {}
+    for r in got:
+        made[r.part] = made.get(r.part, 0) + 1
+    assert max(made.values()) < len(want) / 2
+
+
 def test_survivors(spark):
     same = {"book_title": "T", "publication_source": "S", "publication_date": "2020", "symposium_group": ""}
     rows = [{"id": 1, **same}, {"id": 2, **same, "doi": "d"}, {"id": 3, **same, "doi": "e"}, {"id": 4, **same, "publication_date": "2021"}, {"id": 5, **same, "publication_source": "P", "reviewer_last_name": "A"}, {"id": 6, **same, "publication_source": "P", "reviewer_last_name": "B"}]
